@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, line_dedup, mixing, packing, simhash, topk
-from .common import table
+from . import gif, langid, line_dedup, mixing, packing, simhash, topk, toxicity
+from .common import crc_remainder, table
 
 SPACE = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -39,6 +39,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(crc_remainder("doc_id", 3) != 1)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    held_out = (crc_remainder("doc_id", 3) == 1).alias("held_out")
+    return scored.select("doc_id", held_out, F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
     first = F.round(F.try_element_at("positions", F.lit(1)), 9).alias("position")
@@ -88,8 +96,15 @@ SELECT d.doc_id, o.n_lines, o.n_dropped, sha256(o.kept) AS kept_sha256 FROM d JO
 """
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(crc_remainder("doc_id", 5) != 0))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (crc_remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_packing, op4_mixing, op7_simhash, op8_gif, op9_lines)}
+    return {f.__name__: f for f in (op1_topk, op2_packing, op3_toxicity, op4_mixing, op7_simhash, op8_gif, op9_lines, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
