@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, langid, line_dedup, mixing, packing, simhash, topk, toxicity
+from . import gif, langid, line_dedup, mixing, packing, pii, simhash, suffix_dedup, topk, toxicity
 from .common import crc_remainder, table
 
 SPACE = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
@@ -72,6 +72,16 @@ FROM n
 """
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"), length=400)
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
@@ -104,7 +114,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_packing, op3_toxicity, op4_mixing, op7_simhash, op8_gif, op9_lines, op10_langid)}
+    return {f.__name__: f for f in (op1_topk, op2_packing, op3_toxicity, op4_mixing, op5_pii, op6_suffixes, op7_simhash, op8_gif, op9_lines, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
