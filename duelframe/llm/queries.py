@@ -4,22 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gif, langid, line_dedup, mixing, packing, pii, simhash, suffix_dedup, topk, toxicity
 from .common import crc_remainder, table
+from .tokenizers import word_bpe
 
 SPACE = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256)
@@ -36,7 +32,7 @@ SELECT query_id, CAST(rn AS INTEGER) AS rank, vec_id, score FROM r WHERE rn <= 5
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0)
+    return packing.pack(table(spark, sf_dir, "documents"), word_bpe(), capacity=2048, end_id=0)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,8 +109,12 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_packing, op3_toxicity, op4_mixing, op5_pii, op6_suffixes, op7_simhash, op8_gif, op9_lines, op10_langid)}
+    return {f.__name__: f for f in (op1_topk, op2_packing, op3_toxicity, op4_mixing, op5_pii, op6_suffixes, op7_simhash, op8_gif, op9_lines, op10_langid, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

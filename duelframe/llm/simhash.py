@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hex_long, map_texts, texts
+from .common import cut, hex_long, map_texts, small, texts
 
 CHUNK = 1 << 16
 SEED = 42
@@ -115,3 +115,106 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     found = near_duplicates(docs.where("doc_id IS NOT NULL"), shingle, radius)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+# --- similar texts: short fingerprints of words, ball hashing in each, shingle sets to verify ---
+
+#: Independent fingerprints of 32 bits; two texts need to come within two bits in one of them.
+TABLES = 4
+#: Of all 128 bits, differing ones beyond which texts can't reach the similarity but by rare chance.
+FAR = 32
+SKETCH = "doc_id long, same binary, keys array<long>"
+
+
+def sketch(text: str) -> tuple[bytes, list[int]]:
+    """A digest that texts of equal words share, and TABLES 32-bit majorities over the different words.
+
+    Words of under five bytes count a fifth: the frequent ones make all texts alike.
+    """
+    words = text.encode().lower().split()
+    same = xxhash.xxh3_128_digest(b" ".join(words))
+    every = sorted(set(words))
+    if not every:
+        return same, [0] * TABLES
+    bits = np.unpackbits(np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, every)), np.uint8).reshape(-1, 16), axis=1)
+    weights = np.array([1.0 if len(w) > 4 else 0.2 for w in every], np.float32)
+    ones = weights @ bits
+    return same, np.packbits(ones * 2 > weights.sum()).view(">u4").astype(np.int64).tolist()
+
+
+def shingle_set(text: str, shingle: int) -> list[int]:
+    """The different hashes of a text's shingles, as signed longs."""
+    words = text.encode().lower().split()
+    own = {xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))}
+    return np.array(sorted(own), np.uint64).view(np.int64).tolist()
+
+
+def _sketches(docs: DataFrame) -> DataFrame:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        same, keys = zip(*map(sketch, texts(batch)), strict=True)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "same", "keys"])
+
+    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), run, SKETCH)
+
+
+def _differing(a: str, b: str):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def candidates(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From doc_id, keys, one row for each different text: few (a, b), each text's first choices, and all (a, b) of the stars."""
+    keyed = sketches.select("doc_id", F.posexplode("keys").alias("t", "fp"))
+    centers = cut(keyed.groupBy("t", "fp").agg(F.min("doc_id").alias("center")))
+    alike = keyed.join(centers, ["t", "fp"]).where("doc_id <> center").select(F.col("doc_id").alias("a"), F.col("center").alias("b"))
+    masks = F.array(F.lit(0).cast("long"), *(F.lit(1 << i).cast("long") for i in range(32)))
+    variants = centers.select("center", (F.col("t") * F.lit(1 << 32)).alias("base"), F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("v"))
+    # At most 33 fingerprints come within a bit of a variant, each with one center.
+    groups = variants.groupBy((F.col("base") + F.col("v")).alias("key")).agg(F.collect_list("center").alias("c")).where("size(c) > 1")
+    stars = groups.select(F.array_min("c").alias("b"), F.explode("c").alias("a")).where("a <> b").select("a", "b")
+    every = alike.union(stars).distinct()
+    mine = sketches.select(F.col("doc_id").alias("a"), F.col("keys").alias("ka"))
+    theirs = sketches.select(F.col("doc_id").alias("b"), F.col("keys").alias("kb"))
+    near = cut(every.join(mine, "a").join(theirs, "b").where(_differing("ka", "kb") <= FAR).select("a", "b"))
+    return near.groupBy("a").agg(F.min("b").alias("b")), near
+
+
+def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ids whose shingle sets have a Jaccard similarity of at least similarity."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, shingle) for t in texts(batch)], pa.list_(pa.int64()))], ["doc_id", "s"])
+
+    asked = docs.select(F.col("doc_id").cast("long"), "text").join(small(ids), "doc_id", "left_semi")
+    sets = cut(map_texts(asked, run, "doc_id long, s array<long>").dropDuplicates(["doc_id"]))
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return cut(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id: groups of documents linked by a similarity of their shingle sets.
+
+    Candidates come from ball hashing of short fingerprints and every link is verified. Texts
+    of equal words are one to begin with. Each text first meets the smallest candidate of its
+    own; those that find no link so meet all others of the stars that they share. Ids must be
+    given and differ; equal texts may repeat.
+    """
+    known = cut(_sketches(docs))
+    reps = cut(known.groupBy("same").agg(F.min(F.struct("doc_id", "keys")).alias("one")).select("same", "one.*"))
+    first, near = candidates(reps.select("doc_id", "keys"))
+    found = verified(first, docs, shingle, similarity)
+    settled = found.select("a").union(found.select("b")).distinct()
+    lone = F.col("sa").isNull() | F.col("sb").isNull()
+    left = near.join(settled.select("a", F.lit(True).alias("sa")), "a", "left").join(settled.select(F.col("a").alias("b"), F.lit(True).alias("sb")), "b", "left").where(lone).select("a", "b")
+    edges = found.union(verified(cut(left.join(first, ["a", "b"], "left_anti")), docs, shingle, similarity))
+    rooted = components(edges).select(F.col("node").alias("doc_id"), "root")
+    grouped = reps.join(rooted, "doc_id", "left").select("same", F.coalesce("root", "doc_id").alias("component_id"))
+    return known.join(grouped, "same").select("doc_id", "component_id")
+
+
+def keep_one_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of similar_groups, that of its smallest doc_id; see keep_one for nulls."""
+    found = similar_groups(docs.where("doc_id IS NOT NULL"), shingle, similarity)
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(small(kept), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
