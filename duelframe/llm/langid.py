@@ -140,7 +140,8 @@ class Scorer:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without the text, then lang_pred and score."""
+    """docs without the text, then lang_pred and score, which replace columns of these names."""
+    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit's vocabulary
     made: list[Scorer] = []
 

@@ -186,8 +186,10 @@ class LineIndex:
         """docs' columns with the text of its kept lines, then n_lines and n_dropped. docs must be in the index.
 
         The filters travel to every task while they are small; beyond BROADCAST_BYTES the
-        lines go to the count table instead, with the same result.
+        lines go to the count table instead, with the same result. The two counts replace columns
+        of these names.
         """
+        docs = docs.drop("n_lines", "n_dropped")
         size = self.filters.agg(F.sum(F.length("filter") + F.length("wrong"))).first()[0] or 0
         return self._by_filters(docs) if size <= BROADCAST_BYTES else self._by_table(docs)
 

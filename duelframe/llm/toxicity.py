@@ -190,7 +190,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean:
 
 
 def score(docs: DataFrame, lexicon: Lexicon | None) -> DataFrame:
-    """docs' columns, then toxicity (0 to 1)."""
+    """docs' columns, then toxicity (0 to 1), which replaces a column of this name."""
+    docs = docs.drop("toxicity")
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     made: list[Matcher] = []
 
