@@ -109,7 +109,7 @@ AT = r"\s*(?:\[\s*at\s*\]|\(\s*at\s*\)|\{\s*at\s*\}|\s[Aa][Tt]\s)\s*"
 DOT = r"\s*(?:\[\s*dot\s*\]|\(\s*dot\s*\)|\{\s*dot\s*\}|\s[Dd][Oo][Tt]\s|\.)\s*"
 GENERATORS = {
     "email": re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{AT}[A-Za-z0-9-]{{1,63}}(?:{DOT}[A-Za-z0-9-]{{2,63}}){{1,4}}"),
-    "phone": re.compile(r"(?<![0-9+])(?:\(?[0-9]{2,4}\)?[ .-]){1,4}[0-9]{3,4}(?:[ .-][0-9]{2,4})?(?![0-9])"),
+    "phone": re.compile(r"(?<![0-9+])(?![0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]))(?:\(?[0-9]{2,4}\)?[ .-]){1,4}[0-9]{3,4}(?:[ .-][0-9]{2,4})?(?![0-9])"),
     "card": re.compile(r"(?<![0-9])(?:[0-9]{4}[ .-]?){3,4}[0-9]{1,4}(?![0-9])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),

@@ -1,0 +1,63 @@
+import hashlib
+import random
+import re
+
+from duelframe.llm import pii as P
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def naive(t):
+    digits = lambda m: re.sub("[^0-9]", "", m.group())
+    valid = lambda d: sum(sum(divmod(int(c) * 2, 10)) if i % 2 else int(c) for i, c in enumerate(d[::-1])) % 10 == 0
+    out = [(m.start(), m.end(), "email") for m in EMAIL.finditer(t)]
+    out += [(m.start(), m.end(), "ip") for m in IP.finditer(t) if all(int(p) <= 255 for p in m.group().split("."))]
+    out += [(m.start(), m.end(), "card") for m in CARD.finditer(t) if 12 <= len(digits(m)) <= 19 and valid(digits(m))]
+    out += [(m.start(), m.end(), "phone") for m in PHONE.finditer(t) if 9 <= len(digits(m)) <= 15]
+    return sorted(out, key=lambda s: (s[0], P.KINDS.index(s[2])))
+
+
+def test_base_spans_equal_the_patterns():
+    r = random.Random(3)
+    for _ in range(20_000):
+        t = "".join(r.choice("a@.1 2-+(5)b@.%4é") for _ in range(r.randint(0, 60)))
+        assert P.base_spans(t) == naive(t)
+
+
+def test_added_spans():
+    model = P.trained()
+    text = "Mail john.doe [at] example [dot] com or call (555) 123-4567, ssn: 123-45-6789, order 2024-01-02, version 10.20.3, 10.0.0.1"
+    base, every = P.spans(text, model)
+    assert base == [(text.index("10.0.0.1"), len(text), "ip")] and set(base) <= set(every)
+    assert [s[2] for s in every] == ["email", "phone", "ssn", "ip"]
+    assert "john" not in P.redact(text, every) and "2024-01-02" in P.redact(text, every)
+    plain = "Nothing to see at all here. Chapter 12, 1999-12-31, page 300 400."
+    assert P.spans(plain, model) == ([], []) and P.redact(plain, []) == plain
+
+
+def test_trees_learn():
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    x = r.normal(size=(600, 3))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
+    assert ((P.boost(x, y).score(x) > 0.5) == y).mean() > 0.95
+
+
+def test_odd_rows(odd, clashing, rows, nothing, spark):
+    for docs in (odd, clashing):
+        out = P.find(docs).collect()
+        assert sorted(str((r.doc_id, r.base)) for r in out) == sorted(str((d, P.joined(naive(t or "")))) for d, t, *_ in rows)
+    assert P.find(nothing).collect() == []
+    one = P.find(spark.createDataFrame([(1, "a@b.cd é 1.2.3.4")], "doc_id long, text string"), redacted=True).first()
+    assert (one.n_email, one.n_ip, one.base, one.redacted) == (1, 1, "email:0:6,ip:9:16", "[email] é [ip]")
+    assert hashlib.sha256(one.base.encode()).hexdigest()
+
+
+def test_long_texts_take_little_time():
+    model = P.trained()
+    for t in ("1" * 1_000_000 + "a" * 1_000_000, " 1.1.1" * 50_000 + "+1" * 100_000, "@" * 100_000 + " a at b" * 20_000 + " dot "):
+        P.spans(t, model)
