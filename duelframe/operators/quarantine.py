@@ -87,6 +87,11 @@ def consumer_view(matches: DataFrame, flags: DataFrame | None) -> DataFrame:
     return matches.join(promoted, "match_id", "left").where(F.col("quarantine_reason").isNull() | F.col("__promoted")).select(*CONSUMER)
 
 
+def consumable() -> Column:
+    """The consumer view's condition where the audit's classification is at hand as an expression: no join, no shuffle."""
+    return F.col("quarantine_reason").isNull() | F.coalesce(promotion() == "inferred_multi_map", F.lit(False))
+
+
 def quarantine_counts(matches: DataFrame) -> DataFrame:
     """Reasons with their counts; the null reason counts clean matches."""
     return matches.groupBy("quarantine_reason").agg(F.count("*").alias("n"))

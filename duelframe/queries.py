@@ -47,12 +47,14 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("px"), "l_suppkey"))  # within an order's few suppliers
     place = lambda r: F.max(F.when(F.col("r") == r, F.col("l_suppkey")))
     pair = side.withColumn("r", rank).where("r <= 2").groupBy("l_orderkey").agg(place(1).alias("w"), place(2).alias("l"))
-    o = _table(spark, sf_dir, "orders").join(pair, F.col("o_orderkey") == F.col("l_orderkey"))
+    sides = pair.select("l_orderkey", F.least("w", F.coalesce("l", "w")).alias("team1_id"), F.when(F.col("l").isNotNull(), F.greatest("w", "l")).alias("team2_id"), F.col("w").alias("winner_team_id"))
     k = F.col("o_orderkey")
     bo = F.when(k % 100 == 0, 2).when(k % 100 == 1, 7).when(k % 5 == 0, 1).when(k % 5 == 1, 5).otherwise(3)
     tier = F.when(F.col("o_orderpriority") == "1-URGENT", "s").when(F.col("o_orderpriority") == "2-HIGH", "a").when(F.col("o_orderpriority") == "3-MEDIUM", "b").when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "c")
     month = (F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("long")
-    return o.select(k.alias("match_id"), F.col("o_orderdate").alias("start_ts"), bo.alias("bo_type"), F.least("w", F.coalesce("l", "w")).alias("team1_id"), F.when(F.col("l").isNotNull(), F.greatest("w", "l")).alias("team2_id"), F.col("w").alias("winner_team_id"), tier.alias("tier"), month.alias("tournament_id"))
+    # Columns are made on their side of the join: above it they would be inlined into every expression that uses them.
+    orders = _table(spark, sf_dir, "orders").select(k.alias("match_id"), F.col("o_orderdate").alias("start_ts"), bo.alias("bo_type"), tier.alias("tier"), month.alias("tournament_id"))
+    return orders.join(sides, F.col("match_id") == F.col("l_orderkey")).drop("l_orderkey")
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +69,7 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """scored with a quarantine reason, and the start as text."""
     own = scored(spark, sf_dir).withColumn("quarantine_reason", quarantine.quarantine_reason())
     stamp = F.date_format("start_ts", "yyyy-MM-dd'T'HH:mm:ss")
-    # Dealt by the key on which flags and matches meet, so both sides of that join read one exchange.
-    return own.withColumns({"start_date": stamp, "end_date": F.when(F.col("match_id") % 11 == 0, F.date_format(F.col("start_ts") - F.expr("INTERVAL 1 DAY"), "yyyy-MM-dd'T'HH:mm:ss")), "stage_id": F.col("match_id") % 4, "round_id": F.col("match_id") % 5}).repartition("match_id")
+    return own.withColumns({"start_date": stamp, "end_date": F.when(F.col("match_id") % 11 == 0, F.date_format(F.col("start_ts") - F.expr("INTERVAL 1 DAY"), "yyyy-MM-dd'T'HH:mm:ss")), "stage_id": F.col("match_id") % 4, "round_id": F.col("match_id") % 5})
 
 
 REASON_SQL = f"""
@@ -82,8 +83,7 @@ CONSUMED_SQL = f"SELECT * FROM ({REASON_SQL}) q WHERE quarantine_reason IS NULL
 
 
 def consumed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = judged(spark, sf_dir)
-    view = quarantine.consumer_view(m, audit.promotions(m))
+    view = judged(spark, sf_dir).where(quarantine.consumable()).select(*quarantine.CONSUMER)
     return view.withColumn("start_ts", F.to_timestamp("start_date"))
 
 
