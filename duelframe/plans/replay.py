@@ -24,7 +24,7 @@ from . import gates, slates, swiss
 from .ratings import fit_events
 
 VERSION = "1:walk-forward+paired-events"
-BASELINES = {"constant-0.5": F.lit(0.5)}
+BASELINES = {"constant-0.5": 0.5}
 
 
 @dataclass
@@ -74,7 +74,7 @@ def evidence(graded: DataFrame, baselines: Mapping[str, str]) -> dict[str, Any]:
     for name, rule in baselines.items():
         if rule not in BASELINES:
             raise gates.GateError(f"unknown baseline rule {rule!r}")
-        means[f"{name}_brier"], means[f"{name}_log"] = F.avg(brier(BASELINES[rule], "result")), F.avg(log_loss(BASELINES[rule], "result"))
+        means[f"{name}_brier"], means[f"{name}_log"] = F.avg(brier(F.lit(BASELINES[rule]), "result")), F.avg(log_loss(F.lit(BASELINES[rule]), "result"))
     return graded.agg(*(v.alias(k) for k, v in means.items())).first().asDict()
 
 
