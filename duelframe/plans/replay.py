@@ -19,6 +19,7 @@ from ..functions.numeric import canonical_sha, has_placeholder, paired, t_quanti
 from ..functions.scoring import age_days, brier, log_loss
 from ..operators.events import assert_no_leakage, event_universe, expand, inside, participants, split, team_statistics, window_matches
 from ..operators.grading import event_summaries, paired_events, verdict, walk_forward
+from ..session import cut
 from ..sources.files import EventConfig, write_run
 from . import gates, slates, swiss
 from .ratings import fit_events
@@ -44,10 +45,12 @@ def fingerprint(matches: DataFrame, meta: Mapping[str, str]) -> dict[str, Any]:
 
 def prepare(matches: DataFrame, events: DataFrame, months: int, hops: int = 1) -> Prepared:
     """Windows, fit universes and what fits need, of consumer matches with start_ts."""
-    window = window_matches(events, matches, months)
+    # Each step stands on its own table: one plan of them all would be too deep to optimize.
+    events = cut(events)
+    window = cut(window_matches(events, matches, months))
     own = matches.join(events.select("tournament_id", "boundary"), "tournament_id").withColumn("event_id", F.col("tournament_id"))
-    universe = expand(participants(events, matches), window, hops)
-    rows = inside(window, universe)
+    universe = cut(expand(participants(events, matches), window, hops))
+    rows = cut(inside(window, universe))
     first = F.col("winner_team_id") == F.col("team1_id")
     sided = F.when(first | (F.col("winner_team_id") == F.col("team2_id")), True).otherwise(F.raise_error(F.concat(F.lit("the winner is neither side of match "), F.col("match_id").cast("string"))).cast("boolean"))
     winner = F.when(first, F.col("team1_id")).otherwise(F.col("team2_id")).cast("string")
@@ -56,16 +59,16 @@ def prepare(matches: DataFrame, events: DataFrame, months: int, hops: int = 1) -
     known = team_statistics(rows).join(events.select(F.col("tournament_id").alias("event_id"), "boundary"), "event_id").withColumn("idle_days", age_days("last_start", "boundary"))
     teams = universe.select("event_id", "team").join(known, ["event_id", "team"], "left").select("event_id", F.col("team").cast("string").alias("team"), F.coalesce("n", F.lit(0)).alias("n"), "modal_tier", "idle_days")
     assert_no_leakage(window, own)
-    return Prepared(events, own, fitted, teams)
+    return Prepared(events, cut(own), cut(fitted), cut(teams))
 
 
 def replay(prepared: Prepared, configs: Mapping[str, dict], least: int, floor: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """graded, skipped, summaries and fits of configs 'cand' and 'inc'."""
-    fits = fit_events(prepared.fitted, prepared.teams, configs).cache()
+    fits = cut(fit_events(prepared.fitted, prepared.teams, configs))
     sides = prepared.own.withColumns({s: F.col(s).cast("string") for s in ("team1_id", "team2_id", "winner_team_id")})
     by = {k: fits.where(F.col("config") == k) for k in ("cand", "inc")}
-    graded, skipped = walk_forward(sides, by["cand"], by["inc"], prepared.teams, least)
-    return graded, skipped, event_summaries(graded, skipped, floor), fits
+    graded, skipped = map(cut, walk_forward(sides, by["cand"], by["inc"], prepared.teams, least))
+    return graded, skipped, cut(event_summaries(graded, skipped, floor)), fits
 
 
 def evidence(graded: DataFrame, baselines: Mapping[str, str]) -> dict[str, Any]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "duelframe", **settings: str) -> SparkSession:
@@ -12,3 +14,15 @@ def session(app: str = "duelframe", **settings: str) -> SparkSession:
     for k, v in (fixed | {k.replace("_", "."): v for k, v in settings.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared checkpoint folder: later plans begin there.
+
+    The folder is the one that the session names in spark.checkpoint.dir; a temporary one
+    is made only where that is unset, as in tests.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="duelframe-"))
+    return df.checkpoint(eager=True)
