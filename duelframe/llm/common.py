@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Texts that a Python worker holds at once.
+BATCH_ROWS = 400
+
 _shipped: dict[str, str] = {}
 
 
@@ -40,8 +43,8 @@ def prepare(spark: SparkSession) -> None:
     if _shipped.get("app") != sc.applicationId:
         _shipped["app"] = sc.applicationId
         sc.addPyFile(_archive())
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 1000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ CAPACITY = 2048
 END_ID = 0
 #: Words of which a Python worker remembers the ids; when full it starts anew.
 REMEMBERED = 300_000
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 8_192
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
