@@ -107,14 +107,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return known.join(by_fp, "fp").select("doc_id", hex_long("fp").alias("fingerprint"), "component_id")
 
 
+def _first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs' rows that stand for their component. Texts are compared only where an id repeats."""
+    kept = cut(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__n")))
+    once = docs.join(kept.where("__n = 1"), "doc_id", "left_semi")
+    often = docs.join(small(kept.where("__n > 1")), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.select(*docs.columns).unionByName(often.select(*docs.columns)).unionByName(docs.where("doc_id IS NULL"))
+
+
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """docs with one row of each component, that of its smallest doc_id; equal rows count once.
 
     Rows without an id can't stand for a component and stay as they are.
     """
     found = near_duplicates(docs.where("doc_id IS NOT NULL"), shingle, radius)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    return _first_of_each(docs, found)
 
 
 # --- similar texts: short fingerprints of words, ball hashing in each, shingle sets to verify ---
@@ -216,5 +223,4 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
 def keep_one_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of similar_groups, that of its smallest doc_id; see keep_one for nulls."""
     found = similar_groups(docs.where("doc_id IS NOT NULL"), shingle, similarity)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(small(kept), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    return _first_of_each(docs, found)
