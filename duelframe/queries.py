@@ -280,7 +280,7 @@ def fitted_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _event(spark: SparkSession, sf_dir: str):
     from .plans import swiss
 
-    rows = _table(spark, sf_dir, "supplier").orderBy("s_suppkey").select("s_suppkey", "s_acctbal").limit(16).collect()  # an event has sixteen
+    rows = _table(spark, sf_dir, "customer").orderBy("c_custkey").select("c_custkey", "c_acctbal").limit(16).collect()  # an event has sixteen
     teams = tuple(f"team{r[0]}" for r in rows)
     ratings = {t: 1000 + r[1] / 50 for t, r in zip(teams, rows, strict=True)}
     return swiss.Event(teams, tuple(zip(teams[:8], teams[8:], strict=True)), {t: i + 1 for i, t in enumerate(teams)}), ratings
