@@ -17,7 +17,6 @@ import struct
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import cut, map_texts, texts
 
 SLOTS = 4
-KEYS_PER_SHARD = 250_000
+KEYS_PER_SHARD = 100_000
 BROADCAST_BYTES = 32 << 20
 
 
@@ -119,15 +118,21 @@ class CuckooFilter:
         return out
 
 
-def _as_digests(keys: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(bytes(k) for k in keys), np.uint64).reshape(-1, 2)
+def _as_digests(keys: pa.ChunkedArray) -> np.ndarray:
+    """Binary keys of 16 bytes as (n, 2) uint64, without a Python object for each."""
+    parts = []
+    for chunk in keys.chunks:
+        if len(chunk):
+            start = np.frombuffer(chunk.buffers()[1], np.int32, 1, 4 * chunk.offset)[0]
+            parts.append(np.frombuffer(chunk.buffers()[2], np.uint64, 2 * len(chunk), int(start)))
+    return np.concatenate(parts).reshape(-1, 2) if parts else np.zeros((0, 2), np.uint64)
 
 
-def _update_shard(key: tuple, filters: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
+def _update_shard(key: tuple, filters: pa.Table, refs: pa.Table) -> pa.Table:
     """A shard's filter after its keys changed, with the exact list of keys it would report wrongly."""
     digests = _as_digests(refs["key"])
-    hot, was = refs["hot"].to_numpy(bool), refs["was"].to_numpy(bool)
-    kept = CuckooFilter.loads(filters["filter"][0]) if len(filters) else None
+    hot, was = (np.array(refs[c].combine_chunks().to_numpy(zero_copy_only=False), bool) for c in ("hot", "was"))
+    kept = CuckooFilter.loads(filters["filter"][0].as_py()) if len(filters) else None
     if kept is not None and hot.sum() <= kept.table.size * 0.9:
         for d in digests[was & ~hot]:
             kept.delete(d)
@@ -137,8 +142,9 @@ def _update_shard(key: tuple, filters: pd.DataFrame, refs: pd.DataFrame) -> pd.D
         kept = None
     if kept is None:
         kept = CuckooFilter.built(digests[hot])
-    wrong = digests[~hot][kept.contains(digests[~hot])]
-    return pd.DataFrame({"shard": [key[0]], "filter": [kept.dumps()], "wrong": [wrong.tobytes()]})
+    cold = digests[~hot]
+    wrong = cold[kept.contains(cold)]
+    return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([kept.dumps()], pa.binary()), "wrong": pa.array([wrong.tobytes()], pa.binary())})
 
 
 @dataclass
@@ -179,7 +185,7 @@ class LineIndex:
     def _changed(self, both: DataFrame) -> LineIndex:
         shard = (F.conv(F.hex(F.substring("key", 3, 3)), 16, 10).cast("long") % self.shards).cast("int")
         flagged = both.select("key", shard.alias("shard"), (F.col("refs") >= self.min_docs).alias("hot"), (F.col("before") >= self.min_docs).alias("was"))
-        filters = cut(self.filters.groupBy("shard").cogroup(flagged.groupBy("shard")).applyInPandas(_update_shard, "shard int, filter binary, wrong binary"))
+        filters = cut(self.filters.groupBy("shard").cogroup(flagged.groupBy("shard")).applyInArrow(_update_shard, "shard int, filter binary, wrong binary"))
         return LineIndex(both.where("refs > 0").select("key", "refs", shard.alias("shard")), filters, self.shards, self.min_docs, self.min_chars)
 
     def dedup(self, docs: DataFrame) -> DataFrame:
