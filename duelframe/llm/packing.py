@@ -59,7 +59,10 @@ class WordEncoder:
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        words = text.split() if text.isascii() else text.encode().split()
+        if self.merges is None or "<|" in text:  # may be a special token, which has its own case
+            words = text.encode().split()
+        else:  # the known form lower-cases anyway
+            words = text.lower().split() if text.isascii() else text.encode().lower().split()
         found = list(map(self.known.get, words))
         if None in found:
             if len(self.known) > REMEMBERED:
