@@ -189,7 +189,7 @@ def suffix_array(data: np.ndarray, rest: np.ndarray, keep: np.ndarray, depth: in
         after = np.where(rest > size, rank[np.minimum(at + size, n - 1)] + np.uint64(1), np.uint64(0)) if n else rank
         levels.append(_rank(rank << np.uint64(32) | after))
         size *= 2
-    order = keep[np.argsort(levels[-1][keep], kind="stable")]
+    order = keep[np.argsort(levels[-1][keep])]
     lcp = np.zeros(len(order), np.int64)
     if len(order) > 1:
         a, b = order[:-1], order[1:]
@@ -206,7 +206,7 @@ def suffix_array(data: np.ndarray, rest: np.ndarray, keep: np.ndarray, depth: in
 
 
 def _rank(keys: np.ndarray) -> np.ndarray:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)  # equal keys get one rank, so their order is free
     ordered = keys[order]
     out = np.empty(len(keys), np.int32)
     out[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1]))) if len(keys) else 0
@@ -244,7 +244,7 @@ def maximal_repeats(texts: list[bytes], least: int) -> list[Repeat]:
     data = np.frombuffer(b"".join(texts), np.uint8)
     own = np.repeat(np.arange(len(texts)), sizes)
     rest = ends[own] - np.arange(len(data))  # bytes to the end of its text
-    sa = suffix_array(data, rest, np.flatnonzero(rest >= least))
+    sa = suffix_array(data, rest, np.flatnonzero(rest >= least), min(1024, int(sizes.max(initial=1))))
     lcp = sa.lcp
     runs = np.cumsum(lcp < least) - 1
     # The byte to the left; -1 - place where a text begins, which differs from all others.
