@@ -13,6 +13,7 @@ A null doc_id is never the smallest. Repeated rows share a fingerprint. Empty in
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -199,23 +200,36 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float)
     return cut(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
 
 
+def joined(first: DataFrame, rest: Callable[[DataFrame], DataFrame], docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """node, root: components of the verified pairs among first and rest.
+
+    rest takes the components (node, root) of first's links and returns all further pairs
+    (a, b) whose sides lie in different ones; pairs inside a component can't change it.
+    """
+    found = verified(first, docs, shingle, similarity)
+    more = cut(rest(components(found)).join(first, ["a", "b"], "left_anti"))
+    return components(found.union(verified(more, docs, shingle, similarity)))
+
+
+def _apart(pairs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sides lie in different components."""
+    ra, rb = rooted.select(F.col("node").alias("a"), F.col("root").alias("ra")), rooted.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    both = pairs.join(ra, "a", "left").join(rb, "b", "left")
+    return both.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id: groups of documents linked by a similarity of their shingle sets.
 
     Candidates come from ball hashing of short fingerprints and every link is verified. Texts
     of equal words are one to begin with. Each text first meets the smallest candidate of its
-    own; those that find no link so meet all others of the stars that they share. Ids must be
-    given and differ; equal texts may repeat.
+    own; then all candidates meet whose components still differ. Ids must be given and
+    differ; equal texts may repeat.
     """
     known = cut(_sketches(docs))
     reps = cut(known.groupBy("same").agg(F.min(F.struct("doc_id", "keys")).alias("one")).select("same", "one.*"))
     first, near = candidates(reps.select("doc_id", "keys"))
-    found = verified(first, docs, shingle, similarity)
-    settled = found.select("a").union(found.select("b")).distinct()
-    lone = F.col("sa").isNull() | F.col("sb").isNull()
-    left = near.join(settled.select("a", F.lit(True).alias("sa")), "a", "left").join(settled.select(F.col("a").alias("b"), F.lit(True).alias("sb")), "b", "left").where(lone).select("a", "b")
-    edges = found.union(verified(cut(left.join(first, ["a", "b"], "left_anti")), docs, shingle, similarity))
-    rooted = components(edges).select(F.col("node").alias("doc_id"), "root")
+    rooted = joined(first, lambda roots: _apart(near, roots), docs, shingle, similarity).select(F.col("node").alias("doc_id"), "root")
     grouped = reps.join(rooted, "doc_id", "left").select("same", F.coalesce("root", "doc_id").alias("component_id"))
     return known.join(grouped, "same").select("doc_id", "component_id")
 

@@ -76,3 +76,13 @@ def test_keeping_one(odd, nothing):
     assert ids.count(None) == 2 and 50 in ids and not {51, 60, 61} & set(ids) and ids.count(20) <= 2
     assert S.keep_one_similar(nothing).collect() == [] and S.near_duplicates(nothing).collect() == [] and S.keep_one(nothing).collect() == []
     assert {1, 5, 6} <= {r.doc_id for r in S.keep_one(odd).collect()}
+
+
+def test_settled_groups_still_meet(spark):
+    """1~3 and 2~4 are first choices; 3~4 joins their groups."""
+    w = [f"word{i}" for i in range(200)]
+    docs = spark.createDataFrame([(i, " ".join(w[at : at + 100])) for i, at in ((1, 0), (3, 10), (4, 20), (2, 30))], "doc_id long, text string")
+    first = spark.createDataFrame([(3, 1), (4, 2)], "a long, b long")
+    near = spark.createDataFrame([(3, 1), (4, 2), (4, 3)], "a long, b long")
+    got = {r.node: r.root for r in S.joined(first, lambda _: near, docs, 5, 0.8).collect()}
+    assert {i: got.get(i, i) for i in (1, 2, 3, 4)} == dict.fromkeys((1, 2, 3, 4), 1)
