@@ -13,6 +13,7 @@ A null doc_id is never the smallest. Repeated rows share a fingerprint. Empty in
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from itertools import combinations
 
@@ -21,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, hex_long, map_texts, small, texts
 
@@ -125,65 +127,102 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     return _first_of_each(docs, found)
 
 
-# --- similar texts: short fingerprints of words, ball hashing in each, shingle sets to verify ---
+# --- similar texts: an exact prefix filter proposes pairs, shingle sets verify them ---
 
-#: Independent fingerprints of 32 bits; two texts need to come within two bits in one of them.
-TABLES = 4
-#: Of all 128 bits, differing ones beyond which texts can't reach the similarity but by rare chance.
-FAR = 32
-SKETCH = "doc_id long, same binary, keys array<long>"
+#: Of so many rows one is sampled to learn which shingles are frequent. Any order of shingles gives the same pairs; rare ones first give few candidates.
+SAMPLE = 16
+#: Frequent shingles that the order knows at most.
+COMMON = 200_000
+#: Longs of parity bits: each shingle that only one of two texts has flips one bit, so differing bits never exceed differing shingles.
+PARITY = 8
+PREFIX = "doc_id long, same binary, n long, parity array<long>, prefix array<long>"
 
 
-def sketch(text: str) -> tuple[bytes, list[int]]:
-    """A digest that texts of equal words share, and TABLES 32-bit majorities over the different words.
-
-    Words of under five bytes count a fifth: the frequent ones make all texts alike.
-    """
-    words = text.encode().lower().split()
-    same = xxhash.xxh3_128_digest(b" ".join(words))
-    every = sorted(set(words))
-    if not every:
-        return same, [0] * TABLES
-    bits = np.unpackbits(np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, every)), np.uint8).reshape(-1, 16), axis=1)
-    weights = np.array([1.0 if len(w) > 4 else 0.2 for w in every], np.float32)
-    ones = weights @ bits
-    return same, np.packbits(ones * 2 > weights.sum()).view(">u4").astype(np.int64).tolist()
-
-
-def shingle_set(text: str, shingle: int) -> list[int]:
-    """The different hashes of a text's shingles, as signed longs."""
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """The different hashes of a text's shingles, as sorted signed longs."""
     words = text.encode().lower().split()
-    own = {xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))}
-    return np.array(sorted(own), np.uint64).view(np.int64).tolist()
+    if not words:
+        return np.array([xxhash.xxh64_intdigest(b"", SEED)], np.uint64).view(np.int64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-1]))[: max(1, len(words) - shingle + 1)]
+    joined, stops, digest = b" ".join(words), ends[min(shingle, len(words)) - 1 :] - 1, xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)], np.uint64).view(np.int64))
+
 
+def prefix_size(n: int, similarity: float) -> int:
+    """Two sets at the similarity share one of their first so many elements, in any order common to all."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
+
+
+def frequent(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles seen more than once in a sample of rows, the most frequent last; at most COMMON."""
 
-def _sketches(docs: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        same, keys = zip(*map(sketch, texts(batch)), strict=True)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "same", "keys"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t, shingle) for t in texts(batch)]))], ["s"])
+
+    sampled = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
+    counts = map_texts(sampled, run, "s long").groupBy("s").count().where("count > 1")
+    return np.array([r.s for r in counts.orderBy(F.desc("count"), "s").limit(COMMON).collect()][::-1], np.int64)
 
-    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), run, SKETCH)
 
+def prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """doc_id, a digest that texts of equal words share, number of shingles, parity bits and the prefix of the ordered shingles."""
+    ranked = frequent(docs, shingle)
+    by_value = np.argsort(ranked)
+    values = ranked[by_value]
 
-def _differing(a: str, b: str):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    def ordered(own: np.ndarray) -> np.ndarray:
+        rank = np.full(len(own), -1)
+        if len(values):
+            at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+            rank = np.where(values[at] == own, by_value[at], -1)
+        return own[np.argsort(rank, kind="stable")[: prefix_size(len(own), similarity)]]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        same, n, parity, prefix = [], [], [], []
+        for t in texts(batch):
+            own = shingle_set(t, shingle)
+            same.append(xxhash.xxh3_128_digest(b" ".join(t.encode().lower().split())))
+            n.append(len(own))
+            parity.append(np.packbits(np.bincount(own & (64 * PARITY - 1), minlength=64 * PARITY) & 1).view(np.int64))
+            prefix.append(ordered(own))
+        columns = [batch.column(0), pa.array(same, pa.binary()), pa.array(n, pa.int64()), pa.array(parity, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "same", "n", "parity", "prefix"])
 
+    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), run, PREFIX)
 
-def candidates(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From doc_id, keys, one row for each different text: few (a, b), each text's first choices, and all (a, b) of the stars."""
-    keyed = sketches.select("doc_id", F.posexplode("keys").alias("t", "fp"))
-    centers = cut(keyed.groupBy("t", "fp").agg(F.min("doc_id").alias("center")))
-    alike = keyed.join(centers, ["t", "fp"]).where("doc_id <> center").select(F.col("doc_id").alias("a"), F.col("center").alias("b"))
-    masks = F.array(F.lit(0).cast("long"), *(F.lit(1 << i).cast("long") for i in range(32)))
-    variants = centers.select("center", (F.col("t") * F.lit(1 << 32)).alias("base"), F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("v"))
-    # At most 33 fingerprints come within a bit of a variant, each with one center.
-    groups = variants.groupBy((F.col("base") + F.col("v")).alias("key")).agg(F.collect_list("center").alias("c")).where("size(c) > 1")
-    stars = groups.select(F.array_min("c").alias("b"), F.explode("c").alias("a")).where("a <> b").select("a", "b")
-    every = alike.union(stars).distinct()
-    mine = sketches.select(F.col("doc_id").alias("a"), F.col("keys").alias("ka"))
-    theirs = sketches.select(F.col("doc_id").alias("b"), F.col("keys").alias("kb"))
-    near = cut(every.join(mine, "a").join(theirs, "b").where(_differing("ka", "kb") <= FAR).select("a", "b"))
-    return near.groupBy("a").agg(F.min("b").alias("b")), near
+
+def members(reps: DataFrame) -> DataFrame:
+    """s, doc_id, pos, n, parity: a row for each prefix shingle that two texts or more have in their prefixes."""
+    rows = reps.select("doc_id", F.posexplode("prefix").alias("pos", "s"))
+    shared = cut(rows.withColumn("k", F.count("*").over(Window.partitionBy("s"))).where("k > 1").drop("k"))
+    return cut(shared.join(reps.select("doc_id", "n", "parity"), "doc_id"))
+
+
+def _meet(left: DataFrame, right: DataFrame, similarity: float, also) -> DataFrame:
+    """a, b: pairs of rows of one shingle that can reach the similarity, by position, size and parity bits."""
+    whole, differing = F.col("x.n") + F.col("y.n"), F.lit(0)
+    for i in range(PARITY):
+        differing = differing + F.bit_count(F.col("x.parity")[i].bitwiseXOR(F.col("y.parity")[i]))
+    # If s is the first shingle that the ordered sets share, no more than the shorter rest is shared.
+    most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    near = also & (most >= whole * (similarity / (1 + similarity)) - 1e-6) & (differing <= whole * ((1 - similarity) / (1 + similarity)) + 1e-6)
+    return left.alias("x").join(right.alias("y"), (F.col("x.s") == F.col("y.s")) & near).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+
+
+def stars(rows: DataFrame, similarity: float) -> DataFrame:
+    """a, b: of each shingle's texts, those that can be similar to its smallest id."""
+    centers = rows.join(rows.groupBy("s").agg(F.min("doc_id").alias("doc_id")), ["s", "doc_id"])
+    return _meet(rows, centers, similarity, F.col("x.doc_id") > F.col("y.doc_id"))
+
+
+def between(rows: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """a, b: all pairs of a shingle's texts that can be similar and lie in different components."""
+    own = rows.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    own = cut(own)
+    mixed = own.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s")
+    live = cut(own.join(mixed, "s"))
+    return _meet(live, live, similarity, (F.col("x.doc_id") > F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -211,27 +250,20 @@ def joined(first: DataFrame, rest: Callable[[DataFrame], DataFrame], docs: DataF
     return components(found.union(verified(more, docs, shingle, similarity)))
 
 
-def _apart(pairs: DataFrame, rooted: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sides lie in different components."""
-    ra, rb = rooted.select(F.col("node").alias("a"), F.col("root").alias("ra")), rooted.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    both = pairs.join(ra, "a", "left").join(rb, "b", "left")
-    return both.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-
-
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id: groups of documents linked by a similarity of their shingle sets.
 
-    Candidates come from ball hashing of short fingerprints and every link is verified. Texts
-    of equal words are one to begin with. Each text first meets the smallest candidate of its
-    own; then all candidates meet whose components still differ. Ids must be given and
-    differ; equal texts may repeat.
+    Exact: texts at the similarity share a shingle of their prefixes, and every link is
+    verified. Texts of equal words are one to begin with. Of each prefix shingle all texts
+    first meet the smallest id; then all its pairs meet whose components still differ. Ids
+    must be given and differ; equal texts may repeat.
     """
-    known = cut(_sketches(docs))
-    reps = cut(known.groupBy("same").agg(F.min(F.struct("doc_id", "keys")).alias("one")).select("same", "one.*"))
-    first, near = candidates(reps.select("doc_id", "keys"))
-    rooted = joined(first, lambda roots: _apart(near, roots), docs, shingle, similarity).select(F.col("node").alias("doc_id"), "root")
-    grouped = reps.join(rooted, "doc_id", "left").select("same", F.coalesce("root", "doc_id").alias("component_id"))
-    return known.join(grouped, "same").select("doc_id", "component_id")
+    known = cut(prefixes(docs, shingle, similarity))
+    reps = cut(known.groupBy("same").agg(F.min(F.struct("doc_id", "n", "parity", "prefix")).alias("one")).select("same", "one.*"))
+    rows = members(reps)
+    found = joined(cut(stars(rows, similarity)), lambda roots: between(rows, roots, similarity), docs, shingle, similarity)
+    grouped = reps.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("same", F.coalesce("root", "doc_id").alias("component_id"))
+    return known.select("doc_id", "same").join(grouped, "same").select("doc_id", "component_id")
 
 
 def keep_one_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

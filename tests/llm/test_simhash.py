@@ -1,3 +1,4 @@
+import random
 import re
 
 import xxhash
@@ -86,3 +87,35 @@ def test_settled_groups_still_meet(spark):
     near = spark.createDataFrame([(3, 1), (4, 2), (4, 3)], "a long, b long")
     got = {r.node: r.root for r in S.joined(first, lambda _: near, docs, 5, 0.8).collect()}
     assert {i: got.get(i, i) for i in (1, 2, 3, 4)} == dict.fromkeys((1, 2, 3, 4), 1)
+
+
+def shingled(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_planted_pairs_are_all_found(spark):
+    """Appended and replaced blocks and scattered edits at 0.80 to 0.90, among texts that share a passage."""
+    r, texts, new = random.Random(5), {}, iter(range(10**9))
+    fresh = lambda n: [f"w{next(new)}x" for _ in range(n)]
+    for i in range(60):
+        base, kind = fresh(r.randint(150, 400)), i % 3
+        copy, share = list(base), r.uniform(0.02, 0.13)
+        k = int(share * len(base))
+        if kind == 0:
+            copy += fresh(k)
+        elif kind == 1:
+            copy[50 : 50 + k] = fresh(k)
+        else:
+            for at in r.sample(range(len(base)), max(1, k // 6)):
+                copy[at] = next(iter(fresh(1)))
+        texts[2 * i], texts[2 * i + 1] = " ".join(base), " ".join(copy)
+    passage = fresh(60)
+    for i in range(200, 230):
+        texts[i] = " ".join(fresh(40) + passage)
+    sets = {i: shingled(t) for i, t in texts.items()}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = classes(sorted(texts), alike)
+    assert sum(want[2 * i + 1] == 2 * i for i in range(60)) > 30
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in S.similar_groups(docs).collect()} == want
