@@ -119,3 +119,12 @@ def test_planted_pairs_are_all_found(spark):
     assert sum(want[2 * i + 1] == 2 * i for i in range(60)) > 30
     docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
     assert {x.doc_id: x.component_id for x in S.similar_groups(docs).collect()} == want
+
+
+def test_members_meet_past_a_dissimilar_smallest(spark):
+    """Of one shingle's texts the smallest id is unlike the others, which are alike."""
+    far = [0x5555555555555555] * S.PARITY
+    rows = spark.createDataFrame([(7, i, 0, 100, far if i == 1 else [i] + [0] * (S.PARITY - 1)) for i in (1, 2, 3, 4)], "s long, doc_id long, pos int, n long, parity array<long>")
+    roots = spark.createDataFrame([(4, 3)], "node long, root long")
+    assert S.stars(rows, 0.8).collect() == []
+    assert {tuple(r) for r in S.between(rows, roots, 0.8).collect()} == {(3, 2), (4, 2)}
