@@ -264,12 +264,13 @@ def paired_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fitted_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both configurations' fits of every sixth month's event."""
+    """Both configurations' fits of every event, over the 24 months before it."""
     from .plans.replay import prepare
     from .plans.ratings import fit_events
 
-    m, ev, _ = _windows(spark, sf_dir)
-    ready = prepare(m.where("team2_id IS NOT NULL"), ev, 6)
+    m = consumed(spark, sf_dir)
+    ev = events.event_universe(m)[0]
+    ready = prepare(m.where("team2_id IS NOT NULL"), ev, 24)
     model = {"priors_scheme": "flat1000", "prior_mean": 1000, "sigma": 50.0, "iters": 2000, "lr": 100.0, "converge_tol": 0.01}
     tiered = model | {"priors_scheme": "tier-empirical-2pass", "staleness": {"sigma_per_year": 50.0}}
     weighted = {"scheme": "weighted", "half_life_days": 180, "bo1_discount": 0.6}

@@ -32,3 +32,8 @@ def test_equals_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(Q.queries()) - set(Q.oracle_sql())))
 def test_others_have_rows(spark, name):
     assert Q.queries()[name](spark, SF).count() > 0 or name == "fitted_ratings"
+
+
+def test_every_event_has_ratings(spark):
+    got = {r.event_id for r in Q.fitted_ratings(spark, SF).select("event_id").distinct().collect()}
+    assert got == {r.tournament_id for r in Q.event_universe(spark, SF).select("tournament_id").collect()} and len(got) > 50
