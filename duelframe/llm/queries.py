@@ -75,7 +75,9 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"), length=400)
-    return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    passage_bytes = F.aggregate("passages", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    passages = (F.size("passages").cast("long").alias("n_passages"), passage_bytes.alias("passage_bytes"))
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), *passages)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

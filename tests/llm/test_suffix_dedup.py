@@ -42,6 +42,45 @@ def test_equals_brute_force_by_arrays_and_by_counts(spark, most):
     assert got(S.dedup_substrings(docs, 400, most)) == brute(rows, 400)
 
 
+def covered(rows, n):
+    """Runs of bytes that strings of n bytes repeat, by brute force."""
+    data = [(t or "").encode() for _, t in rows]
+    seen = Counter(b[i : i + n] for b in data for i in range(len(b) - n + 1))
+    return sorted(((d, S.merged([(i, i + n) for i in range(len(b) - n + 1) if seen[b[i : i + n]] > 1])) for (d, _), b in zip(rows, data, strict=True)), key=str)
+
+
+@pytest.mark.parametrize("most", [8192, 2])
+def test_passages_equal_brute_force(spark, most):
+    rows = planted(5) + [(2000 + i, f"own text {i} " * i + "p" * 100 + "q" * 160 + str(i)) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, [tuple(x) for x in r.passages]) for r in S.dedup_substrings(docs, 400, most).collect()), key=str)
+    assert got == covered(rows, 256)
+
+
+def test_groups_hold_all_occurrences(spark):
+    rows = [r for r in planted(9) if r[0] is not None and r[0] != rows_twice(planted(9))]
+    text = {d: (t or "").encode() for d, t in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    groups = {}
+    for r in S.repeat_groups(docs).collect():
+        groups.setdefault((r.group, r.length), set()).add((r.doc_id, r.start))
+    held = {}
+    for (_, n), places in groups.items():
+        d, at = min(places)
+        own = text[d][at : at + n]
+        assert 256 <= n <= 400 and len(places) > 1
+        assert places == {(e, i) for e, b in text.items() for i in range(len(b) - n + 1) if b[i : i + n] == own}
+        for e, i in places:
+            held.setdefault(e, []).append((i, i + n))
+    # Together they cover what strings of 256 bytes repeat.
+    assert sorted(((d, S.merged(held.get(d, []))) for d in text), key=str) == covered(rows, 256)
+
+
+def rows_twice(rows):
+    """The id of the row that is there twice."""
+    return next(d for d, n in Counter(d for d, _ in rows if d is not None).items() if n > 1)
+
+
 def test_other_rows(odd, rows, nothing):
     assert got(S.dedup_substrings(odd, 400)) == brute([r[:2] for r in rows], 400)
     assert S.dedup_substrings(nothing).collect() == []
