@@ -4,10 +4,11 @@ Texts become token ids with an end id each; what is longer than a sequence is cu
 pieces and a rest. The driver holds the histogram of piece lengths (at most ``capacity``
 numbers) and solves, by multiplicative weights, the program that covers it with the fewest
 configurations of lengths that fit a sequence; the best configuration under the current
-weights comes from a knapsack dynamic program. The solution is rounded down, what is left is
-packed best-fit, largest first, and the result is compared with best-fit alone. The plan
+weights comes from a knapsack dynamic program, and so does a proven lower bound. The solution
+is rounded; what rounding leaves is solved again, and its last rest packed best-fit. The plan
 is a table over lengths; pieces find their place by their number among those of equal
-length, which is counted in two levels so that a frequent length is not in one task.
+length, which is counted in two levels, by buckets of rows dealt out by number, so that
+neither a frequent length nor equal rows are in one task.
 
 Nulls: a null text is empty, its one piece is the end id. Repeated rows are packed each.
 Ids may repeat or be null. Empty in, empty out.
@@ -18,8 +19,10 @@ from __future__ import annotations
 import bisect
 import functools
 import json
+import math
 import zlib
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +39,10 @@ END_ID = 0
 #: Words of which a Python worker remembers the ids; when full it starts anew.
 REMEMBERED = 300_000
 BUCKET_ROWS = 8_192
+#: A solution this close to the proven bound is good enough.
+GAP = 0.002
+#: Parts of a length's count that a fractional use is a multiple of where best-fit begins it.
+PARTS = 1000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -144,12 +151,12 @@ class Merges:
 
 
 @functools.cache
-def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def _encoder(path: str | Callable[[], str]) -> WordEncoder:
+    return WordEncoder(path() if callable(path) else path)
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every document's pieces. tokenizer: its file's path."""
+def pieces(docs: DataFrame, tokenizer: str | Callable[[], str], capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every document's pieces. tokenizer: its file's path, or a function that finds it where it is called."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -195,34 +202,120 @@ def _chosen(last: np.ndarray, lengths: np.ndarray, capacity: int) -> Counter:
     return out
 
 
-def fractional(histogram: dict[int, int], capacity: int, rounds: int = 200, rate: float = 2.0, step: float = 0.25, fill: float = 1.0) -> dict[Config, float]:
-    """Fractional uses of configurations that cover almost all of the histogram and no length beyond its count.
+@dataclass
+class Program:
+    """A solution of the covering program: fractional uses of configurations, and a proven lower bound of any."""
+
+    uses: dict[Config, float]
+    bound: float
+
+    @property
+    def total(self) -> float:
+        return sum(self.uses.values())
+
+    @property
+    def gap(self) -> float:
+        """How far the uses may be from the fewest, as a share of the bound."""
+        return self.total / self.bound - 1 if self.bound else 0.0
+
+
+def fractional(histogram: dict[int, int], capacity: int, rounds: int = 200, gap: float = GAP, rate: float = 2.0, step: float = 0.25) -> Program:
+    """Uses of configurations, full or not, that cover the histogram, at most gap above the dual bound or what rounds reach.
 
-    The covering program is solved by multiplicative weights: a length's price is its share
-    of a sequence times a weight that grows exponentially with how far its cover lags. One
-    knapsack program gives the best contents of every capacity under these prices, and so
-    the best configuration that holds a given length; the lengths that lag most get theirs.
+    Prices of lengths follow multiplicative weights: a length's price is its share of a
+    sequence times a weight that grows exponentially with how far its cover lags. One knapsack
+    program gives the best contents of every capacity under these prices, so the best
+    configuration that holds a given length, and a bound: the histogram's price over the best
+    configuration's. Lagging lengths get their configurations while full ones are found; what
+    is left, often a small share, starts with best-fit's configurations. Where that leaves a
+    gap, the weights go on over all configurations found so far, new ones being priced in
+    between, until the bound is met.
     """
     lengths = np.array(sorted(histogram))
     need = np.array([histogram[x] for x in lengths], float)
-    done, used = np.zeros(len(lengths)), Counter()
+    if not len(lengths):
+        return Program({}, 0.0)
+    done, used, bound = np.zeros(len(lengths)), Counter(), need @ lengths / capacity
     for _ in range(rounds):
         open_ = np.flatnonzero(done < need * (1 - 1e-9))
-        if not len(open_) or (need - done)[open_] @ lengths[open_] < 0.005 * (need @ lengths):
+        if not len(open_) or (need - done) @ lengths < 0.005 * (need @ lengths):
             break
         lag = (1 - done / need)[open_]
         own = lengths[open_]
         prices = own / capacity * np.exp(rate * (lag - lag.max()))
-        _, last = knapsack(prices, own, capacity)
+        best, last = knapsack(prices, own, capacity)
+        bound = max(bound, need[open_] @ prices / best[capacity])
+        before = done.sum()
         for i in np.argsort(-lag * own, kind="stable")[: max(8, len(open_) // 8)]:
             chosen = _chosen(last, own, capacity - int(own[i]))
             chosen[int(i)] += 1
             rows, counts = open_[list(chosen)], np.array(list(chosen.values()), float)
-            n = 0 if own[list(chosen)] @ counts < fill * capacity else min((need[rows] * step / counts).min(), ((need - done)[rows] / counts).min())
+            n = min((need[rows] * step / counts).min(), ((need - done)[rows] / counts).min()) if own[list(chosen)] @ counts == capacity else 0
             if n > 0:
                 done[rows] += n * counts
-                used[tuple(sorted(((int(own[j]), k) for j, k in chosen.items()), reverse=True))] += n
-    return dict(used)
+                used[_config(lengths, dict(zip(rows.tolist(), counts.astype(int).tolist(), strict=True)))] += n
+        if done.sum() == before:
+            break
+    rest = {int(x): int(np.ceil(k * PARTS)) for x, k in zip(lengths, need - done, strict=True) if k > 1e-9 * need.max()}
+    for config, n in best_fit(rest, capacity).items():
+        used[tuple(sorted(config, reverse=True))] += n / PARTS
+    found = Program(dict(used), bound)
+    return found if found.gap <= gap or found.total <= math.ceil(bound - 1e-6) else _improved(lengths, need, capacity, found, rounds, gap)
+
+
+def _config(lengths: np.ndarray, contents: dict[int, int]) -> Config:
+    return tuple(sorted(((int(lengths[i]), k) for i, k in contents.items()), reverse=True))
+
+
+def _improved(lengths: np.ndarray, need: np.ndarray, capacity: int, known: Program, rounds: int, gap: float, inner: int = 400, rate: float = 0.05) -> Program:
+    """Multiplicative weights over a growing pool of configurations, begun with those of known."""
+    at = {int(x): i for i, x in enumerate(lengths)}
+    pool, columns, best = [], np.zeros((len(lengths), 0)), known
+
+    def add(configs: list[Config]) -> None:
+        nonlocal columns
+        new = [c for c in dict.fromkeys(configs) if c not in seen]
+        seen.update(new)
+        more = np.zeros((len(lengths), len(new)))
+        for j, config in enumerate(new):
+            for x, k in config:
+                more[at[x], j] = k / need[at[x]]
+        pool.extend(new)
+        columns = np.concatenate((columns, more), axis=1)
+
+    seen: set[Config] = set()
+    add(list(known.uses))
+    weights, bound = lengths * need / (lengths @ need), known.bound
+    for _ in range(max(1, rounds // 10)):
+        taken, cover, mean = np.zeros(len(pool)), np.zeros(len(lengths)), np.zeros(len(lengths))
+        log = np.log(weights)
+        for t in range(inner):
+            weights = np.exp(log - log.max())
+            weights /= weights.sum()
+            mean += weights
+            j = int((weights @ columns).argmax())
+            own = columns[:, j] / columns[:, j].max()
+            taken[j] += 1 / columns[:, j].max()
+            cover += own
+            log = log - rate * own
+        scale = cover.min()
+        if scale > 0 and taken.sum() / scale < best.total:
+            best = Program({pool[j]: taken[j] / scale for j in np.flatnonzero(taken)}, bound)
+        for w in (mean / mean.sum(), weights):
+            prices = w / need
+            values, last = knapsack(prices, lengths, capacity)
+            bound = max(bound, prices @ need / values[capacity])
+            dear = [_chosen(last, lengths, capacity)]
+            for i in np.argsort(-(prices + values[capacity - lengths]), kind="stable")[:64]:
+                own = _chosen(last, lengths, capacity - int(lengths[i]))
+                own[int(i)] += 1
+                dear.append(own)
+            add([_config(lengths, own) for own in dear])
+        best = Program(best.uses, bound)
+        weights = np.maximum(mean / mean.sum(), 1e-12)
+        if best.gap <= gap or best.total <= math.ceil(bound - 1e-6):
+            break
+    return best
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> Counter:
@@ -268,23 +361,26 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Counter:
 
 
 def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 200) -> list[tuple[Config, int]]:
-    """(configuration, how many sequences) that hold the histogram exactly, as few as either way finds."""
-    rounded: Counter = Counter()
+    """(configuration, how many sequences) that hold the histogram exactly.
+
+    Uses are rounded to whole ones that no length exceeds. What rounding leaves is a smaller
+    program of the same kind, solved again; the last rest is packed best-fit.
+    """
+    out: Counter = Counter()
     left = Counter(histogram)
-    for _ in range(4):  # what rounding leaves is a smaller program of the same kind
+    for again in range(4):
         held = sum(left.values())
-        for config, n in sorted(fractional({x: n for x, n in (+left).items() if x < capacity}, capacity, rounds).items(), key=lambda x: -x[1]):
+        solved = fractional(+left, capacity, rounds if not again else rounds // 4, GAP if not again else 1.0)
+        for config, n in sorted(solved.uses.items(), key=lambda x: -x[1]):
             whole = min([round(n), *(left[x] // k for x, k in config)])
             if whole > 0:
-                rounded[config] += whole
+                out[config] += whole
                 for x, k in config:
                     left[x] -= k * whole
         if sum(left.values()) > 0.9 * held:
             break
-    rounded.update(best_fit(+left, capacity))
-    plain = best_fit(dict(histogram), capacity)
-    chosen = rounded if sum(rounded.values()) <= sum(plain.values()) else plain
-    return sorted(chosen.items(), reverse=True)
+    out.update(best_fit(+left, capacity))
+    return sorted(out.items(), reverse=True)
 
 
 @dataclass
@@ -307,26 +403,27 @@ def plan(configs: list[tuple[Config, int]]) -> Plan:
     return Plan(pd.DataFrame(rows, columns=["length", "first", "per", "sequence", "offset"]), sequence)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, rounds: int = 200) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | Callable[[], str], capacity: int = CAPACITY, end_id: int = END_ID, rounds: int = 200) -> DataFrame:
     """PIECES' columns, then sequence_id and offset: each piece's place."""
-    return place(cut(pieces(docs, tokenizer, capacity, end_id)), capacity, rounds)
+    return place(pieces(docs, tokenizer, capacity, end_id), capacity, rounds)
 
 
-def place(cut_pieces: DataFrame, capacity: int = CAPACITY, rounds: int = 200) -> DataFrame:
-    """cut_pieces (of a column length, at most capacity) with sequence_id and offset."""
-    spark = cut_pieces.sparkSession
-    total = cut_pieces.count()
-    buckets = max(1, -(-total // BUCKET_ROWS))
-    keyed = cut_pieces.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
+def place(found: DataFrame, capacity: int = CAPACITY, rounds: int = 200) -> DataFrame:
+    """found (of a column length, at most capacity) with sequence_id and offset."""
+    spark = found.sparkSession
+    rows = cut(found.withColumn("__row", F.monotonically_increasing_id()))  # the numbers stay as they were stored
+    buckets = max(1, -(-rows.count() // BUCKET_ROWS))
+    keyed = rows.withColumn("__bucket", F.pmod(F.xxhash64("__row"), F.lit(buckets)).cast("int"))
     counts = keyed.groupBy("length", "__bucket").agg(F.count("*").alias("n"))
     histogram = {int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most capacity rows
     planned = plan(configurations(histogram, capacity, rounds))
-    # The plan has at most a few rows for each length and configuration, whatever the number of pieces.
+    # The plan has a row for each length of each configuration: those found in rounds of at most
+    # capacity / 8 each and best-fit's, which end at most one kind of bin for each length. Neither grows with the pieces.
     shared = spark.sparkContext.broadcast({int(x): tuple(g[c].to_numpy() for c in ("first", "per", "sequence", "offset")) for x, g in planned.rows.groupby("length")})
     ahead = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("length", "__bucket", ahead.alias("__ahead"))
-    own = F.row_number().over(Window.partitionBy("length", "__bucket").orderBy("doc_id", "start", "ids_crc32"))
-    numbered = keyed.withColumn("__own", own).join(starts, ["length", "__bucket"]).select(*cut_pieces.columns, (F.col("__ahead") + F.col("__own") - 1).alias("__k"))
+    own = F.row_number().over(Window.partitionBy("length", "__bucket").orderBy("__row"))
+    numbered = keyed.withColumn("__own", own).join(starts, ["length", "__bucket"]).select(*found.columns, (F.col("__ahead") + F.col("__own") - 1).alias("__k"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         names = batch.schema.names
@@ -342,5 +439,5 @@ def place(cut_pieces: DataFrame, capacity: int = CAPACITY, rounds: int = 200) ->
         kept = [i for i, n in enumerate(names) if n != "__k"]
         return pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(seq), pa.array(off)], [*(names[i] for i in kept), "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_pieces.schema) + ", sequence_id long, offset long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema) + ", sequence_id long, offset long"
     return map_texts(numbered, run, schema)

@@ -32,7 +32,7 @@ SELECT query_id, CAST(rn AS INTEGER) AS rank, vec_id, score FROM r WHERE rn <= 5
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), word_bpe(), capacity=2048, end_id=0)
+    return packing.pack(table(spark, sf_dir, "documents"), word_bpe, capacity=2048, end_id=0)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

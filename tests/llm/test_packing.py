@@ -76,6 +76,41 @@ def test_plans_hold_the_histogram_and_beat_best_fit():
     assert P.configurations({}) == []
 
 
+@pytest.mark.parametrize("h", [{1000: 100, 700: 100, 400: 100}, {1100: 500, 900: 500}, {683: 1000, 500: 700, 1030: 300}, {2048: 5, 2000: 7, 30: 10}])
+def test_under_full_configurations_meet_the_dual_bound(h):
+    found = P.fractional(h, 2048)
+    held = Counter()
+    for config, n in found.uses.items():
+        assert n > 0 and sum(x * m for x, m in config) <= 2048
+        for x, m in config:
+            held[x] += m * n
+    assert all(held[x] >= k * (1 - 1e-6) for x, k in h.items()) and found.bound <= found.total <= 1.01 * found.bound
+    assert sum(k for _, k in P.configurations(h)) <= found.bound * 1.005 + 1
+
+
+def test_the_bound_holds_for_the_best_packing():
+    """Against the fewest sequences, by search over all packings of a few pieces."""
+    r = random.Random(4)
+
+    def fewest(items, bins):
+        if not items:
+            return len(bins)
+        return min(fewest(items[1:], bins[:i] + (b + items[0],) + bins[i + 1 :]) for i, b in [*enumerate(bins), (len(bins), 0)] if b + items[0] <= 20)
+
+    for _ in range(8):
+        items = tuple(sorted((r.randint(3, 18) for _ in range(7)), reverse=True))
+        h = Counter(items)
+        best = fewest(items, ())
+        assert P.fractional(h, 20).bound <= best + 1e-6 and sum(k for _, k in P.configurations(h, 20)) <= best + 1
+
+
+def test_equal_rows_are_dealt_out(spark):
+    """Rows alike in every column: places stay different, and no bucket holds them all."""
+    found = spark.range(40_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "1L AS length")
+    out = P.place(found, 16).selectExpr("sequence_id", "offset").distinct()
+    assert out.count() == 40_000 and out.selectExpr("max(offset)").first()[0] == 15
+
+
 def test_knapsack_is_best():
     best, last = P.knapsack(np.array([3.0, 4.0, 9.0]), np.array([2, 3, 6]), 11)
     assert best[11] == 9 + 4 + 3 and P._chosen(last, np.array([2, 3, 6]), 11) in (Counter({2: 1, 1: 1, 0: 1}), Counter({0: 4, 1: 1}))
