@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scoring import team_alias, unordered, utc
 
@@ -22,9 +25,9 @@ def priced_pairs(snapshots: DataFrame, aliases: dict[str, str]) -> DataFrame:
 
 
 def choose(joined: DataFrame, keys: list[str], start: str, t: str, value: Column, ties: list[Column]) -> DataFrame:
-    """For each key the value as of start: of the last t before it, else of the first t, flagged.
+    """For each key of joined pairs the value as of start: of the last t before it, else of the first t, flagged.
 
-    Two partial aggregates in one pass, so a key with very many snapshots is never in one
+    For pairs that a stream join gives; as_of() needs no pairs. Two partial aggregates in one pass, so a key with very many snapshots is never in one
     task. ties order snapshots of one t, as they would be read; the last before start wins,
     the first of those after it.
     """
@@ -34,6 +37,38 @@ def choose(joined: DataFrame, keys: list[str], start: str, t: str, value: Column
     return best.where("__m > 0").select(*keys, F.when(F.col("__n") > 0, F.col("__pre")).otherwise(F.col("__first")).alias("close"), (F.col("__n") == 0).alias("flagged"))
 
 
+def as_of(matches: DataFrame, snapshots: DataFrame, keys: Sequence[str], start: str, t: str, value: str, order: Sequence[Column], first: Sequence[Column] | None = None, span: str = "day") -> DataFrame:
+    """matches with close, the value of the last snapshot of their keys before start, else of the first, and flagged in that case.
+
+    Both null where a match's keys have no snapshot. Snapshots of one time are ordered by order
+    (the last before start wins) and by first (the least of the first time wins; order by
+    default). No match meets more than one snapshot: both sides are sorted together within a
+    key and span of time, the last value carried forward; what a span begins with comes from
+    the last snapshot of an earlier span, and a key's first snapshot from an aggregate. So a
+    key with very many rows is split by span, and shuffles are linear in both sides.
+    """
+    keys = list(keys)
+    rank = lambda by: F.struct(F.col(t).alias("t"), *(x.alias(f"x{i}") for i, x in enumerate(by)))
+    s = snapshots.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col(t).alias("__t"), F.col(value).alias("__v"), rank(order).alias("__o"), rank(first or order).alias("__f")).where(F.col("__t").isNotNull())
+    m = matches.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col(start).alias("__t"), F.struct(*matches.columns).alias("__m"))
+    own = [f"__k{i}" for i in range(len(keys))]
+    cell = [*own, "__span"]
+    s, m = (df.withColumn("__span", F.date_trunc(span, "__t")) for df in (s, m))
+    # A match comes before snapshots of its own time: they are not before its start.
+    both = s.select(*cell, "__t", F.lit(1).alias("__kind"), "__o", "__v", F.lit(True).alias("__is")).unionByName(m.select(*cell, "__t", F.lit(0).alias("__kind"), "__m"), allowMissingColumns=True)
+    before = Window.partitionBy(*cell).orderBy("__t", "__kind", "__o").rowsBetween(Window.unboundedPreceding, -1)
+    inside = both.select(*cell, "__m", F.last(F.when(F.col("__is"), F.struct("__v")), ignorenulls=True).over(before).alias("__in")).where("__m IS NOT NULL")
+    ends = s.groupBy(*cell).agg(F.max_by(F.struct("__v"), "__o").alias("__last"))
+    spans = ends.unionByName(m.select(*cell).distinct(), allowMissingColumns=True).groupBy(*cell).agg(F.first("__last", ignorenulls=True).alias("__last"))
+    # A row for each key and span that has any.
+    carried = spans.select(*cell, F.last("__last", ignorenulls=True).over(Window.partitionBy(*own).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)).alias("__ahead"))
+    firsts = s.groupBy(*own).agg(F.min_by(F.struct("__v"), "__f").alias("__first"))
+    same = lambda a, b, names: [a[c].eqNullSafe(b[c]) if c == "__span" else a[c] == b[c] for c in names]
+    out = inside.join(carried, same(inside, carried, cell), "left").select(*(inside[c] for c in own), "__m", F.coalesce("__in", "__ahead").alias("__pre"))
+    out = out.join(firsts, own, "left")
+    return out.select("__m.*", F.coalesce("__pre", "__first")["__v"].alias("close"), F.when(F.col("__first").isNotNull(), F.col("__pre").isNull()).alias("flagged"))
+
+
 def closing_prices(matches: DataFrame, snapshots: DataFrame, aliases: dict[str, str], least_volume: float | None = LEAST_VOLUME) -> DataFrame:
     """matches (match_key, a, b, start as ISO text, ...) with p_a, flagged, close_rule, ts, slug, volume.
 
@@ -44,11 +79,11 @@ def closing_prices(matches: DataFrame, snapshots: DataFrame, aliases: dict[str,
     if least_volume is not None:
         pairs = pairs.where(F.coalesce(F.col("volume").cast("double"), F.lit(0.0)) >= least_volume)
     lo, hi = unordered("a", "b")
-    asked = matches.select("match_key", lo.alias("lo"), hi.alias("hi"), (F.col("a") == lo).alias("__first"), utc("start").alias("__start"))
-    joined = asked.join(pairs, ["lo", "hi"]).withColumn("p_a", F.when(F.col("__first"), F.col("p_lo")).otherwise(F.col("p_hi")))
-    value = F.struct("p_a", "ts", "slug", "volume")
-    ties = [F.col("ordinal")] if least_volume is not None else [F.col("p_a"), F.col("ordinal")]
-    best = choose(joined, ["match_key"], "__start", "t", value, ties)
+    asked = matches.select(F.struct(*matches.columns).alias("__match"), lo.alias("lo"), hi.alias("hi"), (F.col("a") == lo).alias("__straight"), utc("start").alias("__start"))
+    # Which side is a decides a snapshot's price, and by the older rule its order: each snapshot stands for both.
+    sided = pairs.withColumn("__straight", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("p_a", F.when(F.col("__straight"), F.col("p_lo")).otherwise(F.col("p_hi")))
+    priced = sided.select("lo", "hi", "__straight", "t", F.struct("p_a", "ts", "slug", "volume").alias("__price"), "p_a", "ordinal")
+    order = [F.col("ordinal")] if least_volume is not None else [F.col("p_a"), F.col("ordinal")]
+    found = as_of(asked, priced, ["lo", "hi", "__straight"], "__start", "t", "__price", order)
     rule = F.when(F.col("flagged").isNotNull(), F.lit(CLOSE_RULE))
-    return matches.join(best, "match_key", "left").select(*matches.columns, "close.p_a", F.coalesce("flagged", F.lit(False)).alias("flagged"), rule.alias("close_rule"), "close.ts", "close.slug", "close.volume")
-
+    return found.select("__match.*", "close.p_a", F.coalesce("flagged", F.lit(False)).alias("flagged"), rule.alias("close_rule"), "close.ts", "close.slug", "close.volume")

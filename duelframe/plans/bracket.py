@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import ship
 from .swiss import Match
 
 OBJECTIVES = ("challenges", "champion", "expected_correct", "perfect")
@@ -86,6 +87,7 @@ def rank_picks(draws: DataFrame, seeds: Sequence[str], priced: Mapping[Match, fl
     draws: draw, ratings. A draw is scored exactly and in one piece; draws are the parallel
     unit. Ties of the objective go by the others, then by the pick's number.
     """
+    ship(draws.sparkSession)
     seeds, prices = checked(seeds), dict(priced or {})
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,8 +102,6 @@ def rank_picks(draws: DataFrame, seeds: Sequence[str], priced: Mapping[Match, fl
     means = each.groupBy("pick").agg(*(F.avg(o).alias(o) for o in OBJECTIVES), values)
     names = draws.sparkSession.createDataFrame([(i, *(seeds[x] for x in row)) for i, row in enumerate(paths().tolist())], "pick int, qf1 string, qf2 string, qf3 string, qf4 string, sf1 string, sf2 string, champ string")
     order = [objective, *(o for o in ("expected_correct", "champion", "perfect", "challenges") if o != objective)]
-
-
     place = F.row_number().over(Window.orderBy(*(F.desc(o) for o in order), "pick")).alias("place")  # of 128 rows
     return means.join(F.broadcast(names), "pick").select("*", place)
 

@@ -13,6 +13,11 @@ from pyspark.sql.window import Window
 
 from .functions import scoring as S
 from .operators import asof, audit, events, grading, latest, quarantine
+from .session import cut
+
+#: Months before an event whose matches count for it.
+MONTHS = 24
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -154,8 +159,8 @@ def _close_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = e.where("event_type = 'purchase'").select("event_id", "user_id", F.col("ts").alias("start_ts"))
     q = e.where("event_type IN ('view', 'click') AND value >= 10.0").select(F.col("event_id").alias("q_id"), "user_id", "ts", "value")
     # Of one time the smaller id counts, before the start and after it.
-    best = asof.choose(m.join(q, "user_id").withColumn("__tie", -F.col("q_id")), ["event_id"], "start_ts", "ts", F.struct("q_id", "value"), [F.when(F.col("ts") < F.col("start_ts"), F.col("__tie")).otherwise(F.col("q_id"))])
-    return m.join(best, "event_id", "left").select("event_id", "start_ts", "close.q_id", "close.value", "flagged")
+    found = asof.as_of(m, q.withColumn("price", F.struct("q_id", "value")), ["user_id"], "start_ts", "ts", "price", [-F.col("q_id")], [F.col("q_id")])
+    return found.select("event_id", "start_ts", "close.q_id", "close.value", "flagged")
 
 
 def asof_close(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,9 +198,9 @@ def event_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    m = consumed(spark, sf_dir)
-    ev = events.event_universe(m)[0].where("tournament_id % 100 = 6")
-    return m, ev, events.window_matches(ev, m, 6)
+    m = cut(consumed(spark, sf_dir))  # read once, whatever is made of it
+    ev = cut(events.event_universe(m)[0])
+    return m, ev, cut(events.window_matches(ev, m, MONTHS))
 
 
 def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,8 +209,7 @@ def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hop_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, ev, w = _windows(spark, sf_dir)
-    few = m.where("match_id % 40 = 3")
-    grown = events.expand(events.participants(ev, few), w.where("match_id % 7 = 1"), 2)
+    grown = events.expand(events.participants(ev, m), w, 2)
     return grown.groupBy("event_id", "hop").agg(F.count("*").alias("n"), F.sum("team").alias("teams"))
 
 
@@ -268,9 +272,8 @@ def fitted_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .plans.replay import prepare
     from .plans.ratings import fit_events
 
-    m = consumed(spark, sf_dir)
-    ev = events.event_universe(m)[0]
-    ready = prepare(m.where("team2_id IS NOT NULL"), ev, 24)
+    m = cut(consumed(spark, sf_dir))
+    ready = prepare(m.where("team2_id IS NOT NULL"), events.event_universe(m)[0], MONTHS)
     model = {"priors_scheme": "flat1000", "prior_mean": 1000, "sigma": 50.0, "iters": 2000, "lr": 100.0, "converge_tol": 0.01}
     tiered = model | {"priors_scheme": "tier-empirical-2pass", "staleness": {"sigma_per_year": 50.0}}
     weighted = {"scheme": "weighted", "half_life_days": 180, "bo1_discount": 0.6}
@@ -321,7 +324,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 UNIVERSE_SQL = f"SELECT tournament_id, MAX(tier) AS tier, COUNT(*) AS n, MIN(start_ts) AS boundary, MAX(start_ts) AS last_start FROM ({CONSUMED_SQL}) c GROUP BY tournament_id HAVING MAX(tier) IN ('s','a') AND COUNT(*) >= 8"
-WINDOW_SQL = f"SELECT c.*, u.tournament_id AS event_id, u.boundary FROM ({CONSUMED_SQL}) c JOIN (SELECT * FROM ({UNIVERSE_SQL}) v WHERE tournament_id % 100 = 6) u ON c.start_ts >= CAST(u.boundary AS DATE) - INTERVAL 6 MONTH AND c.start_ts < u.boundary"
+WINDOW_SQL = f"SELECT c.*, u.tournament_id AS event_id, u.boundary FROM ({CONSUMED_SQL}) c JOIN ({UNIVERSE_SQL}) u ON c.start_ts >= CAST(u.boundary AS DATE) - INTERVAL {MONTHS} MONTH AND c.start_ts < u.boundary"
 GRADED_SQL = f"""
 SELECT *, (mp - y) * (mp - y) AS bm, -(y * ln(mp) + (1 - y) * ln(1 - mp)) AS lm, (cp - y) * (cp - y) AS bk, -(y * ln(cp) + (1 - y) * ln(1 - cp)) AS lk,
   event_id % 7 <> 0 AND event_id % 5 <> 0 AS man FROM (SELECT *, 0.5 + (coalesce(cp, 0.5) - 0.5) * 0.8 AS mp, CASE WHEN event_id % 2 = 0 THEN 1.0 ELSE 0.0 END AS y FROM (
@@ -356,8 +359,8 @@ def oracle_sql() -> dict[str, str]:
         "event_universe": UNIVERSE_SQL,
         "event_splits": f"SELECT tournament_id, CASE WHEN last_start < TIMESTAMP '1996-01-15' THEN 'dev' WHEN boundary >= TIMESTAMP '1996-01-15' THEN 'holdout' ELSE 'straddler' END AS part FROM ({UNIVERSE_SQL}) u",
         "window_counts": f"SELECT event_id, COUNT(*) AS n, MIN(match_id) AS first_id, MAX(start_ts) AS last_start FROM ({WINDOW_SQL}) w GROUP BY event_id",
-        "hop_universe": f"""WITH w AS (SELECT * FROM ({WINDOW_SQL}) x WHERE match_id % 7 = 1), e AS (SELECT event_id, team1_id AS a, team2_id AS b FROM w UNION SELECT event_id, team2_id, team1_id FROM w),
-          h0 AS (SELECT DISTINCT tournament_id AS event_id, unnest([team1_id, team2_id]) AS t FROM ({CONSUMED_SQL}) c WHERE match_id % 40 = 3 AND tournament_id IN (SELECT tournament_id FROM ({UNIVERSE_SQL}) u WHERE tournament_id % 100 = 6)),
+        "hop_universe": f"""WITH w AS (SELECT * FROM ({WINDOW_SQL}) x), e AS (SELECT event_id, team1_id AS a, team2_id AS b FROM w UNION SELECT event_id, team2_id, team1_id FROM w),
+          h0 AS (SELECT DISTINCT tournament_id AS event_id, unnest([team1_id, team2_id]) AS t FROM ({CONSUMED_SQL}) c WHERE tournament_id IN (SELECT tournament_id FROM ({UNIVERSE_SQL}) u)),
           h1 AS (SELECT DISTINCT e.event_id, b AS t FROM e JOIN h0 ON e.event_id = h0.event_id AND e.a = h0.t WHERE b IS NOT NULL EXCEPT SELECT * FROM h0),
           h2 AS (SELECT DISTINCT e.event_id, b AS t FROM e JOIN h1 ON e.event_id = h1.event_id AND e.a = h1.t WHERE b IS NOT NULL EXCEPT (SELECT * FROM h0 UNION SELECT * FROM h1))
           SELECT event_id, CAST(hop AS INTEGER) AS hop, COUNT(*) AS n, CAST(SUM(t) AS BIGINT) AS teams FROM (SELECT *, 0 AS hop FROM h0 WHERE t IS NOT NULL UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2) z GROUP BY event_id, hop""",

@@ -1,11 +1,16 @@
-"""Session settings that the library relies on."""
+"""Session settings that the library relies on, its code on the executors, and where lineage is cut."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: dict[str, str] = {}
+
 
 def session(app: str = "duelframe", **settings: str) -> SparkSession:
     """A session with UTC timestamps and adaptive execution; settings override, with _ for dots."""
@@ -16,13 +21,35 @@ def session(app: str = "duelframe", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder: later plans begin there.
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for each application; what runs in Python there needs it."""
+    sc = spark.sparkContext
+    if _shipped.get("app") == sc.applicationId:
+        return
+    top = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="duelframe-"), "duelframe.zip")  # on the driver, which serves it
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    sc.addPyFile(path)
+    _shipped["app"] = sc.applicationId
+
+
+def checkpoints(spark: SparkSession) -> str:
+    """The folder that checkpoints go to: the one named in spark.checkpoint.dir, which all executors share.
 
-    The folder is the one that the session names in spark.checkpoint.dir; a temporary one
-    is made only where that is unset, as in tests.
+    Where it is unset a temporary one will do on a single machine; on a cluster that raises.
     """
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="duelframe-"))
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="duelframe-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the checkpoint folder: later plans begin there."""
+    checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)

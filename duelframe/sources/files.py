@@ -11,11 +11,14 @@ from dataclasses import dataclass
 from pathlib import Path
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scoring import normalized, team_alias
 
+#: What the folders of a log's batches are called, before their number.
+BATCH = "append-"
 FIT_ROW = "winner string, loser string, weight double, event string, note string"
 
 
@@ -24,21 +27,48 @@ def fit_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=FIT_ROW)
 
 
+def csv_texts(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file with a header, every field as its text."""
+    return spark.read.csv(path, header=True, inferSchema=False)
+
+
 def fit_list(path: str | Path) -> list[tuple[str, str, float]]:
     with open(path, newline="", encoding="utf-8") as f:
         return [(r["winner"], r["loser"], float(r["weight"])) for r in csv.DictReader(f)]
 
 
 def json_lines(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A log of JSON lines, blank lines left out, with ordinal: the place of the line."""
-    text = spark.read.text(path).withColumn("ordinal", F.monotonically_increasing_id()).where(F.trim("value") != "")
+    """A log of JSON lines, blank lines left out, with ordinal: the place of the line (file, block, line), which sorts in log order.
+
+    Files count in the order of their paths, which is that of append_lines(); Spark itself
+    reads large files first.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    text = spark.read.option("recursiveFileLookup", True).text(path).select("value", place.alias("ordinal")).where(F.trim("value") != "")
     if schema is None:
         return text
     return text.select(F.from_json("value", schema).alias("r"), "ordinal").select("r.*", "ordinal")
 
 
-def append_lines(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
+def append_lines(rows: DataFrame, path: str, **options: str) -> str:
+    """Appends rows to a log of JSON lines as a batch of its own below path; the batch's folder.
+
+    Batches are numbered and never overwritten: where another writer takes a number first,
+    the next one is tried.
+    """
+    spark = rows.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    number = max((int(n.removeprefix(BATCH)) for n in held if n.startswith(BATCH)), default=-1) + 1
+    while True:
+        try:
+            rows.write.mode("errorifexists").options(**options).json(out := f"{path}/{BATCH}{number:09d}")
+            return out
+        except AnalysisException as e:
+            if "PATH_ALREADY_EXISTS" not in str(e):
+                raise
+            number += 1
 
 
 def references(spark: SparkSession, paths: Sequence[str]) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from duelframe.operators import asof, events, grading
 from duelframe.plans import gates
@@ -32,6 +34,25 @@ def test_closing_prices(spark):
     assert close(spark, [(two[0][0], ["alpha", "zulu"], [0.8, 0.2], 2e3), (two[0][0], ["alpha"], [1.0], 2e3)]) == (None, False, None)
 
 
+@pytest.mark.parametrize("span", ["day", "month"])
+def test_as_of_equals_brute_force(spark, span):
+    """Ties, keys without snapshots, a hot key, values before all matches and in earlier spans."""
+    r = random.Random(7)
+    at = lambda: f"2026-{r.randint(1, 3):02d}-{r.randint(1, 5):02d} {r.randint(0, 2):02d}:00:00"
+    m = [(i, r.choice("aaaabcd"), at()) for i in range(150)] + [(900, "lonely", at()), (901, None, at())]
+    s = [(i, r.choice("aaaaaab"), at(), float(i)) for i in range(200)] + [(999, "c", "2026-02-28 00:00:00", 1.5), (998, "d", "2025-01-01 00:00:00", None)]
+    want = {}
+    for i, k, start in m:
+        own = [x for x in s if x[1] == k]
+        pre, first = [x for x in own if x[2] < start], min(own, key=lambda x: (x[2], x[0]), default=None)
+        last = max(pre, key=lambda x: (x[2], -x[0]), default=None)
+        want[i] = ((last or first)[3], last is None) if own else (None, None)
+    md = spark.createDataFrame(m, "id long, k string, start string").withColumn("start", F.col("start").cast("timestamp"))
+    sd = spark.createDataFrame(s, "n long, k string, t string, v double").withColumn("t", F.col("t").cast("timestamp"))
+    got = asof.as_of(md, sd, ["k"], "start", "t", "v", [-F.col("n")], [F.col("n")], span)
+    assert {x.id: (x.close, x.flagged) for x in got.collect()} == want and got.count() == len(m)
+
+
 def test_manifests(spark):
     full = {"reconstruction_mode": "backfill_reconstructed", "code_dirty": "false", "code_sha": "a", "ratings_sha": "b", "anchors_sha": "c"}
     cases = [(full, True), ({**full, "anchors_sha": "unknown"}, False), ({**full, "x_sha": "pending-w"}, False), ({**full, "code_dirty": "true"}, False), ({k: v for k, v in full.items() if k != "code_dirty"}, False), ({**full, "reconstruction_mode": "other"}, False), (None, False), ({"reconstruction_mode": "immutable_forecast", "code_dirty": "false", "code_sha": "a"}, True), ({**full, "ratings_sha": ""}, False)]

@@ -2,10 +2,13 @@
 
 import gzip
 import json
+import os
+import tempfile
+from pathlib import Path
 
 import pytest
 from duelframe.operators import audit, quarantine
-from duelframe.sources import archive
+from duelframe.sources import archive, paged
 
 
 def match(i, **over):
@@ -89,47 +92,57 @@ def test_snapshots(spark, tmp_path):
     assert sid == "a" and rows.count() == 2
 
 
-class Service:
-    def __init__(self, n):
-        self.rows, self.fail = [{"id": i} for i in range(n)], 0
+SERVICE = Path(tempfile.gettempdir()) / f"duelframe-service-{os.getuid()}.json"
 
-    def __call__(self, offset, limit):
-        if self.fail:
-            self.fail -= 1
-            raise OSError("down")
-        return json.dumps({"total": {"count": len(self.rows)}, "results": self.rows[offset : offset + limit]})
 
+def fetch(offset, limit):
+    """A service that executors see too: its rows, failures to come and growth are in a file."""
+    state = json.loads(SERVICE.read_text())
+    if state["fail"]:
+        SERVICE.write_text(json.dumps(state | {"fail": state["fail"] - 1}))
+        raise OSError("down")
+    if state["grows"]:
+        SERVICE.write_text(json.dumps(state | {"n": state["n"] + 1}))
+    return json.dumps({"total": {"count": state["n"]}, "results": [{"id": i} for i in range(state["n"])][offset : offset + limit]})
 
-def test_crawl_resumes_by_rows_and_retries(spark, tmp_path):
-    service, waits = Service(7), []
-    crawl = archive.Crawl(tmp_path, service, limit=3, pages_per_chunk=2, sleep=waits.append)
-    crawl.run(max_pages=1)
-    service.fail = 2
-    assert crawl.run()["next_offset"] == 7 and waits.count(2.0) == 1 and 4.0 in waits
-    service.rows += [{"id": 7}, {"id": 8}]
-    assert crawl.run()["next_offset"] == 9 and len(list(tmp_path.glob("*.gz"))) == 2
-    assert archive.verify(archive.read_lines(spark, f"{tmp_path}/*.gz"))["rows"] == 9
-    service.rows = service.rows[:5]
+
+def service(n, fail=0, grows=False):
+    SERVICE.write_text(json.dumps({"n": n, "fail": fail, "grows": grows}))
+    return {"fetch": f"{__name__}:fetch", "limit": 3}
+
+
+def test_crawl_resumes_by_rows(spark, tmp_path):
+    path = f"{tmp_path}/archive"
+    assert paged.crawl(spark, service(7), path) == {"pages": 3, "rows": 7, "total": 7, "next_offset": 7}
+    assert paged.crawl(spark, service(7), path)["pages"] == 0
+    assert paged.crawl(spark, service(9), path) == {"pages": 1, "rows": 2, "total": 9, "next_offset": 9}
+    lines = archive.read_lines(spark, path)
+    assert archive.verify(lines) == {"pages": 4, "rows": 9, "offsets_contiguous": True, "first_offset": 0, "last_offset": 7}
+    assert sorted(json.loads(r.match)["id"] for r in archive.archive_rows(lines).collect()) == list(range(9))
     with pytest.raises(ValueError, match="fell"):
-        crawl.run()
-    service.fail = 9
-    with pytest.raises(OSError):
-        archive.with_retries(lambda: service(0, 1), lambda s: None)
-    with pytest.raises(ValueError):
-        archive.parse_page("<html>")
+        paged.crawl(spark, service(5), path)
 
 
-def test_torn_snapshot_stops(tmp_path):
-    service = Service(4)
+def test_retries():
+    waits = []
+    service(4, fail=3)
+    assert paged.page_of(paged.patient(lambda: fetch(0, 2), 5, waits.append))[0] == 4 and waits == [2.0, 4.0, 8.0]
+    service(4, fail=9)
+    with pytest.raises(OSError):
+        paged.patient(lambda: fetch(0, 2), 2, waits.append)
+    assert waits[3:] == [2.0]
+    for body in ("<html>", "{}", "[]", '{"total": 3, "results": []}'):
+        with pytest.raises(ValueError):
+            paged.page_of(body)
 
-    def shifting(offset):
-        body = service(offset, 2)
-        service.rows.append({"id": 9})
-        return body
 
+def test_torn_snapshot_leaves_nothing(spark, tmp_path):
+    path = f"{tmp_path}/snapshots"
     with pytest.raises(ValueError, match="changed"):
-        archive.fetch_snapshot(tmp_path / "s.gz", shifting, "s", sleep=lambda s: None)
-    assert archive.fetch_snapshot(tmp_path / "s.gz", lambda o: Service(4)(o, 2), "t", sleep=lambda s: None) == "t"
+        paged.snapshot(spark, service(9, grows=True), path, "s")
+    assert not Path(path).exists() and paged.snapshot(spark, service(4), path, "t") == "t"
+    sid, rows = archive.latest_snapshot(archive.read_lines(spark, path))
+    assert sid == "t" and rows.count() == 4
 
 
 def table(spark, rows, schema):

@@ -1,6 +1,7 @@
 import json
 
-from duelframe.sources.paged import PagedSource
+from duelframe.operators import latest
+from duelframe.sources import files, paged
 from duelframe.streaming import closes
 from pyspark.sql import functions as F
 
@@ -38,12 +39,38 @@ def test_stream_join_folds_to_the_batch_close(spark, tmp_path):
 
 
 def test_paged_source(spark):
-    spark.dataSource.register(PagedSource)
+    spark.dataSource.register(paged.PagedSource)
     options = {"fetch": f"{__name__}:fetch", "limit": "3"}
-    assert [json.loads(r.row)["id"] for r in spark.read.format("pages").options(**options).load().orderBy("offset", "position").collect()] == list(range(7))
+    pages = spark.read.format("pages").options(**options).load()
+    assert pages.count() == 3 and [json.loads(r.row)["id"] for r in paged.rows(pages).orderBy("offset", "position").collect()] == list(range(7))
     q = spark.readStream.format("pages").options(**options).load().writeStream.format("memory").queryName("pages").start()
     try:
         q.processAllAvailable()
     finally:
         q.stop()
-    assert {json.loads(r.row)["id"] for r in spark.table("pages").collect()} == set(range(7))
+    assert sorted(json.loads(r.row)["id"] for r in paged.rows(spark.table("pages")).collect()) == list(range(7))
+
+
+def test_superseding_rewrites_touched_parts_alone(spark, tmp_path):
+    schema = "k long, v int, n long"
+    source, table = f"{tmp_path}/in", f"{tmp_path}/table"
+    want = {}
+    for i in range(6):
+        batch = [(k, 10 * i + k, i) for k in range(i, i + 3)]
+        want.update({k: v for k, v, _ in batch})
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+        closes.superseding(spark.readStream.schema(schema).parquet(source), ["k"], "n", table, f"{tmp_path}/cp", buckets=4).awaitTermination()
+    assert {r.k: r.v for r in closes.latest(spark, table, spark.createDataFrame([], schema).schema).collect()} == want
+    held = {b.name: len(list(b.iterdir())) for b in (tmp_path / "table").glob("bucket=*")}
+    assert len(held) > 1 and max(held.values()) <= closes.KEPT + 1 and not list((tmp_path / "table").glob("_staged*"))
+
+
+def test_appended_lines_keep_their_order(spark, tmp_path):
+    """Later batches win, however large they are and however many files."""
+    path = f"{tmp_path}/log"
+    for i, n in enumerate((500, 3, 40, 1)):
+        files.append_lines(spark.range(n).selectExpr("1L AS k", f"{i} AS batch", "id", f"repeat('x', {100 - 20 * i}) AS pad").repartition(2, "id").sortWithinPartitions("id"), path)
+    log = files.json_lines(spark, path, "k long, batch int, id long, pad string")
+    assert log.count() == 544 and latest.last_per_key(log.select("k", "batch", "ordinal"), ["k"], [F.col("ordinal")]).first().batch == 3
+    order = [r.batch for r in log.orderBy("ordinal").collect()]
+    assert order == sorted(order)
