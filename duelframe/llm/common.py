@@ -2,55 +2,36 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoints, cut, ship
 
-#: Texts that a Python worker holds at once.
-BATCH_ROWS = 400
-
-_shipped: dict[str, str] = {}
+__all__ = ["checkpoints", "crc_remainder", "cut", "hex_long", "map_texts", "prepare", "release", "ship", "small", "table", "texts", "written"]
 
 
-def _archive() -> str:
-    """The package as an archive that the driver serves to the executors."""
-    top = Path(__file__).resolve().parents[1]
-    path = os.path.join(tempfile.mkdtemp(prefix="duelframe-"), "duelframe.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    return path
+#: Texts that a Python worker holds at once, at most.
+BATCH_ROWS = 400
+#: Bytes of them, where the session does not say.
+BATCH_BYTES = str(32 << 20)
 
 
 def prepare(spark: SparkSession) -> None:
     """Make checkpoint() usable, give executors this package, and keep Arrow batches of texts small.
 
-    The shared folder is the one the session names in ``spark.checkpoint.dir``;
-    only where that is unset (tests on one machine) a temporary one is made.
+    The batch size is the session's setting, since Spark has none for a single query; it is
+    only ever lowered.
     """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", "")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="duelframe-"))
-    if _shipped.get("app") != sc.applicationId:
-        _shipped["app"] = sc.applicationId
-        sc.addPyFile(_archive())
+    checkpoints(spark)
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder; its lineage ends there."""
-    prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 _tables: list[str] = []
@@ -60,7 +41,7 @@ def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table of its own in the shared checkpoint folder, for what is large; see release()."""
     spark = df.sparkSession
     prepare(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = f"{checkpoints(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)

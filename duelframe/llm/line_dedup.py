@@ -180,7 +180,11 @@ class LineIndex:
         delta = _keys(docs, self.min_chars).groupBy("key").agg((F.count("*") * sign).alias("delta"))
         both = self.refs.select("key", "refs").join(delta, "key", "full")
         before = F.coalesce("refs", F.lit(0)).cast("long")
-        return self._changed(cut(both.select("key", (before + F.coalesce("delta", F.lit(0))).alias("refs"), before.alias("before"))))
+        rows = cut(both.select("key", (before + F.coalesce("delta", F.lit(0))).alias("refs"), before.alias("before")))
+        shards = max(1, -(-rows.count() // KEYS_PER_SHARD))
+        # An index that has outgrown its shards gets new ones, their filters built from the counts.
+        index = self if shards <= 2 * self.shards else LineIndex.empty(docs.sparkSession, shards, self.min_docs, self.min_chars)
+        return index._changed(rows)
 
     def _changed(self, both: DataFrame) -> LineIndex:
         shard = (F.conv(F.hex(F.substring("key", 3, 3)), 16, 10).cast("long") % self.shards).cast("int")

@@ -12,8 +12,8 @@ task of bounded size, and each returns k rows a query at most.
 
 Components become floor(scale * x). Vectors that are null or hold null or non-finite
 components, and null ids, take no part; shorter vectors count as padded with zeros. An id's
-own rows are not its candidates; repeated rows of a query id count once, repeated candidates
-each. Scores beyond a long are clipped to its range. Empty in, empty out.
+own rows are not its candidates; repeated rows of a query id count once, by the least vector,
+repeated candidates each. Scores beyond a long are clipped to its range. Empty in, empty out.
 """
 
 from __future__ import annotations
@@ -117,7 +117,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     """query_id, rank, vec_id, score of each query's k best vectors. Both sides: vec_id, embedding."""
     prepare(vectors.sparkSession)
     x = cut(quantized(vectors, scale))
-    asked = cut(quantized(queries, scale).dropDuplicates(["vec_id"]))
+    asked = cut(quantized(queries, scale).groupBy("vec_id").agg(F.min("v").alias("v")))
     n, m = max(1, -(-x.count() // block)), max(1, -(-asked.count() // block))
     spread = lambda df, own, parts, other, others: df.withColumn(own, F.pmod(F.xxhash64("vec_id", F.hash("v")), F.lit(parts)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 

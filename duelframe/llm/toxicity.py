@@ -9,7 +9,9 @@ logistic curve.
 Terms, weights and curve are learned from labelled rows: a bounded sample of about
 ``most_toxic`` and ``most_clean`` rows by a hash of the id. A term's weight is the log of how
 many times as often toxic rows hold it, less ``doubt`` standard errors; it needs to reach
-``least``, and the term to stand in at least ``support`` of the toxic rows. Scores cover whole texts.
+``least``, and the term to stand in at least ``support`` of the toxic rows. Exception phrases
+are those given and those learned: a matched word with the next one that clean rows hold as
+often as toxic ones. Scores cover whole texts.
 
 Nulls: a null text is empty and scores as a text without terms. Rows with a null label teach
 nothing; a label given twice counts as its highest. Without toxic or without clean rows to
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, texts
+from .common import cut, map_texts, texts
 
 # Letters that look like Latin ones, and signs that stand for letters.
 ALIKE = {
@@ -66,6 +68,10 @@ def fold(text: str) -> str:
 WRITTEN = re.compile(r"[^\W_]+(?:[@$!|][^\W_]+)*")
 
 
+#: Two words, one space apart.
+PHRASE = re.compile(rf"{WRITTEN.pattern} {WRITTEN.pattern}")
+
+
 def folded_words(text: str) -> list[str]:
     """The folded words that hold a letter as written."""
     return [fold(w) for w in WRITTEN.findall(text) if any(c.isalpha() for c in w)]
@@ -147,6 +153,28 @@ def _fit_curve(features: np.ndarray, toxic: np.ndarray, ridge: float = 0.01) ->
     return tuple(map(float, beta))
 
 
+#: Exception phrases that are learned at most.
+MOST_PHRASES = 500
+
+
+def _harmless(rows: DataFrame, lexicon: Lexicon, bad: int, good: int, doubt: float) -> list[str]:
+    """Phrases of a matched word and the next that stand in clean rows as often as in toxic ones, sure by doubt standard errors."""
+    shared = rows.sparkSession.sparkContext.broadcast(lexicon)
+
+    def phrases(batch: pa.RecordBatch) -> pa.RecordBatch:
+        m, out = Matcher(shared.value), []
+        for text, toxic in zip(texts(batch), batch.column(1).to_pylist(), strict=True):
+            own = {fold(x.group()) for start, _, _ in m.hits(text) if (x := PHRASE.match(text, start))}
+            out += [(p, toxic) for p in own]
+        ps, ls = zip(*out, strict=True) if out else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(ps, pa.string()), pa.array(ls, pa.int64())], ["phrase", "toxic"])
+
+    counted = map_texts(rows, phrases, "phrase string, toxic long").groupBy("phrase").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    b, g = F.col("bad") + 0.5, F.col("good") + 0.5
+    most = F.log(b / (bad + 1) / (g / (good + 1))) + doubt * F.sqrt(1 / b + 1 / g)
+    return [r[0] for r in counted.where((F.col("good") >= 3) & (most <= 0)).orderBy(most, "phrase").limit(MOST_PHRASES).select("phrase").collect()]
+
+
 def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean: int = 6000, support: float = 0.01, least: float = 1.2, doubt: float = 2.0, most_terms: int = 2000, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon | None:
     """The lexicon that labels (doc_id, toxic) teach on docs; None without both classes."""
     spark = docs.sparkSession
@@ -155,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean:
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     limit = F.when(F.col("toxic") == 1, most_toxic / max(1, sizes.get(1, 0))).otherwise(most_clean / max(1, sizes.get(0, 0)))
     sample = F.broadcast(known.where(part < limit))  # about most_toxic + most_clean ids
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("text", "toxic")
+    rows = cut(docs.select("doc_id", "text").join(sample, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")))  # read once
 
     def terms(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple[str, int]] = []
@@ -177,6 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean:
     found = kept.orderBy(F.desc("weight"), "term").limit(most_terms).collect()
     weights = {r["term"]: r["weight"] for r in found}
     lexicon = Lexicon({t[1:]: w for t, w in weights.items() if t[0] == "="}, {t[1:]: w for t, w in weights.items() if t[0] == "^"}, exceptions)
+    lexicon.exceptions = (*exceptions, *_harmless(rows, lexicon, bad, good, doubt))
     shared = spark.sparkContext.broadcast(lexicon)
 
     def measured(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -184,14 +213,14 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean:
         own = np.array([m.features(t) for t in texts(batch)])
         return pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1]), batch.column(1)], ["a", "b", "toxic"])
 
-    points = map_texts(rows.select("text", F.col("toxic").cast("int").alias("toxic")), measured, "a double, b double, toxic int").toPandas()  # as bounded as the sample
+    points = map_texts(rows, measured, "a double, b double, toxic int").toPandas()  # as bounded as the sample
     lexicon.curve = _fit_curve(points[["a", "b"]].to_numpy(), points["toxic"].to_numpy() == 1)
     return lexicon
 
 
-def score(docs: DataFrame, lexicon: Lexicon | None) -> DataFrame:
-    """docs' columns, then toxicity (0 to 1), which replaces a column of this name."""
-    docs = docs.drop("toxicity")
+def score(docs: DataFrame, lexicon: Lexicon | None, column: str = "toxicity") -> DataFrame:
+    """docs' columns, then the score (0 to 1) as column, which replaces one of this name."""
+    docs = docs.drop(column)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     made: list[Matcher] = []
 
@@ -202,6 +231,6 @@ def score(docs: DataFrame, lexicon: Lexicon | None) -> DataFrame:
             if not made:
                 made.append(Matcher(shared.value))
             own = [made[0].score(t) for t in texts(batch)]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.float64())], [*batch.schema.names, "toxicity"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.float64())], [*batch.schema.names, column])
 
-    return map_texts(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", toxicity double")
+    return map_texts(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{column}` double")

@@ -1,3 +1,5 @@
+import math
+import re
 from collections import Counter
 
 import pytest
@@ -40,3 +42,31 @@ def test_bounds_hold(odd):
 @pytest.mark.parametrize("word", ["a", "word", "é"])
 def test_ngrams(word):
     assert L.ngrams(word, 1) == list(word) and L.ngrams(word, 2)[0] == "<" + word[0]
+
+
+def naive(text, model):
+    """A text's language and score word by word, from the model's tables alone."""
+    own = re.findall(r"[^\W\d_]+", (text or "").lower())
+    if not own:
+        return "und", 0.0
+    total = [0.0] * len(model.langs)
+    for w in own:
+        found, weight = [model.words[w]] if w in model.words else [], 1.0
+        for n in range(L.LONGEST, 0, -1):
+            if found:
+                break
+            weight *= L.STEP
+            padded = f"<{w}>" if n > 1 else w
+            found = [model.grams[n - 1][g] for g in (padded[i : i + n] for i in range(len(padded) - n + 1)) if g in model.grams[n - 1]]
+        for i in range(len(total)):
+            total[i] += weight * sum(g[i] for g in found) / max(1, len(found))
+    best = max(range(len(total)), key=lambda i: (total[i], -i))
+    return model.langs[best], 1 / sum(math.exp((x - total[best]) * min(1.0, 20 / len(own))) for x in total)
+
+
+def test_predictions_equal_brute_force(spark, odd):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = L.fit(docs.where("doc_id % 2 = 0"), vocabulary=2000)
+    for d in (docs.select("doc_id", "text"), odd.select("doc_id", "text")):
+        got = sorted((str(r.doc_id), r.lang_pred, round(r.score, 6)) for r in L.predict(d, model).collect())
+        assert got == sorted((str(r.doc_id), (x := naive(r.text, model))[0], round(x[1], 6)) for r in d.collect())

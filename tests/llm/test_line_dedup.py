@@ -47,6 +47,15 @@ def test_deletion_reverses_insertion(spark, odd, rows):
     assert {bytes(r.key): r.refs for r in back.refs.collect()} == {bytes(r.key): r.refs for r in L.LineIndex.build(odd, 2).refs.collect()}
 
 
+def test_an_index_grows_by_insertion(spark, odd, rows, monkeypatch):
+    monkeypatch.setattr(L, "KEYS_PER_SHARD", 10)
+    docs = spark.createDataFrame([(i, f"common {i % 3}\nown {i}") for i in range(60)], "doc_id long, text string")
+    index = L.LineIndex.empty(spark, min_docs=2).insert(docs).insert(odd)
+    assert index.shards > 5 and index.filters.count() > 5
+    both = docs.unionByName(odd.select("doc_id", "text"))
+    assert got(index.dedup(both)) == got(L.dedup_lines(both, 2)) and got(index.delete(docs).dedup(odd)) == brute([r[:2] for r in rows], 2)
+
+
 def test_cuckoo_filter():
     r = np.random.default_rng(1)
     keys = r.integers(0, 2**63, (3000, 2)).astype(np.uint64)
