@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -50,6 +50,45 @@ def grade_matches(rows: DataFrame, provenance: str | None = "provenance") -> Dat
     return out.withColumns({"delta_brier": F.col("brier_market") - F.col("brier_model"), "delta_log": F.col("log_market") - F.col("log_model"), "adoption_eligible": eligible})
 
 
+def forecast_rows(results: DataFrame, overrides: DataFrame, ratings: DataFrame, closes: DataFrame) -> DataFrame:
+    """What grade_matches grades: results (match_key, a, b, winner, ...) with market_prob, model_prob, close_prob and close_flagged.
+
+    overrides: a, b, p, each pair once, either way round; a price stands before the ratings
+    (team, rating). closes: match_key, p_a, flagged. A side without price and rating fails the query.
+    """
+    both = overrides.select("a", "b", F.col("p").alias("market_prob")).unionByName(overrides.select(F.col("b").alias("a"), F.col("a").alias("b"), (1 - F.col("p")).alias("market_prob"))).dropDuplicates(["a", "b"])
+    rated = lambda side: ratings.select(F.col("team").alias(side), F.col("rating").alias(f"__{side}"))
+    close = closes.select("match_key", F.col("p_a").alias("close_prob"), F.col("flagged").alias("close_flagged"))
+    rows = results.join(both, ["a", "b"], "left").join(rated("a"), "a", "left").join(rated("b"), "b", "left").join(close, "match_key", "left")
+    model = F.coalesce("market_prob", win_prob("__a", "__b"), F.raise_error(F.concat(F.lit("no price and no rating for "), F.col("a"), F.lit(" and "), F.col("b"))).cast("double"))
+    return rows.select(*results.columns, "market_prob", model.alias("model_prob"), "close_prob", "close_flagged")
+
+
+def team_rows(table: DataFrame, results: DataFrame) -> DataFrame:
+    """What grade_teams grades: a forecast table (team, p30, padv, p03, ...) with each team's wins and losses; a team without a result fails the query."""
+    held = table.join(results.select("team", "wins", "losses"), "team", "left")
+    known = F.when(F.col("wins").isNotNull(), True).otherwise(F.raise_error(F.concat(F.lit("no result for "), F.col("team"))).cast("boolean"))
+    return held.where(known)
+
+
+def differences(new: DataFrame, committed: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """keys, field, found, committed (as text): where two logs do not agree exactly; a missing row differs in field 'row'."""
+    side = lambda df, tag: df.select(*keys, F.struct(*fields).alias(tag))
+    both = side(new, "__n").join(side(committed, "__c"), list(keys), "full")
+    lone = F.struct(F.lit("row").alias("field"), F.when(F.col("__n").isNotNull(), "there").alias("found"), F.when(F.col("__c").isNotNull(), "there").alias("committed"))
+    each = [F.when(~F.col(f"__n.{f}").eqNullSafe(F.col(f"__c.{f}")), F.struct(F.lit(f).alias("field"), F.col(f"__n.{f}").cast("string").alias("found"), F.col(f"__c.{f}").cast("string").alias("committed"))) for f in fields]
+    alone = F.col("__n").isNull() | F.col("__c").isNull()
+    found = F.when(alone, F.array(lone)).otherwise(F.array_compact(F.array(*each)))
+    return both.select(*keys, F.explode(found).alias("d")).select(*keys, "d.*")
+
+
+def regrade(results: DataFrame, overrides: DataFrame, ratings: DataFrame, closes: DataFrame, committed: DataFrame, provenance: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
+    """Grades from a snapshot's inputs under its provenance, and where they differ from the committed log (a, b and the graded fields)."""
+    stamped = forecast_rows(results, overrides, ratings, closes).withColumn("provenance", F.create_map(*(F.lit(x) for kv in provenance.items() for x in kv)))
+    graded = grade_matches(stamped)
+    return graded, differences(graded, committed, ["a", "b"], ["model_prob", "result", "brier_model", "log_model"])
+
+
 def grade_teams(rows: DataFrame) -> DataFrame:
     """rows (wins, losses, p30, padv, p03) with the Brier score of each category."""
     w, x = F.col("wins"), F.col("losses")

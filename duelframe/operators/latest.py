@@ -37,3 +37,13 @@ def contiguous(df: DataFrame, by: Sequence[str], offset: str = "offset", rows: s
 def superseding_log(log: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """The last graded row of each identity: kind, event, model version and the pair or the team."""
     return last_per_key(log, ["kind", "event", "model_version", "a", "b", "team"], [F.col(ordinal)])
+
+
+def version_deltas(df: DataFrame, by: Sequence[str], version: str, values: Sequence[str]) -> DataFrame:
+    """by, version, previous and for each value its change from the previous version of the group; the first has none.
+
+    A group holds versions of one thing, few of them.
+    """
+    w = Window.partitionBy(*by).orderBy(version)
+    moved = df.select(*by, version, F.lag(version).over(w).alias("previous"), *((F.col(v) - F.lag(v).over(w)).alias(f"{v}_change") for v in values))
+    return moved.where("previous IS NOT NULL")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from itertools import product
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -11,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.numeric import paired
 from ..session import ship
-from .swiss import Match
+from .swiss import Event, Match, final_seeds
 
 OBJECTIVES = ("challenges", "champion", "expected_correct", "perfect")
 #: Places of the seeds that meet in the first round; winners of the first two and the last two meet next.
@@ -106,6 +109,26 @@ def rank_picks(draws: DataFrame, seeds: Sequence[str], priced: Mapping[Match, fl
     return means.join(F.broadcast(names), "pick").select("*", place)
 
 
+def rival(ranked: DataFrame, objective: str = "challenges", same: float = 1e-12) -> dict | None:
+    """The best pick whose mean differs from the leader's by more than same, how many tie with it, and the paired margin over the draws.
+
+    Picks that tie differ in what the objective does not see; their margin would be 0 by nature.
+    """
+    rows = ranked.select("place", "pick", objective, "values").orderBy("place").collect()  # 128 rows
+    other = next((r for r in rows if abs(r[objective] - rows[0][objective]) > same), None)
+    if other is None:
+        return None
+    mean, se = paired(rows[0]["values"], other["values"])
+    return {"leader": rows[0]["pick"], "tied": other["place"] - rows[0]["place"], "rival": other["pick"], "margin": mean, "se": se}
+
+
+def announced_or_derived(path: str | Path, event: Event, completed: Sequence[Match]) -> tuple[list[str], str]:
+    """The seeds of an announced bracket's file, else of the finished stage; and which."""
+    if Path(path).exists():
+        return checked(json.loads(Path(path).read_text())["seeds"], event.teams), "announced"
+    return checked(final_seeds(event, completed), event.teams), "derived"
+
+
 def reach(spark: SparkSession, seeds: Sequence[str], branches: np.ndarray) -> DataFrame:
     """team, sf, final, champ: chances to get so far."""
     p = paths()

@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numeric import canonical_sha
 from . import slates, swiss
 
 
@@ -37,6 +38,12 @@ def match_forecasts(ratings: Mapping[str, float], upcoming: Sequence[swiss.Match
     return [{"a": a, "b": b, "model_prob": prob(a, b), "market_prob": (priced or {}).get((a, b))} for a, b in upcoming]
 
 
+def forecast_manifest(inputs: Mapping[str, Any], code_sha: str | None, code_dirty: bool | None, n_sims: int, seed: int, policies: Mapping[str, str] | None = None) -> dict[str, Any]:
+    """What a later replay of a forecast needs: code, seeds, policies, and of each named input its source and content's identity."""
+    named = {f"{name}_{part}": value for name, (source, content) in inputs.items() for part, value in (("source", source), ("sha", canonical_sha(content) if content is not None else "unknown"))}
+    return {"manifest_version": "v1", "code_sha": code_sha or "unknown", "code_dirty": code_dirty is not False, "n_sims": n_sims, "seed": seed, **named, **(policies or {})}
+
+
 def log_entry(ts: str, source: str, sha: str, completed: Sequence, upcoming: Sequence, p_pass: float, expected: float, teams: Mapping, guide: Sequence[Mapping], manifest: Mapping | None = None, forecasts: Sequence[Mapping] | None = None, n_anchors: int = 0) -> dict[str, Any]:
     """One line of the forecast log."""
     return {"ts": ts, "ratings_source": source, "ratings_sha": sha, "n_anchors": n_anchors, "n_completed": len(completed), "upcoming": [list(m) for m in upcoming], "p_pass": p_pass, "e_ticks": expected, "teams": dict(teams), "rooting": [dict(g) for g in guide], "manifest": manifest, "match_forecasts": forecasts}

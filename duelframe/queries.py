@@ -281,6 +281,201 @@ def fitted_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fits.select("event_id", "config", "team", F.round("rating", 6).alias("rating"))
 
 
+def _named(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Matches, their sides by name with a day that half the time is another, and the alias table."""
+    m = judged(spark, sf_dir)
+    names = _table(spark, sf_dir, "supplier").select(F.col("s_name").alias("canonical"), F.col("s_suppkey").alias("team_id"))
+    known = m.where("team1_id IS NOT NULL AND team2_id IS NOT NULL")
+    side = lambda c: names.select(F.col("team_id").alias(f"{c}_team_id" if c == "winner" else f"{c}_id"), F.col("canonical").alias(c))
+    loser = F.when(F.col("winner_team_id") == F.col("team1_id"), F.col("team2_id")).otherwise(F.col("team1_id")).alias("loser_id")
+    rows = known.select("match_id", "start_ts", "bo_type", "tier", "winner_team_id", "team1_id", "team2_id", loser)
+    return m, rows.join(side("team1"), "team1_id").join(side("team2"), "team2_id").join(side("winner"), "winner_team_id").join(side("loser"), "loser_id"), names
+
+
+def _reference(named: DataFrame) -> DataFrame:
+    """Results as another source lists them: those of best-of-ones a day late, those of best-of-fives with the other winner."""
+    winner = F.when(F.col("bo_type") == 5, F.col("loser")).otherwise(F.col("winner"))
+    day = F.when(F.col("bo_type") == 1, F.date_add("start_ts", 1)).otherwise(F.to_date("start_ts"))
+    return named.select(F.col("match_id").alias("ref_id"), F.col("team1").alias("a"), F.col("team2").alias("b"), winner.alias("winner"), day.cast("string").alias("start"))
+
+
+def reference_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, named, aliases = _named(spark, sf_dir)
+    flags = audit.reference_check(m, _reference(named), aliases)[0]
+    return flags.groupBy("flag", "severity").agg(F.count("*").alias("n"), F.sum("match_id").alias("ids"))
+
+
+def reference_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, named, aliases = _named(spark, sf_dir)
+    return audit.reference_check(m, _reference(named), aliases)[1]
+
+
+SINCE = "1996-06-01"
+
+
+def _kept_by_hand(named: DataFrame) -> DataFrame:
+    """Results kept by hand: winner and loser without a day, some of them unknown names."""
+    return named.select(F.col("match_id").alias("row_id"), F.col("winner"), F.when(F.col("bo_type") == 1, F.concat(F.col("loser"), F.lit("?"))).otherwise(F.col("loser")).alias("loser"), F.coalesce("tier", F.lit("none")).alias("event"))
+
+
+def csv_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, named, aliases = _named(spark, sf_dir)
+    return audit.csv_check(m, _kept_by_hand(named), aliases, SINCE)[1]
+
+
+def csv_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, named, aliases = _named(spark, sf_dir)
+    flags = audit.csv_check(m, _kept_by_hand(named), aliases, SINCE)[0]
+    return flags.groupBy("flag", "severity").agg(F.count("*").alias("n"), F.sum("match_id").alias("ids"))
+
+
+def promoted_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consumer view by the join on the audit's flags."""
+    m = cut(judged(spark, sf_dir))
+    view = quarantine.consumer_view(m, audit.promotions(m))
+    return view.select("match_id", "bo_type", "team1_score", "team2_score", "winner_team_id", "quarantine_reason")
+
+
+def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts that have to add up, and whether they do."""
+    m = cut(judged(spark, sf_dir))
+    n = m.count()
+    ok, wrong = quarantine.reconcile(m, n, n, True, m.select("match_id").distinct().count())
+    return quarantine.quarantine_counts(m).agg(F.sum("n").alias("total"), F.sum(F.when(F.col("quarantine_reason").isNull(), F.col("n"))).alias("clean")).select("total", "clean", F.lit(ok).alias("ok"), F.lit(len(wrong)).alias("failures"))
+
+
+def _books(spark: SparkSession, sf_dir: str, least: float | None) -> DataFrame:
+    """Purchases as matches of two labels, views and clicks as two-sided snapshots, every third the other way round; users share PAIRS pairs."""
+    e = _table(spark, sf_dir, "events").withColumn("pair", F.col("user_id") % PAIRS)
+    label = lambda c: F.concat(F.lit(" U"), F.col("pair").cast("string"), F.lit(c))
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    m = e.where("event_type = 'purchase'").select(F.col("event_id").alias("match_key"), F.concat(F.lit("U"), F.col("pair"), F.lit("A")).alias("a"), F.concat(F.lit("U"), F.col("pair"), F.lit("B")).alias("b"), iso.alias("start"))
+    turned, price = F.col("event_id") % 3 == 0, F.col("value") / (F.col("value") + 100)
+    outcomes = F.when(turned, F.array(label("b"), label("a"))).otherwise(F.array(label("a"), label("b")))
+    prices = F.when(turned, F.array(1 - price, price)).otherwise(F.array(price, 1 - price))
+    s = e.where("event_type IN ('view', 'click')").select(F.col("event_id").alias("ordinal"), iso.alias("ts"), F.concat(F.lit("s"), F.col("event_id")).alias("slug"), outcomes.alias("outcomes"), prices.alias("prices"), F.col("value").alias("volume"))
+    known = {f"u{i}{c.lower()}": f"U{i}{c}" for i in range(PAIRS) for c in "AB"}
+    return asof.closing_prices(m, s, known, least).select("match_key", F.round("p_a", 8).alias("p_a"), "flagged", "slug")
+
+
+#: Pairs of labels of the closing-price queries.
+PAIRS = 20
+
+
+def closing_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _books(spark, sf_dir, 50.0)
+
+
+def closing_prices_older_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _books(spark, sf_dir, None)
+
+
+def inside_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Window matches between teams that their event's best teams have met."""
+    m, ev, w = _windows(spark, sf_dir)
+    best = events.participants(ev, m.where("tier = 's'"))
+    return events.inside(w, events.expand(best, w, 1)).groupBy("event_id").agg(F.count("*").alias("n"), F.sum("match_id").alias("ids"))
+
+
+def _walked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    m, ev, w = _windows(spark, sf_dir)
+    own = m.join(ev.select("tournament_id"), "tournament_id", "left_semi").where("team2_id IS NOT NULL").withColumn("event_id", F.col("tournament_id"))
+    seen = cut(events.team_statistics(w))
+    rated = lambda k: seen.select("event_id", "team", (1000.0 + F.col("team") % k).alias("rating"))
+    return grading.walk_forward(own, rated(97), rated(89), seen, 40)
+
+
+def walk_forward_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graded = _walked(spark, sf_dir)[0]
+    return graded.select("event_id", "match_id", "result", *(F.round(c, 8).alias(c) for c in ("p_cand", "p_inc", "brier_cand", "brier_inc", "delta_brier", "delta_log")))
+
+
+def event_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = grading.event_summaries(*map(cut, _walked(spark, sf_dir)), 0.6)
+    return out.select("event_id", "n_graded", "n_skipped", "excluded", *(F.round(c, 8).alias(c) for c in ("coverage", "mean_delta_brier", "mean_delta_log")))
+
+
+def version_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each priority's monthly counts and greatest sums change."""
+    o = _table(spark, sf_dir, "orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
+    rows = o.groupBy("o_orderpriority", "month").agg(F.count("*").alias("n"), F.max(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
+    return latest.version_deltas(rows, ["o_orderpriority"], "month", ["n", "cents"])
+
+
+def _forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as results of named sides, with prices of every customer against the next and prices as closes."""
+    c = _table(spark, sf_dir, "customer")
+    o = _table(spark, sf_dir, "orders")
+    name = lambda k: F.concat(F.lit("c"), k.cast("string"))
+    results = o.select(F.col("o_orderkey").alias("match_key"), name(F.col("o_custkey")).alias("a"), name(F.col("o_custkey") + 1 + F.col("o_orderkey") % 3).alias("b"), name(F.col("o_custkey") + F.when(F.col("o_orderstatus") == "F", 0).otherwise(1 + F.col("o_orderkey") % 3)).alias("winner"))
+    keys = c.select("c_custkey", "c_acctbal").unionByName(c.select((F.col("c_custkey") + 100_000_000).alias("c_custkey"), "c_acctbal"))
+    overrides = c.select(name(F.col("c_custkey")).alias("a"), name(F.col("c_custkey") + 1).alias("b"), (0.25 + (F.col("c_custkey") % 50) / 100.0).alias("p"))
+    ratings = keys.select(name(F.col("c_custkey")).alias("team"), (1000 + F.col("c_acctbal") / 50).alias("rating"))
+    held = results.join(ratings.select(F.col("team").alias("b")), "b", "left_semi").join(ratings.select(F.col("team").alias("a")), "a", "left_semi")
+    closes = o.select(F.col("o_orderkey").alias("match_key"), F.when(F.col("o_orderkey") % 4 != 0, 0.2 + (F.col("o_orderkey") % 60) / 100.0).alias("p_a"), (F.col("o_orderkey") % 5 == 0).alias("flagged"))
+    return grading.forecast_rows(held, overrides, ratings, closes)
+
+
+def forecast_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prov = F.create_map(F.lit("code_dirty"), F.lit("false"), F.lit("reconstruction_mode"), F.lit("immutable_forecast"), F.lit("code_sha"), F.lit("abc"))
+    g = grading.grade_matches(_forecasts(spark, sf_dir).withColumn("provenance", prov))
+    return g.select("match_key", "result", "adoption_eligible", *(F.round(c, 8).alias(c) for c in ("market_prob", "model_prob", "brier_model", "log_model", "brier_market", "delta_brier")))
+
+
+def log_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders against a copy in which some are lost, some are new and some have another status or no sum."""
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey")
+    k = F.col("o_orderkey")
+    other = o.where(k % 10 != 3).select(F.when(k % 10 == 4, -k - 1).otherwise(k).alias("o_orderkey"), F.when(k % 10 == 5, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), F.when(k % 10 == 6, None).otherwise(F.col("o_custkey")).alias("o_custkey"))
+    found = grading.differences(o, other, ["o_orderkey"], ["o_orderstatus", "o_custkey"])
+    return found.select("o_orderkey", "field", F.col("found").alias("was"), F.col("committed").alias("held"))
+
+
+def team_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as teams with a forecast table, their orders' counts as final records."""
+    records = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("k"))
+    results = records.select(F.col("o_custkey").cast("string").alias("team"), F.when(F.col("k") % 2 == 0, 3).otherwise(F.col("k") % 3).cast("int").alias("wins"), F.when(F.col("k") % 2 == 0, F.col("k") % 3).otherwise(3).cast("int").alias("losses"))
+    table = records.select(F.col("o_custkey").cast("string").alias("team"), *((0.05 + (F.col("o_custkey") % m) / 50.0).alias(c) for c, m in (("p30", 7), ("padv", 23), ("p03", 11))))
+    return grading.grade_teams(grading.team_rows(table, results)).select("team", "wins", "losses", *(F.round(f"{c}_brier", 8).alias(f"{c}_brier") for c in ("p30", "padv", "p03")))
+
+
+def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest-rank quantiles of a nation's balances and the envelope of an estimate."""
+    c = _table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.collect_list("c_acctbal").alias("v"), F.avg("c_acctbal").alias("m"))  # a nation's customers
+    low, high = S.envelope(F.col("m") / 10_000, F.col("m") / 10_000 - 0.001, F.col("m") / 10_000 + 0.02)
+    return c.select("c_nationkey", *(S.rank_quantile("v", q).alias(n) for n, q in (("p10", 0.1), ("p50", 0.5), ("p99", 0.99))), F.round(low, 8).alias("low"), F.round(high, 8).alias("high"))
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text functions: short identities, intervals, days of stamps and lists held as JSON."""
+    o = _table(spark, sf_dir, "orders")
+    stamp = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'+02:00'")
+    share = F.col("o_custkey") % 100 / 100.0
+    listed = S.string_array(F.concat(F.lit('["'), F.col("o_orderpriority"), F.lit('", "'), F.col("o_orderstatus"), F.lit('"]')))
+    return o.select("o_orderkey", S.short_sha(F.col("o_orderpriority").cast("binary")).alias("sha"), S.interval_text(share, share / 3, share + 0.25).alias("interval_text"), F.substring(stamp, 1, 10).alias("start_day"), S.utc(stamp).alias("start_utc"), F.element_at(listed, 2).alias("second_item"), F.round(S.normalized(F.array(share, F.lit(0.5)))[0], 8).alias("fair"))
+
+
+def fit_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three steps of the rating fit over all matches as one event, weighted by age and format."""
+    from .plans.ratings import fit_events
+
+    m = consumed(spark, sf_dir).where("team2_id IS NOT NULL AND team1_id <> team2_id")
+    first = F.col("winner_team_id") == F.col("team1_id")
+    sides = m.select(F.lit(1).cast("long").alias("event_id"), "match_id", F.when(first, F.col("team1_id")).otherwise(F.col("team2_id")).cast("string").alias("winner"), F.when(first, F.col("team2_id")).otherwise(F.col("team1_id")).cast("string").alias("loser"), S.age_days("start_ts", F.lit("2001-01-01 00:00:00").cast("timestamp")).alias("age_days"), "bo_type")
+    teams = sides.select(F.explode(F.array("winner", "loser")).alias("team")).distinct().select(F.lit(1).cast("long").alias("event_id"), "team", F.lit(None).cast("string").alias("modal_tier"), F.lit(None).cast("double").alias("idle_days"))
+    config = {"model": {"priors_scheme": "flat1000", "prior_mean": 1000, "sigma": 50.0, "iters": 3, "lr": 100.0}, "data_prep": {"weighting": {"scheme": "weighted", "half_life_days": 365, "bo1_discount": 0.5}}}
+    return fit_events(sides, teams, {"c": config}).select("team", F.round("rating", 6).alias("rating"))
+
+
+def bracket_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chances of eight rated teams to get through an exact bracket, its final a best-of-five."""
+    from .plans import bracket
+
+    event, ratings = _event(spark, sf_dir)
+    branches = bracket.branch_probs(event.teams[:8], bracket.bracket_prob(ratings))
+    return bracket.reach(spark, event.teams[:8], branches).select("team", *(F.round(c, 8).alias(c) for c in ("sf", "final", "champ")))
+
+
 def _event(spark: SparkSession, sf_dir: str):
     from .plans import swiss
 
@@ -319,6 +514,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         asof_close, calibration_summary, quarantine_reasons, promotion_flags, consumer_rows, impossible_scan, tier_divergence, latest_attributes, last_wins, superseding_log, contiguity, json_contract, unordered_pairs, stale_references,
         event_universe, event_splits, window_counts, hop_universe, modal_tiers, leave_one_out_priors, rating_scores, gradient_step, alias_lookup, calendar, paired_summaries, fitted_ratings, swiss_statistics, best_slates, bracket_picks,
+        reference_flags, reference_coverage, csv_outcomes, csv_flags, promoted_view, reconciliation, closing_prices, closing_prices_older_rule, inside_universe, walk_forward_rows, event_coverage, version_changes, forecast_grades, log_differences,
+        team_grades, quantiles, texts, fit_steps, bracket_reach,
     )
     return {f.__name__: f for f in own}
 
@@ -332,6 +529,59 @@ SELECT *, (mp - y) * (mp - y) AS bm, -(y * ln(mp) + (1 - y) * ln(1 - mp)) AS lm,
 """
 
 
+#: Sides by name, winner and loser, and the day of each match that has both.
+NAMED_SQL = f"""SELECT m.*, CAST(start_ts AS DATE) AS d, least(team1_id, team2_id) AS lo, greatest(team1_id, team2_id) AS hi, CASE WHEN winner_team_id = team1_id THEN team2_id ELSE team1_id END AS loser_id FROM ({REASON_SQL}) m WHERE team1_id IS NOT NULL AND team2_id IS NOT NULL"""
+REFERENCE_SQL = f"""
+SELECT r.match_id AS ref_id, r.team1_id, r.team2_id, r.w, COUNT(x.match_id) AS n, arg_min(x.winner_team_id, x.match_id) AS got, MIN(x.match_id) AS mid
+FROM (SELECT *, CASE WHEN bo_type = 5 THEN loser_id ELSE winner_team_id END AS w, CASE WHEN bo_type = 1 THEN d + 1 ELSE d END AS day FROM ({NAMED_SQL}) a) r
+LEFT JOIN ({NAMED_SQL}) x ON x.lo = r.lo AND x.hi = r.hi AND x.d = r.day GROUP BY ALL
+"""
+BY_HAND_SQL = f"""
+SELECT r.match_id AS row_id, r.winner_team_id AS w, CASE WHEN r.bo_type = 1 THEN NULL ELSE r.loser_id END AS l, COUNT(x.match_id) AS n, COUNT(x.match_id) FILTER (WHERE x.quarantine_reason IS NULL) AS good,
+ arg_min(x.winner_team_id, x.match_id) FILTER (WHERE x.quarantine_reason IS NULL) AS got, MIN(x.match_id) FILTER (WHERE x.quarantine_reason IS NULL) AS mid,
+ COUNT(x.match_id) FILTER (WHERE x.quarantine_reason IS NOT NULL) AS held, CAST(SUM(x.match_id) FILTER (WHERE x.quarantine_reason IS NOT NULL) AS BIGINT) AS held_ids
+FROM ({NAMED_SQL}) r LEFT JOIN (SELECT * FROM ({NAMED_SQL}) y WHERE start_ts >= TIMESTAMP '{SINCE}') x ON x.lo = r.lo AND x.hi = r.hi AND r.bo_type <> 1 GROUP BY ALL
+"""
+OUTCOME_SQL = f"SELECT *, CASE WHEN l IS NULL THEN 'unresolvable' WHEN n = 0 THEN 'unmatched' WHEN good > 1 THEN 'ambiguous' WHEN good = 1 AND got IS DISTINCT FROM w THEN 'mismatch' WHEN good = 1 THEN 'verified' ELSE 'quarantined' END AS outcome FROM ({BY_HAND_SQL}) z"
+
+
+def _book_sql(floor: str, tie: str) -> str:
+    """tie: of snapshots of one time the order of reading."""
+    return f"""
+WITH s AS (SELECT event_id AS ordinal, user_id % {PAIRS} AS pair, ts, 's' || event_id AS slug, value / (value + 100) AS p_a FROM events WHERE event_type IN ('view','click') {floor}),
+c AS (SELECT m.event_id AS match_key, s.*, s.ts < m.ts AS pre FROM events m JOIN s ON s.pair = m.user_id % {PAIRS} WHERE m.event_type = 'purchase'),
+r AS (SELECT *, row_number() OVER (PARTITION BY match_key ORDER BY CASE WHEN pre THEN 0 ELSE 1 END, CASE WHEN pre THEN ts END DESC, CASE WHEN NOT pre THEN ts END, {tie}) AS rn FROM c)
+SELECT m.event_id AS match_key, round(r.p_a, 8) AS p_a, coalesce(NOT r.pre, false) AS flagged, r.slug FROM events m LEFT JOIN r ON r.match_key = m.event_id AND r.rn = 1 WHERE m.event_type = 'purchase'"""
+
+
+WALK_SQL = f"""
+WITH w AS (SELECT * FROM ({WINDOW_SQL}) x), t AS (SELECT event_id, team, COUNT(*) AS n FROM (SELECT event_id, unnest([team1_id, team2_id]) AS team FROM w) y GROUP BY ALL),
+o AS (SELECT c.*, c.tournament_id AS event_id FROM ({CONSUMED_SQL}) c WHERE team2_id IS NOT NULL AND tournament_id IN (SELECT tournament_id FROM ({UNIVERSE_SQL}) u)),
+j AS (SELECT o.*, coalesce(a.n, 0) >= 40 AND coalesce(b.n, 0) >= 40 AS ok, 1 / (1 + pow(10.0, ((team2_id % 97) - (team1_id % 97)) / 400.0)) AS pc, 1 / (1 + pow(10.0, ((team2_id % 89) - (team1_id % 89)) / 400.0)) AS pi, CASE WHEN winner_team_id = team1_id THEN 1.0 ELSE 0.0 END AS y
+  FROM o LEFT JOIN t a ON a.event_id = o.event_id AND a.team = o.team1_id LEFT JOIN t b ON b.event_id = o.event_id AND b.team = o.team2_id),
+g AS (SELECT *, (pc - y) * (pc - y) AS bc, (pi - y) * (pi - y) AS bi, -(y * ln(pc) + (1 - y) * ln(1 - pc)) + (y * ln(pi) + (1 - y) * ln(1 - pi)) AS dl FROM j)
+"""
+FIT_SQL = f"""
+WITH m AS (SELECT winner_team_id AS w, CASE WHEN winner_team_id = team1_id THEN team2_id ELSE team1_id END AS l, pow(0.5, epoch(TIMESTAMP '2001-01-01' - start_ts) / 86400.0 / 365) * CASE WHEN bo_type = 1 THEN 0.5 ELSE 1.0 END AS k FROM ({CONSUMED_SQL}) c WHERE team2_id IS NOT NULL AND team1_id <> team2_id),
+r0 AS (SELECT t, CAST(1000 AS DOUBLE) AS r FROM (SELECT w AS t FROM m UNION SELECT l FROM m) x),
+""" + ",\n".join(f"""g{i} AS (SELECT t, SUM(s) AS g FROM (SELECT w AS t, k * (1 - 1 / (1 + pow(10.0, (b.r - a.r) / 400))) * ln(10) / 400 AS s FROM m JOIN r{i} a ON a.t = w JOIN r{i} b ON b.t = l
+  UNION ALL SELECT l, -k * (1 - 1 / (1 + pow(10.0, (b.r - a.r) / 400))) * ln(10) / 400 FROM m JOIN r{i} a ON a.t = w JOIN r{i} b ON b.t = l) z GROUP BY t),
+r{i + 1} AS (SELECT r.t, r.r + 100.0 * (g.g - (r.r - 1000) / 2500) AS r FROM r{i} r JOIN g{i} g ON g.t = r.t)""" for i in range(3)) + """
+SELECT CAST(t AS VARCHAR) AS team, round(r + 1000 - (SELECT avg(r) FROM r3), 6) AS rating FROM r3
+"""
+#: Places 0 to 7 of the seeds; seat: quarter of the bracket, half: half of it.
+REACH_SQL = """
+WITH t AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS i, 'team' || c_custkey AS team, 1000 + c_acctbal / 50 AS r FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 8) c),
+s AS (SELECT *, CASE WHEN i IN (0, 7) THEN 0 WHEN i IN (3, 4) THEN 1 WHEN i IN (1, 6) THEN 2 ELSE 3 END AS seat FROM t), h AS (SELECT *, seat // 2 AS half FROM s),
+p AS (SELECT a.i AS a, b.i AS b, 1 / (1 + pow(10.0, (b.r - a.r) / 400)) AS p FROM t a JOIN t b ON a.i <> b.i),
+f AS (SELECT a, b, q * q * q * (1 + 3 * (1 - q) + 6 * (1 - q) * (1 - q)) AS p FROM (SELECT a, b, 0.5 + sin(asin(2 * greatest(least(p, 1 - 1e-12), 1e-12) - 1) / 3) AS q FROM p) z),
+q AS (SELECT x.i, x.half, x.seat, p.p AS c FROM h x JOIN h y ON x.seat = y.seat AND x.i <> y.i JOIN p ON p.a = x.i AND p.b = y.i),
+e AS (SELECT x.i, x.half, x.c * SUM(y.c * p.p) AS c FROM q x JOIN q y ON x.half = y.half AND x.seat <> y.seat JOIN p ON p.a = x.i AND p.b = y.i GROUP BY x.i, x.half, x.c),
+w AS (SELECT x.i, x.c * SUM(y.c * f.p) AS c FROM e x JOIN e y ON x.half <> y.half JOIN f ON f.a = x.i AND f.b = y.i GROUP BY x.i, x.c)
+SELECT team, round(q.c, 8) AS sf, round(e.c, 8) AS final, round(w.c, 8) AS champ FROM t JOIN q ON q.i = t.i JOIN e ON e.i = t.i JOIN w ON w.i = t.i
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "asof_close": f"SELECT event_id, q_id, ROUND(value, 4) AS close_value, flagged FROM ({CLOSE_SQL}) c",
@@ -374,4 +624,41 @@ def oracle_sql() -> dict[str, str]:
         "calendar": "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) - INTERVAL 7 MONTH AS DATE) AS back, ROUND(epoch(TIMESTAMP '1999-01-01' - o_orderdate) / 86400.0, 6) AS age FROM orders",
         "paired_summaries": f"""SELECT CAST(month AS BIGINT) AS day, COUNT(*) FILTER (WHERE e) AS n_graded, COUNT(*) FILTER (WHERE NOT e) AS n_skipped, ROUND(AVG(bk - bm) FILTER (WHERE e), 8) AS mean_delta_brier, ROUND(CAST(COUNT(*) FILTER (WHERE e) AS DOUBLE) / COUNT(*), 8) AS coverage,
           CAST(COUNT(*) FILTER (WHERE e) AS DOUBLE) / COUNT(*) < 0.68 AS excluded FROM (SELECT g.*, cp IS NOT NULL AND NOT g.flagged AND man AS e, EXTRACT(DAY FROM ts) AS month FROM ({GRADED_SQL}) g JOIN events v ON v.event_id = g.event_id) h GROUP BY month""",
+        "reference_flags": f"""SELECT CASE WHEN n = 0 THEN 'reference_missing' WHEN n > 1 THEN 'reference_ambiguous' ELSE 'orientation_mismatch' END AS flag, 'fail' AS severity, COUNT(*) AS n, CAST(SUM(CASE WHEN n = 1 THEN mid END) AS BIGINT) AS ids
+          FROM ({REFERENCE_SQL}) r WHERE n <> 1 OR got IS DISTINCT FROM w GROUP BY 1""",
+        "reference_coverage": f"SELECT s_name AS name, COUNT(*) AS expected, COUNT(*) FILTER (WHERE n > 0) AS found FROM (SELECT unnest([team1_id, team2_id]) AS t, n FROM ({REFERENCE_SQL}) r) z JOIN supplier ON s_suppkey = t GROUP BY s_name",
+        "csv_outcomes": f"SELECT outcome, CAST(SUM(CASE WHEN outcome = 'quarantined' THEN held ELSE 1 END) AS BIGINT) AS n FROM ({OUTCOME_SQL}) o GROUP BY outcome",
+        "csv_flags": f"""SELECT 'csv_row_unmatched' AS flag, 'fail' AS severity, COUNT(*) AS n, CAST(NULL AS BIGINT) AS ids FROM ({OUTCOME_SQL}) o WHERE outcome = 'unmatched' HAVING COUNT(*) > 0
+          UNION ALL SELECT 'csv_ambiguous', 'report', COUNT(*), NULL FROM ({OUTCOME_SQL}) o WHERE outcome = 'ambiguous' HAVING COUNT(*) > 0
+          UNION ALL SELECT 'csv_orientation_mismatch', 'fail', COUNT(*), CAST(SUM(mid) AS BIGINT) FROM ({OUTCOME_SQL}) o WHERE outcome = 'mismatch' HAVING COUNT(*) > 0
+          UNION ALL SELECT 'csv_match_quarantined', 'report', CAST(SUM(held) AS BIGINT), CAST(SUM(held_ids) AS BIGINT) FROM ({OUTCOME_SQL}) o WHERE outcome = 'quarantined' HAVING COUNT(*) > 0""",
+        "promoted_view": f"SELECT match_id, bo_type, team1_score, team2_score, winner_team_id, quarantine_reason FROM ({CONSUMED_SQL}) c",
+        "reconciliation": f"SELECT COUNT(*) AS total, COUNT(*) FILTER (WHERE quarantine_reason IS NULL) AS clean, COUNT(*) FILTER (WHERE quarantine_reason = 'bo2_draw') > 0 AND COUNT(quarantine_reason) / COUNT(*) <= {quarantine.MOST_QUARANTINED} AS ok, CAST(CASE WHEN COUNT(*) FILTER (WHERE quarantine_reason = 'bo2_draw') > 0 THEN 0 ELSE 1 END + CASE WHEN COUNT(quarantine_reason) / COUNT(*) <= {quarantine.MOST_QUARANTINED} THEN 0 ELSE 1 END AS INTEGER) AS failures FROM ({REASON_SQL}) r",
+        "closing_prices": _book_sql("AND value >= 50.0", "CASE WHEN pre THEN -ordinal ELSE ordinal END"),
+        "closing_prices_older_rule": _book_sql("", "CASE WHEN pre THEN -p_a ELSE p_a END, CASE WHEN pre THEN -ordinal ELSE ordinal END"),
+        "inside_universe": f"""WITH w AS (SELECT * FROM ({WINDOW_SQL}) x), e AS (SELECT event_id, team1_id AS a, team2_id AS b FROM w UNION SELECT event_id, team2_id, team1_id FROM w),
+          h AS (SELECT DISTINCT tournament_id AS event_id, unnest([team1_id, team2_id]) AS t FROM ({CONSUMED_SQL}) c WHERE tier = 's' AND tournament_id IN (SELECT tournament_id FROM ({UNIVERSE_SQL}) u)),
+          v AS (SELECT * FROM h WHERE t IS NOT NULL UNION SELECT e.event_id, b FROM e JOIN h ON e.event_id = h.event_id AND e.a = h.t WHERE b IS NOT NULL)
+          SELECT w.event_id, COUNT(*) AS n, CAST(SUM(match_id) AS BIGINT) AS ids FROM w JOIN v a ON a.event_id = w.event_id AND a.t = w.team1_id JOIN v b ON b.event_id = w.event_id AND b.t = w.team2_id GROUP BY w.event_id""",
+        "walk_forward_rows": f"{WALK_SQL} SELECT event_id, match_id, y AS result, round(pc, 8) AS p_cand, round(pi, 8) AS p_inc, round(bc, 8) AS brier_cand, round(bi, 8) AS brier_inc, round(bc - bi, 8) AS delta_brier, round(dl, 8) AS delta_log FROM g WHERE ok",
+        "event_coverage": f"{WALK_SQL} SELECT event_id, COUNT(*) FILTER (WHERE ok) AS n_graded, COUNT(*) FILTER (WHERE NOT ok) AS n_skipped, COUNT(*) FILTER (WHERE ok) / COUNT(*) < 0.6 AS excluded, round(COUNT(*) FILTER (WHERE ok) / COUNT(*), 8) AS coverage, round(AVG(bc - bi) FILTER (WHERE ok), 8) AS mean_delta_brier, round(AVG(dl) FILTER (WHERE ok), 8) AS mean_delta_log FROM g GROUP BY event_id",
+        "version_changes": """SELECT o_orderpriority, month, previous, n - n0 AS n_change, cents - cents0 AS cents_change FROM (SELECT *, lag(month) OVER w AS previous, lag(n) OVER w AS n0, lag(cents) OVER w AS cents0 FROM (
+          SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m') AS month, COUNT(*) AS n, MAX(CAST(round(o_totalprice * 100) AS BIGINT)) AS cents FROM orders GROUP BY ALL) a WINDOW w AS (PARTITION BY o_orderpriority ORDER BY month)) b WHERE previous IS NOT NULL""",
+        "forecast_grades": """WITH r AS (SELECT o_orderkey AS k, o_custkey AS a, o_custkey + 1 + o_orderkey % 3 AS b, o_orderstatus = 'F' AS won FROM orders),
+          j AS (SELECT k, CASE WHEN won THEN 1.0 ELSE 0.0 END AS y, CASE WHEN b = a + 1 THEN 0.25 + (a % 50) / 100.0 END AS mk, 1 / (1 + pow(10.0, (y.c_acctbal / 50 - x.c_acctbal / 50) / 400)) AS md, CASE WHEN k % 4 <> 0 THEN 0.2 + (k % 60) / 100.0 END AS cp, k % 5 = 0 AS fl FROM r JOIN customer x ON x.c_custkey = a JOIN customer y ON y.c_custkey = b),
+          g AS (SELECT *, coalesce(mk, md) AS p FROM j)
+          SELECT k AS match_key, y AS result, cp IS NOT NULL AND NOT fl AS adoption_eligible, round(mk, 8) AS market_prob, round(p, 8) AS model_prob, round((p - y) * (p - y), 8) AS brier_model,
+            round(-(y * ln(greatest(least(p, 1 - 1e-9), 1e-9)) + (1 - y) * ln(1 - greatest(least(p, 1 - 1e-9), 1e-9))), 8) AS log_model, round((cp - y) * (cp - y), 8) AS brier_market, round((cp - y) * (cp - y) - (p - y) * (p - y), 8) AS delta_brier FROM g""",
+        "log_differences": """WITH c AS (SELECT CASE WHEN o_orderkey % 10 = 4 THEN -o_orderkey - 1 ELSE o_orderkey END AS k, CASE WHEN o_orderkey % 10 = 5 THEN 'X' ELSE o_orderstatus END AS s, CASE WHEN o_orderkey % 10 = 6 THEN NULL ELSE o_custkey END AS u FROM orders WHERE o_orderkey % 10 <> 3),
+          b AS (SELECT coalesce(o_orderkey, k) AS o_orderkey, o.o_orderkey IS NULL AS no_new, c.k IS NULL AS no_old, o.o_orderstatus, s, o.o_custkey, u FROM orders o FULL JOIN c ON o.o_orderkey = c.k)
+          SELECT o_orderkey, 'row' AS field, CASE WHEN no_new THEN NULL ELSE 'there' END AS was, CASE WHEN no_old THEN NULL ELSE 'there' END AS held FROM b WHERE no_new OR no_old
+          UNION ALL SELECT o_orderkey, 'o_orderstatus', o_orderstatus, s FROM b WHERE NOT no_new AND NOT no_old AND o_orderstatus IS DISTINCT FROM s
+          UNION ALL SELECT o_orderkey, 'o_custkey', CAST(o_custkey AS VARCHAR), CAST(u AS VARCHAR) FROM b WHERE NOT no_new AND NOT no_old AND o_custkey IS DISTINCT FROM u""",
+        "team_grades": """WITH k AS (SELECT o_custkey AS t, COUNT(*) AS k FROM orders GROUP BY o_custkey), r AS (SELECT t, CAST(CASE WHEN k % 2 = 0 THEN 3 ELSE k % 3 END AS INTEGER) AS wins, CAST(CASE WHEN k % 2 = 0 THEN k % 3 ELSE 3 END AS INTEGER) AS losses, 0.05 + (t % 7) / 50.0 AS a, 0.05 + (t % 23) / 50.0 AS b, 0.05 + (t % 11) / 50.0 AS c FROM k)
+          SELECT CAST(t AS VARCHAR) AS team, wins, losses, round(pow(a - CASE WHEN wins = 3 AND losses = 0 THEN 1 ELSE 0 END, 2), 8) AS p30_brier, round(pow(b - CASE WHEN wins = 3 AND losses IN (1, 2) THEN 1 ELSE 0 END, 2), 8) AS padv_brier, round(pow(c - CASE WHEN wins = 0 AND losses = 3 THEN 1 ELSE 0 END, 2), 8) AS p03_brier FROM r""",
+        "quantiles": """SELECT c_nationkey, v[least(CAST(floor(0.1 * n) AS INTEGER), n - 1) + 1] AS p10, v[least(CAST(floor(0.5 * n) AS INTEGER), n - 1) + 1] AS p50, v[least(CAST(floor(0.99 * n) AS INTEGER), n - 1) + 1] AS p99,
+          round(greatest(0.0, least(m / 10000 - 0.001, m / 10000 - 0.003)), 8) AS low, round(least(1.0, greatest(m / 10000 + 0.02, m / 10000 + 0.003)), 8) AS high FROM (SELECT c_nationkey, list_sort(list(c_acctbal)) AS v, CAST(COUNT(*) AS INTEGER) AS n, AVG(c_acctbal) AS m FROM customer GROUP BY c_nationkey) c""",
+        "texts": """SELECT o_orderkey, substr(sha1(o_orderpriority), 1, 12) AS sha, printf('%.2f [%.2f-%.2f]', s, s / 3, s + 0.25) AS interval_text, strftime(o_orderdate, '%Y-%m-%d') AS start_day, o_orderdate - INTERVAL 2 HOUR AS start_utc, o_orderstatus AS second_item, round(s / (s + 0.5), 8) AS fair FROM (SELECT *, o_custkey % 100 / 100.0 AS s FROM orders) o""",
+        "fit_steps": FIT_SQL,
+        "bracket_reach": REACH_SQL,
     }
