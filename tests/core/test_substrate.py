@@ -147,8 +147,27 @@ def test_csv_fields_stay_text(spark, tmp_path):
     assert tuple(files.csv_texts(spark, str(tmp_path / "fit.csv")).first()) == ("01", "B", "0.50")
 
 
+# Prior ratings, of which the first sixteen play the stage.
+PRIORS = {
+    "Vitality": 1180, "Spirit": 1075, "NAVI": 1065, "Falcons": 1040, "FURIA": 995, "MOUZ": 990, "MongolZ": 985, "Aurora": 950, "PARIVISION": 945, "FUT": 935, "G2": 920, "BetBoom": 880, "Monte": 875, "Legacy": 870, "B8": 845, "9z": 790,
+    "Astralis": 900, "GamerLegion": 900, "paiN": 860, "TYLOO": 860, "BIG": 860, "Liquid": 850, "MIBR": 840, "3DMAX": 840, "M80": 820, "FlyQuest": 820, "HOTU": 820, "RedCanids": 780, "GentleMates": 780, "PassionUA": 760,
+}
+# Ratings after 25 steps over two matches.
+FITTED = {"Vitality": 1189.288373985839, "Spirit": 1065.711626014161, "NAVI": 1070.4391508097926, "FURIA": 989.5608491902075, "G2": 920.0}
+# A bracket's seeds, the ratings and prices before it, and the chance of its likeliest champion.
+SEEDS = ("Spirit", "FURIA", "Aurora", "Vitality", "Falcons", "BetBoom", "9z", "G2")
+STRENGTH = {"Vitality": 1171.2506830325908, "Falcons": 1050.0146666935073, "Aurora": 962.7971131969234, "FURIA": 1020.6373205980242, "Spirit": 1120.7100399931592, "G2": 946.1230144493074, "9z": 859.9550612758283, "BetBoom": 921.0675905572331}
+PRICES = [{"a": "Vitality", "b": "Falcons", "p": 0.705}, {"a": "Aurora", "b": "BetBoom", "p": 0.545}, {"a": "FURIA", "b": "9z", "p": 0.735}, {"a": "Spirit", "b": "G2", "p": 0.735}]
+CHAMPION = 0.3569
+
+
 def test_golden_fit():
-    """A golden value: 25 steps of two matches."""
-    priors = {"Vitality": 1200.0, "Spirit": 1080.0, "NAVI": 1080.0, "FURIA": 980.0, "G2": 920.0}
-    got = ratings.fit(["Vitality", "NAVI"], ["Spirit", "FURIA"], [1.0, 0.5], priors, ratings.Settings(sigma=50.0, iters=25))
-    assert abs(sum(got.values()) - sum(priors.values())) < 1e-6 and got["Vitality"] > got["Spirit"]
+    stage = list(PRIORS)[:16]
+    settings = ratings.Settings(sigma=50.0, sigma_by_team=dict.fromkeys(stage, 70.0), iters=25)
+    got = ratings.fit(["Vitality", "NAVI"], ["Spirit", "FURIA"], [1.0, 0.5], {t: float(r) for t, r in PRIORS.items()}, settings, stage)
+    assert {t: got[t] for t in FITTED} == pytest.approx(FITTED, abs=1e-6)
+
+
+def test_golden_bracket(spark):
+    branches = bracket.branch_probs(SEEDS, bracket.bracket_prob(STRENGTH, ratings.overrides(PRICES)))
+    assert max(r.champ for r in bracket.reach(spark, SEEDS, branches).collect()) == pytest.approx(CHAMPION, abs=5e-5)
