@@ -19,10 +19,12 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import math
 import random
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -105,16 +107,17 @@ def _order(span: Span) -> tuple[int, int]:
     return span[0], KINDS.index(span[2])
 
 
-AT = r"\s*(?:\[\s*at\s*\]|\(\s*at\s*\)|\{\s*at\s*\}|\s[Aa][Tt]\s)\s*"
+#: What stands for the at sign; its white space is looked at apart, so that long runs of it are read once.
+AT = re.compile(r"\[\s*at\s*\]|\(\s*at\s*\)|\{\s*at\s*\}|\s[Aa][Tt]\s")
 DOT = r"\s*(?:\[\s*dot\s*\]|\(\s*dot\s*\)|\{\s*dot\s*\}|\s[Dd][Oo][Tt]\s|\.)\s*"
 GENERATORS = {
-    "email": re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{AT}[A-Za-z0-9-]{{1,63}}(?:{DOT}[A-Za-z0-9-]{{2,63}}){{1,4}}"),
     "phone": re.compile(r"(?<![0-9+])(?![0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]))(?:\(?[0-9]{2,4}\)?[ .-]){1,4}[0-9]{3,4}(?:[ .-][0-9]{2,4})?(?![0-9])"),
     "card": re.compile(r"(?<![0-9])(?:[0-9]{4}[ .-]?){3,4}[0-9]{1,4}(?![0-9])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "secret": re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}(?![A-Za-z0-9_/+-])"),
 }
+WRITTEN_DOMAIN = re.compile(rf"\s*[A-Za-z0-9-]{{1,63}}(?:{DOT}[A-Za-z0-9-]{{2,63}}){{1,4}}")
 CUES = {
     "email": re.compile(r"mail|contact|write|reach|e-?mail", re.I),
     "phone": re.compile(r"tel|phone|call|fax|mobile|dial|\bph\b", re.I),
@@ -126,20 +129,30 @@ CUES = {
 }
 COUNTER_CUES = re.compile(r"order|invoice|version|serial|isbn|date|build|ref|no\.|id\b|commit|sha|hash|page|chapter", re.I)
 HAS_DIGITS = re.compile(r"[0-9]")
-SPELT_AT = re.compile(AT)
 LONG_WORD = re.compile(r"[A-Za-z0-9_/+-]{16}")
 
 
+def _spelt_out(text: str) -> Iterator[Span]:
+    """E-mail addresses with a written at sign: up to 64 characters of a local part before it, a domain with dots of any kind behind."""
+    for m in AT.finditer(text):
+        end = m.start()
+        while end and text[end - 1].isspace():
+            end -= 1
+        start = end
+        while start and end - start <= 64 and text[start - 1] in LOCAL:
+            start -= 1
+        if 0 < end - start <= 64 and (domain := WRITTEN_DOMAIN.match(text, m.end())):
+            yield start, domain.end(), "email"
+
+
 def candidates(text: str) -> list[Span]:
     """Every generator's proposals; they may overlap."""
     kinds = []
-    if SPELT_AT.search(text):
-        kinds.append("email")
     if HAS_DIGITS.search(text):
         kinds += ["phone", "card", "ssn", "iban"]
     if LONG_WORD.search(text):
         kinds.append("secret")
-    return [(m.start(), m.end(), k) for k in kinds for m in GENERATORS[k].finditer(text)]
+    return [*_spelt_out(text), *((m.start(), m.end(), k) for k in kinds for m in GENERATORS[k].finditer(text))]
 
 
 def _entropy(text: str) -> float:
@@ -311,34 +324,50 @@ def _threshold(scores: np.ndarray, truth: np.ndarray, precision: float) -> float
     return max(0.5, float(scores[order][good[-1]])) if len(good) else 1.1
 
 
-def spans(text: str, model: Model) -> tuple[list[Span], list[Span]]:
-    """The base spans, and all spans: by start, then kind."""
+def proposals(text: str) -> tuple[list[Span], list[Span]]:
+    """The base spans, and the candidates that don't touch one."""
     base = base_spans(text)
     proposed = candidates(text)
-    if not proposed:
-        return base, base
     taken = sorted((s, e) for s, e, _ in base)
-    ends = [max(e for _, e in taken[: i + 1]) for i in range(len(taken))]
+    ends = list(itertools.accumulate((e for _, e in taken), max))
 
     def free(s: int, e: int) -> bool:
         i = bisect.bisect_left(taken, (e, -1))
         return i == 0 or ends[i - 1] <= s
 
-    proposed = [p for p in proposed if free(p[0], p[1])]
-    if not proposed:
-        return base, base
-    scores = model.score(np.array([features(text, p) for p in proposed]))
+    return base, [p for p in proposed if free(p[0], p[1])]
+
+
+def chosen(base: list[Span], proposed: list[Span], scores: np.ndarray, thresholds: dict[str, float]) -> list[Span]:
+    """The base spans and those proposed that reach their kind's threshold, of overlapping ones the best: by start, then kind."""
     added: list[Span] = []
     starts: list[tuple[int, int]] = []
     for i in sorted(range(len(proposed)), key=lambda i: (-scores[i], proposed[i])):
         s, e, kind = proposed[i]
-        if scores[i] < model.thresholds[kind]:
+        if scores[i] < thresholds[kind]:
             continue
         j = bisect.bisect_left(starts, (e, -1))
         if j == 0 or starts[j - 1][1] <= s:
             bisect.insort(starts, (s, e))
             added.append(proposed[i])
-    return base, sorted(base + added, key=_order)
+    return sorted(base + added, key=_order)
+
+
+def spans_of(own: list[str], model: Model) -> list[tuple[list[Span], list[Span]]]:
+    """Of each text the base spans, and all spans; the trees score all texts' proposals at once."""
+    found = [proposals(t) for t in own]
+    rows = [features(t, p) for t, (_, proposed) in zip(own, found, strict=True) for p in proposed]
+    scores = model.score(np.array(rows)) if rows else np.zeros(0)
+    out, at = [], 0
+    for base, proposed in found:
+        out.append((base, chosen(base, proposed, scores[at : at + len(proposed)], model.thresholds)))
+        at += len(proposed)
+    return out
+
+
+def spans(text: str, model: Model) -> tuple[list[Span], list[Span]]:
+    """The base spans, and all spans: by start, then kind."""
+    return spans_of([text], model)[0]
 
 
 def joined(found: list[Span]) -> str:
@@ -361,7 +390,7 @@ def find(docs: DataFrame, redacted: bool = False, model: Model | None = None) ->
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = texts(batch)
-        both = [spans(t, shared.value) for t in own]
+        both = spans_of(own, shared.value)
         columns = [batch.column(0), pa.array([joined(b) for b, _ in both], pa.string()), pa.array([joined(a) for _, a in both], pa.string())]
         columns += [pa.array([sum(s[2] == k for s in b) for b, _ in both], pa.int64()) for k in BASE]
         columns.append(pa.array([redact(t, a) if redacted else None for t, (_, a) in zip(own, both, strict=True)], pa.string()))
