@@ -1,6 +1,7 @@
 """Walk-forward replays: both configurations fitted on the window before each event, graded on the event.
 
-Every step over matches is a DataFrame; the driver sees one row for each event.
+Every step over matches is a DataFrame, and so is what is written of them; the driver sees
+one row for each event.
 """
 
 from __future__ import annotations
@@ -134,15 +135,15 @@ def run(matches: DataFrame, meta: Mapping[str, str], candidate: dict, incumbent:
         checks.insert(0, (gates.nominated, nominating, candidate, incumbent, harness))
     blocked = gates.passed(checks)
 
-    rows: list[dict] = []
+    kept = skipped = None
+    n_rows = 0
     events: list[dict] = []
     stats, name, objective, proof = None, "BLOCKED", {"status": "not-run"}, {}
     if not blocked:
         prepared = prepare(matches, chosen, harness["window_months"], hops)
         graded, skipped, summaries, fits = replay(prepared, {"cand": candidate, "inc": incumbent}, harness["fit_universe"]["min_obs"], harness["coverage_floor"])
         events = [r.asDict() for r in summaries.orderBy("event_id").collect()]
-        kept = graded.join(summaries.where("NOT excluded").select("event_id"), "event_id", "left_semi").cache()
-        failures += [{"kind": "skipped_row", **r.asDict()} for r in skipped.collect()]
+        kept = cut(graded.join(summaries.where("NOT excluded").select("event_id"), "event_id", "left_semi"))
         failures += [{"kind": "excluded_event_coverage", "tournament_id": e["event_id"], "coverage": e["coverage"]} for e in events if e["excluded"]]
         deltas = [e["mean_delta_brier"] for e in events if not e["excluded"] and e["mean_delta_brier"] is not None]
         blocked = gates.passed([(enough, len(deltas))])
@@ -157,7 +158,7 @@ def run(matches: DataFrame, meta: Mapping[str, str], candidate: dict, incumbent:
             objective = {"status": "computed" if found else "no-slate-events-computed", "events": found}
             name = verdict(stats, judged["mde_brier"], judged["min_events"], all(f["objective_ok"] for f in found), split_name)
             blocked = gates.passed([(gates.objective_known, name, bool(found))])
-            rows = [json.loads(r[0]) for r in kept.orderBy("event_id", "match_id").select(F.to_json(F.struct("*"))).collect()]  # the graded matches of one replay
+            n_rows = kept.count()
             proof = evidence(kept, {"uniform": "constant-0.5"})
     manifest = {
         "version": VERSION, "code_dirty": code_dirty, "substrate": fingerprint(matches, meta), "candidate_config_sha": canonical_sha(candidate), "incumbent_config_sha": canonical_sha(incumbent), "harness_config_sha": canonical_sha(harness),
@@ -166,9 +167,13 @@ def run(matches: DataFrame, meta: Mapping[str, str], candidate: dict, incumbent:
     manifest["adoption_eligible"] = code_dirty is False and not blocked and limit is None and not has_placeholder([manifest, candidate, incumbent, harness])
     run_id = canonical_sha(manifest)[:16]
     result = {"run_id": run_id, "verdict": "BLOCKED" if blocked else "EXPLORATORY" if limit is not None else name, "would_be": None if blocked else name, "blocked_gates": blocked, "stats": None if blocked else stats, "evidence": {} if blocked else proof, "objective_check": objective, "split": split_name, "adoption_eligible": manifest["adoption_eligible"]}
-    write_run(Path(root) / run_id, {"manifest": manifest, "verdict": result}, {"events": events, "rows": rows, "failures": failures}, config_files)
-    if split_name == "holdout" and rows and burn_log:
-        entry = {"date": datetime.now(timezone.utc).date().isoformat(), "run_id": run_id, "result": result["verdict"], "n_matches": len(rows), "event_set_sha": manifest["event_set_sha"]}
+    out = write_run(Path(root) / run_id, {"manifest": manifest, "verdict": result}, {"events": events, "failures": failures}, config_files)
+    # What has a row for each match is written by Spark: rows and skipped are folders of JSON lines.
+    for name, df in (("rows", kept if n_rows else None), ("skipped", skipped)):
+        if df is not None:
+            df.select(*sorted(df.columns)).repartitionByRange("event_id", "match_id").sortWithinPartitions("event_id", "match_id").write.mode("overwrite").json(str(out / name))
+    if split_name == "holdout" and n_rows and burn_log:
+        entry = {"date": datetime.now(timezone.utc).date().isoformat(), "run_id": run_id, "result": result["verdict"], "n_matches": n_rows, "event_set_sha": manifest["event_set_sha"]}
         with open(burn_log, "a", encoding="utf-8") as f:
             f.write(json.dumps(entry, sort_keys=True) + "\n")
     return result

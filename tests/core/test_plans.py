@@ -194,8 +194,11 @@ def test_replay_end_to_end(substrate, tmp_path):
     got = replay.run(substrate, META, CANDIDATE, INCUMBENT, HARNESS, tmp_path, code_dirty=False)
     again = replay.run(substrate, META, CANDIDATE, INCUMBENT, HARNESS, tmp_path / "again", code_dirty=False)
     assert got == again and got["verdict"] in ("REJECT", "INCONCLUSIVE") and got["stats"]["n_events"] == 4 and got["evidence"]["uniform_brier"] == 0.25
-    names = ("manifest.json", "verdict.json", "events.jsonl", "rows.jsonl", "failures.jsonl")
+    names = ("manifest.json", "verdict.json", "events.jsonl", "failures.jsonl")
     assert all((tmp_path / got["run_id"] / n).read_bytes() == (tmp_path / "again" / got["run_id"] / n).read_bytes() for n in names)
+    lines = lambda top, name: sorted(x for f in (top / got["run_id"] / name).glob("part-*.json") for x in f.read_text().splitlines())
+    assert all(lines(tmp_path, n) == lines(tmp_path / "again", n) != [] for n in ("rows", "skipped"))
+    assert len(lines(tmp_path, "rows")) + len(lines(tmp_path, "skipped")) >= sum(json.loads(x)["n_graded"] for x in (tmp_path / got["run_id"] / "events.jsonl").read_text().splitlines())
     assert got["adoption_eligible"] and not replay.run(substrate, META, CANDIDATE, INCUMBENT, HARNESS, tmp_path, code_dirty=True)["adoption_eligible"]
 
 
