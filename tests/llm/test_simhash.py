@@ -128,3 +128,28 @@ def test_members_meet_past_a_dissimilar_smallest(spark):
     roots = spark.createDataFrame([(4, 3)], "node long, root long")
     assert S.stars(rows, 0.8).collect() == []
     assert {tuple(r) for r in S.between(rows, roots, 0.8).collect()} == {(3, 2), (4, 2)}
+
+
+def test_chains_of_near_copies_stay_whole(spark):
+    """Sixty chains of six texts: neighbours are similar, ends often are not; components equal brute force."""
+    r, texts, new = random.Random(11), {}, iter(range(10**9))
+    for c in range(60):
+        words = [f"c{next(new)}" for _ in range(r.randint(60, 300))]
+        for k in range(6):
+            texts[100 * c + k] = " ".join(words)
+            words = list(words)
+            n = max(1, int(len(words) * r.uniform(0.01, 0.09)))
+            kind, at = r.randrange(3), r.randrange(len(words) - n)
+            if kind == 0:
+                words[at : at + n] = [f"c{next(new)}" for _ in range(n)]
+            elif kind == 1:
+                words = words[n:] + [f"c{next(new)}" for _ in range(n)]
+            else:
+                words[at:at] = [f"c{next(new)}" for _ in range(n)]
+    order = list(texts)
+    r.shuffle(order)
+    texts = {i: texts[o] for i, o in enumerate(order)}  # ids say nothing of the chains
+    sets = {i: shingled(t) for i, t in texts.items()}
+    want = classes(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").repartition(5)
+    assert {x.doc_id: x.component_id for x in S.similar_groups(docs).collect()} == want and 60 <= len(set(want.values())) < 200
