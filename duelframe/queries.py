@@ -467,6 +467,20 @@ def fit_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit_events(sides, teams, {"c": config}).select("team", F.round("rating", 6).alias("rating"))
 
 
+def market_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as listed markets between regions, some listed again: the anchors of those that are liquid, two-sided and not settled."""
+    from .sources.files import anchor_rows, market_snapshot
+
+    names = {r[0]: r[1] for r in _table(spark, sf_dir, "region").collect()}  # five rows
+    label = lambda i: F.element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), i)
+    k, price = F.col("p_partkey"), F.format_string("%.2f", F.col("p_size") / 50.0)
+    first = (k % 5).cast("int")
+    outcomes = F.when(k % 11 == 0, F.concat(F.lit('["'), label(first), F.lit('"]'))).otherwise(F.concat(F.lit('["'), label(first), F.lit('", "'), label((first + 1) % 5), F.lit('"]')))
+    listed = _table(spark, sf_dir, "part").select((k % 2).cast("int").alias("pass"), F.floor(k / 7).cast("int").alias("page"), (k % 7).cast("int").alias("position"), F.concat(F.lit("part: "), F.col("p_name"), F.lit(" of "), F.col("p_type")).alias("question"), F.concat(F.lit("s"), F.floor(k / 3)).alias("slug"), outcomes.alias("outcomes"), F.concat(F.lit('["'), price, F.lit('", "0.50"]')).alias("prices"), F.col("p_retailprice").cast("string").alias("volume"), F.lit(None).cast("string").alias("liquidity"), F.lit("1").alias("end_date"))
+    snapshot = market_snapshot(listed, ["part", "widget"], "2026-01-01T00:00:00Z")
+    return anchor_rows(snapshot, {v.lower(): v for v in names.values()}, 950.0, 0.6)
+
+
 def bracket_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chances of eight rated teams to get through an exact bracket, its final a best-of-five."""
     from .plans import bracket
@@ -515,7 +529,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         asof_close, calibration_summary, quarantine_reasons, promotion_flags, consumer_rows, impossible_scan, tier_divergence, latest_attributes, last_wins, superseding_log, contiguity, json_contract, unordered_pairs, stale_references,
         event_universe, event_splits, window_counts, hop_universe, modal_tiers, leave_one_out_priors, rating_scores, gradient_step, alias_lookup, calendar, paired_summaries, fitted_ratings, swiss_statistics, best_slates, bracket_picks,
         reference_flags, reference_coverage, csv_outcomes, csv_flags, promoted_view, reconciliation, closing_prices, closing_prices_older_rule, inside_universe, walk_forward_rows, event_coverage, version_changes, forecast_grades, log_differences,
-        team_grades, quantiles, texts, fit_steps, bracket_reach,
+        team_grades, quantiles, texts, fit_steps, bracket_reach, market_anchors,
     )
     return {f.__name__: f for f in own}
 
@@ -661,4 +675,8 @@ def oracle_sql() -> dict[str, str]:
         "texts": """SELECT o_orderkey, substr(sha1(o_orderpriority), 1, 12) AS sha, printf('%.2f [%.2f-%.2f]', s, s / 3, s + 0.25) AS interval_text, strftime(o_orderdate, '%Y-%m-%d') AS start_day, o_orderdate - INTERVAL 2 HOUR AS start_utc, o_orderstatus AS second_item, round(s / (s + 0.5), 8) AS fair FROM (SELECT *, o_custkey % 100 / 100.0 AS s FROM orders) o""",
         "fit_steps": FIT_SQL,
         "bracket_reach": REACH_SQL,
+        "market_anchors": """WITH l AS (SELECT *, p_partkey % 2 AS pass, p_partkey // 7 AS page, p_partkey % 7 AS pos, 's' || (p_partkey // 3) AS slug FROM part WHERE 'part: ' || p_name || ' of ' || p_type LIKE '%widget%'),
+          f AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY pass, page, pos) AS rn, CAST(printf('%.2f', p_size / 50.0) AS DOUBLE) AS x FROM l)
+          SELECT a.r_name AS a, b.r_name AS b, round(x / (x + 0.5), 4) AS p, slug, CAST(round(p_retailprice) AS BIGINT) AS volume FROM f JOIN region a ON a.r_regionkey = p_partkey % 5 JOIN region b ON b.r_regionkey = (p_partkey % 5 + 1) % 5
+          WHERE rn = 1 AND p_partkey % 11 <> 0 AND p_retailprice >= 950 AND greatest(x, 0.5) / (x + 0.5) <= 0.6""",
     }
