@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.asof import choose
 from ..operators.latest import last_per_key
+from ..session import ship
 
 
 #: Parts of a superseding table; a batch rewrites those that its keys fall into.
@@ -107,6 +112,66 @@ def closes(matches: DataFrame, prices: DataFrame, late: str = "1 hour", before:
     return m.join(p, near).select("match_key", "start", "ts", "price")
 
 
+CLOSED = "match_key long, start timestamp, close double, flagged boolean"
+
+
+def settle(held: dict[str, Any], watermark: int) -> tuple[list[tuple[int, int, float, bool]], dict[str, Any], int | None]:
+    """What a pair's state allows at a watermark: closed matches (match, start, close, flagged), the state that stays, when to look again.
+
+    held: prices [time, price], open matches [start, match], first price. Times are in
+    milliseconds. A match whose start the watermark has passed gets the last price before it,
+    for none of those can still come; without one, the first price at all, flagged, once
+    nothing earlier can come either. Of prices only those stay that an open or coming match
+    may need: from the watermark on, and the last before it.
+    """
+    prices = sorted(held["prices"])
+    first = min([*prices[:1], *([held["first"]] if held["first"] else [])], default=None)
+    out, still, again = [], [], []
+    for start, match in sorted(held["open"]):
+        before = [p for p in prices if p[0] < start]
+        if start <= watermark and before:
+            out.append((match, start, before[-1][1], False))
+        elif start <= watermark and first and first[0] <= watermark:
+            out.append((match, start, first[1], True))
+        else:
+            still.append([start, match])
+            again.append(max(start, first[0]) if first and not before else start)
+    old = [p for p in prices if p[0] < watermark]
+    kept = [*old[-1:], *(p for p in prices if p[0] >= watermark)]
+    return out, {"prices": kept, "open": still, "first": first}, min(again, default=None)
+
+
+def closes_by_state(matches: DataFrame, prices: DataFrame, late: str = "1 hour") -> DataFrame:
+    """match_key, start, close, flagged of a match stream (match_key, pair, start) and a price stream (pair, ts, price), each once.
+
+    A match closes when the watermark passes its start, so prices at or after it never set the
+    close, nor do those that come later than late. A pair's state holds what settle() keeps. A
+    match without any price stays open until one comes.
+    """
+    ship(matches.sparkSession)
+    m = matches.select("pair", F.col("start").alias("ts"), "match_key", F.lit(None).cast("double").alias("price"))
+    p = prices.select("pair", "ts", F.lit(None).cast("long").alias("match_key"), "price")
+    both = m.unionByName(p).where("ts IS NOT NULL").withColumn("ms", F.unix_millis("ts")).withWatermark("ts", late)
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else {"prices": [], "open": [], "first": None}
+        if not state.hasTimedOut:
+            for part in parts:
+                for ms, match, price in zip(part["ms"], part["match_key"], part["price"], strict=True):
+                    if pd.isna(match):
+                        held["prices"].append([int(ms), float(price)])
+                    else:
+                        held["open"].append([int(ms), int(match)])
+        now = state.getCurrentWatermarkMs()
+        out, rest, again = settle(held, now)
+        state.update((json.dumps(rest),))
+        if again is not None:
+            state.setTimeoutTimestamp(max(again, now) + 1)
+        yield pd.DataFrame({"match_key": [x[0] for x in out], "start": pd.to_datetime([x[1] for x in out], unit="ms"), "close": [x[2] for x in out], "flagged": [x[3] for x in out]})
+
+    return both.groupBy("pair").applyInPandasWithState(step, CLOSED, "body string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def fold(joined: DataFrame) -> DataFrame:
     """match_key, close, flagged of the joined rows, as the batch operator has them."""
     return choose(joined, ["match_key"], "start", "ts", F.col("price"), [F.col("price")])

@@ -74,3 +74,32 @@ def test_appended_lines_keep_their_order(spark, tmp_path):
     assert log.count() == 544 and latest.last_per_key(log.select("k", "batch", "ordinal"), ["k"], [F.col("ordinal")]).first().batch == 3
     order = [r.batch for r in log.orderBy("ordinal").collect()]
     assert order == sorted(order)
+
+
+def test_settling_a_pair():
+    held = {"prices": [[10, 0.1], [30, 0.3], [20, 0.2]], "open": [[25, 1], [50, 2], [5, 3]], "first": None}
+    out, rest, again = closes.settle(held, 26)
+    assert out == [(3, 5, 0.1, True), (1, 25, 0.2, False)] and rest == {"prices": [[20, 0.2], [30, 0.3]], "open": [[50, 2]], "first": [10, 0.1]} and again == 50
+    out, rest, again = closes.settle({**rest, "prices": [*rest["prices"], [50, 0.9]]}, 50)
+    assert out == [(2, 50, 0.3, False)] and again is None
+    assert closes.settle({"prices": [], "open": [[5, 1]], "first": None}, 9) == ([], {"prices": [], "open": [[5, 1]], "first": None}, 5)
+
+
+def test_closes_by_state_equal_the_batch(spark, tmp_path):
+    """Prices in and out of order, at the start, after it and none before it; a match ahead of its prices."""
+    day = lambda h: f"2026-01-01 {h:02d}:00:00"
+    rows = [
+        [("m", 1, "p", day(4), None), ("p", None, "p", day(2), 0.2), ("p", None, "p", day(1), 0.1)],
+        [("p", None, "p", day(3), 0.3), ("p", None, "p", day(4), 0.4), ("m", 2, "q", day(5), None), ("m", 4, "p", day(6), None)],
+        [("p", None, "q", day(6), 0.6), ("p", None, "q", day(7), 0.7), ("p", None, "p", day(5), 0.5)],
+        [("p", None, "z", day(20), 0.9)], [("p", None, "z", day(21), 0.9)],
+    ]
+    schema = "kind string, match_key long, pair string, t string, price double"
+    for i, batch in enumerate(rows):
+        spark.createDataFrame(batch, schema).coalesce(1).write.parquet(f"{tmp_path}/in/b{i}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withColumn("ts", F.col("t").cast("timestamp"))
+        m = stream.where("kind = 'm'").select("match_key", "pair", F.col("ts").alias("start"))
+        q = closes.closes_by_state(m, stream.where("kind = 'p'").select("pair", "ts", "price"), "2 hours").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = spark.read.schema(closes.CLOSED).parquet(f"{tmp_path}/out").collect()
+    assert sorted((r.match_key, r.close, r.flagged) for r in got) == [(1, 0.3, False), (2, 0.6, True), (4, 0.5, False)]
