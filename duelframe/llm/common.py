@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoints, cut, ship
 
-__all__ = ["checkpoints", "crc_remainder", "cut", "hex_long", "map_texts", "prepare", "release", "ship", "small", "table", "texts", "written"]
+__all__ = ["checkpoints", "crc_remainder", "cut", "hex_long", "map_texts", "prepare", "release", "ship", "small", "table", "texts", "tidy", "written"]
 
 
 #: Texts that a Python worker holds at once, at most.
@@ -34,6 +35,16 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints that nothing refers to any more.
+
+    It learns of them when the driver's JVM collects garbage, which a roomy heap puts off
+    while the disks fill; call it between the steps of a long operator.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 _tables: list[str] = []
 
 

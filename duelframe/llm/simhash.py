@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, hex_long, map_texts, small, texts
+from .common import cut, hex_long, map_texts, small, texts, tidy
 
 CHUNK = 1 << 16
 SEED = 42
@@ -218,10 +218,10 @@ def stars(rows: DataFrame, similarity: float) -> DataFrame:
 
 def between(rows: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """a, b: all pairs of a shingle's texts that can be similar and lie in different components."""
-    own = rows.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    own = cut(own)
-    mixed = own.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s")
-    live = cut(own.join(mixed, "s"))
+    rooted = lambda df: df.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    # Which shingles are in question takes two columns; only their rows are carried on whole.
+    mixed = rooted(rows.select("s", "doc_id")).groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s")
+    live = cut(rooted(rows.join(mixed, "s")))
     return _meet(live, live, similarity, (F.col("x.doc_id") > F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")))
 
 
@@ -246,7 +246,9 @@ def joined(first: DataFrame, rest: Callable[[DataFrame], DataFrame], docs: DataF
     (a, b) whose sides lie in different ones; pairs inside a component can't change it.
     """
     found = verified(first, docs, shingle, similarity)
+    tidy(docs.sparkSession)
     more = cut(rest(components(found)).join(first, ["a", "b"], "left_anti"))
+    tidy(docs.sparkSession)
     return components(found.union(verified(more, docs, shingle, similarity)))
 
 
@@ -261,6 +263,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     known = cut(prefixes(docs, shingle, similarity))
     reps = cut(known.groupBy("same").agg(F.min(F.struct("doc_id", "n", "parity", "prefix")).alias("one")).select("same", "one.*"))
     rows = members(reps)
+    tidy(docs.sparkSession)
     found = joined(cut(stars(rows, similarity)), lambda roots: between(rows, roots, similarity), docs, shingle, similarity)
     grouped = reps.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("same", F.coalesce("root", "doc_id").alias("component_id"))
     return known.select("doc_id", "same").join(grouped, "same").select("doc_id", "component_id")
