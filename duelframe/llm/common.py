@@ -9,10 +9,12 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..session import checkpoints, cut, ship
 
-__all__ = ["checkpoints", "crc_remainder", "cut", "hex_long", "map_texts", "prepare", "release", "ship", "small", "table", "texts", "tidy", "written"]
+__all__ = ["checkpoints", "crc_remainder", "cut", "hex_long", "map_texts", "prepare", "release", "ship", "small", "stream", "table", "texts", "tidy", "written"]
 
 
 #: Texts that a Python worker holds at once, at most.
@@ -81,6 +83,33 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return df.mapInArrow(run, schema)
 
 
+#: Rows that a stream hands on together, and characters of them.
+STREAM_ROWS, STREAM_CHARS = 256, 1 << 20
+
+
+def stream(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+    """fn over the rows of each partition as they come; it takes and gives tuples, and neither side is ever held whole."""
+    prepare(df.sparkSession)
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for row in fn(rows(batches)):
+            held.append(row)
+            size += sum(len(x) for x in row if isinstance(x, str))
+            if len(held) >= STREAM_ROWS or size >= STREAM_CHARS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), out, strict=True)], schema=out)
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), out, strict=True)], schema=out)
+
+    return df.mapInArrow(run, schema)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The column's values, null as the empty text."""
     return ["" if t is None else t for t in batch.column(batch.schema.names.index(column)).to_pylist()]
