@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, gif, langid, line_dedup, mixing, packing, pii, repair, simhash, suffix_dedup, topk, toxicity
+from . import chat, gif, langid, lexical, line_dedup, mixing, packing, pii, repair, simhash, suffix_dedup, topk, toxicity
 from .common import crc_remainder, table
 from .tokenizers import word_bpe
 
@@ -137,6 +137,24 @@ def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.audits(repair.repair(repair.damaged(own), own))
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM d) GROUP BY r, term),
+s AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS total FROM d WHERE len(ts) > 0),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * (SELECT n_docs FROM s) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM t GROUP BY term),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY item_id, term),
+m AS (SELECT r, doc_id, 75 + (25 * CAST(len(ts) AS BIGINT) * s.n_docs) // s.total AS middle FROM d, s WHERE len(ts) > 0),
+g AS (SELECT q.item_id, m.r, any_value(m.doc_id) AS doc_id, CAST(sum(q.times * w.weight * ((1000000000 * t.tf) // (1000 * t.tf + 12 * m.middle))) AS BIGINT) AS score
+  FROM q JOIN w ON q.term = w.term JOIN t ON t.term = q.term JOIN m ON m.r = t.r GROUP BY q.item_id, m.r),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM g WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 20
+"""
+
+
 def _plus(v: str, cost: str, letter: str) -> str:
     """SQL: a value (cost in 12 digits, then the audit) with one more edit in front; least() of values is the cheapest, then ASCII-least."""
     return f"lpad(CAST(CAST(({v})[1:12] AS BIGINT) + {cost} AS VARCHAR), 12, '0') || '{letter}' || ({v})[13:]"
@@ -157,8 +175,11 @@ d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role
   unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM k WHERE kind <> 0),
 p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) - 1 AS place FROM d),
 f AS (SELECT *, role[1] AS initial, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY place) || role[1] AS pair,
-  CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'duplicate'
-    WHEN regexp_extract(text, '([^ 	-])[ 	-]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM p),
+  CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'duplicate'
+    WHEN regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM p),
 r AS (SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS more FROM f),
 a AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
   count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
@@ -183,8 +204,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_packing, op3_toxicity, op4_mixing, op5_pii, op6_suffixes, op7_simhash, op8_gif, op9_lines, op10_langid, op11_chat, op13_repair, pipeline)}
+    return {f.__name__: f for f in (op1_topk, op2_packing, op3_toxicity, op4_mixing, op5_pii, op6_suffixes, op7_simhash, op8_gif, op9_lines, op10_langid, op11_chat, op12_lexical, op13_repair, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": OP1_SQL, "op4_mixing": OP4_SQL, "op9_lines": OP9_SQL, "op11_chat": OP11_SQL, "op13_repair": OP13_SQL}
+    return {"op1_topk": OP1_SQL, "op4_mixing": OP4_SQL, "op9_lines": OP9_SQL, "op11_chat": OP11_SQL, "op12_lexical": OP12_SQL, "op13_repair": OP13_SQL}
