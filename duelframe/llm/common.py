@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..session import checkpoints, cut, ship
+from ..session import checkpoints, cut, delete, drop, made, scratch, ship
 
-__all__ = ["checkpoints", "crc_remainder", "cut", "hex_long", "map_texts", "prepare", "release", "ship", "small", "stream", "table", "texts", "tidy", "written"]
+__all__ = ["checkpoints", "crc_remainder", "cut", "drop", "hex_long", "map_texts", "prepare", "release", "scratch", "ship", "small", "stream", "table", "texts", "tidy", "written"]
 
 
 #: Texts that a Python worker holds at once, at most.
@@ -38,7 +38,7 @@ def prepare(spark: SparkSession) -> None:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files and checkpoints that nothing refers to any more.
+    """Let Spark delete the shuffle files that nothing refers to any more; drop() deletes tables and checkpoints.
 
     It learns of them when the driver's JVM collects garbage, which a roomy heap puts off
     while the disks fill; call it between the steps of a long operator.
@@ -51,20 +51,20 @@ _tables: list[str] = []
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table of its own in the shared checkpoint folder, for what is large; see release()."""
+    """df as a Parquet table of its own in the shared checkpoint folder, for what is large; drop(), scratch() or release() delete it."""
     spark = df.sparkSession
     prepare(spark)
     path = f"{checkpoints(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _tables.append(path)
+    made(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Delete the tables of written(); call it when the results that read them are stored."""
+    """Delete all tables of written(); call it when the results that read them are stored."""
     while _tables:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, _tables.pop())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -20,11 +20,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, hex_long, map_texts, small, texts, tidy
+from .common import cut, drop, hex_long, map_texts, small, texts, tidy, written
 
 CHUNK = 1 << 16
 SEED = 42
@@ -85,7 +85,7 @@ def components(edges: DataFrame) -> DataFrame:
     join hands it back, so a hub costs no more than its edges.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    seen = None
+    seen = None  # what a step read is deleted when the next is stored
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
@@ -95,7 +95,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(_lowest(both, "a", "b"), "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         low = _lowest(large, "a", "b")
         small = large.join(low, "a").select("b", "low").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        edges = cut(small.union(low.select("a", F.col("low").alias("b"))).where("a <> b").distinct())
+        older, edges = edges, cut(small.union(low.select("a", F.col("low").alias("b"))).where("a <> b").distinct())
+        drop(older)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -195,34 +196,49 @@ def prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
 def members(reps: DataFrame) -> DataFrame:
     """s, doc_id, pos, n, parity: a row for each prefix shingle that two texts or more have in their prefixes."""
     rows = reps.select("doc_id", F.posexplode("prefix").alias("pos", "s"))
-    shared = cut(rows.withColumn("k", F.count("*").over(Window.partitionBy("s"))).where("k > 1").drop("k"))
-    return cut(shared.join(reps.select("doc_id", "n", "parity"), "doc_id"))
+    shared = rows.withColumn("k", F.count("*").over(Window.partitionBy("s"))).where("k > 1").drop("k")
+    return written(shared.join(reps.select("doc_id", "n", "parity"), "doc_id"))
 
 
-def _meet(left: DataFrame, right: DataFrame, similarity: float, also) -> DataFrame:
-    """a, b: pairs of rows of one shingle that can reach the similarity, by position, size and parity bits."""
+def _near(similarity: float) -> Column:
+    """Whether rows x and y of one shingle can reach the similarity, by position, size and parity bits."""
     whole, differing = F.col("x.n") + F.col("y.n"), F.lit(0)
     for i in range(PARITY):
         differing = differing + F.bit_count(F.col("x.parity")[i].bitwiseXOR(F.col("y.parity")[i]))
     # If s is the first shingle that the ordered sets share, no more than the shorter rest is shared.
     most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    near = also & (most >= whole * (similarity / (1 + similarity)) - 1e-6) & (differing <= whole * ((1 - similarity) / (1 + similarity)) + 1e-6)
-    return left.alias("x").join(right.alias("y"), (F.col("x.s") == F.col("y.s")) & near).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    return (most >= whole * (similarity / (1 + similarity)) - 1e-6) & (differing <= whole * ((1 - similarity) / (1 + similarity)) + 1e-6)
 
 
 def stars(rows: DataFrame, similarity: float) -> DataFrame:
     """a, b: of each shingle's texts, those that can be similar to its smallest id."""
     centers = rows.join(rows.groupBy("s").agg(F.min("doc_id").alias("doc_id")), ["s", "doc_id"])
-    return _meet(rows, centers, similarity, F.col("x.doc_id") > F.col("y.doc_id"))
+    met = rows.alias("x").join(centers.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("x.doc_id") > F.col("y.doc_id")) & _near(similarity))
+    return met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
 
 
-def between(rows: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """a, b: all pairs of a shingle's texts that can be similar and lie in different components."""
+#: Texts of a shingle that meet each other in one task; a shingle of more is dealt in pairs of blocks.
+BLOCK = 1000
+
+
+def between(rows: DataFrame, roots: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """a, b: all pairs of a shingle's texts that can be similar and lie in different components.
+
+    A shingle of many texts is cut into blocks of about block texts by their ids' hashes; every
+    pair of blocks is a key of its own, so no task meets more than the square of a block.
+    """
     rooted = lambda df: df.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     # Which shingles are in question takes two columns; only their rows are carried on whole.
-    mixed = rooted(rows.select("s", "doc_id")).groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s")
-    live = cut(rooted(rows.join(mixed, "s")))
-    return _meet(live, live, similarity, (F.col("x.doc_id") > F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")))
+    mixed = rooted(rows.select("s", "doc_id")).groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo <> hi")
+    live = written(rooted(rows.join(mixed.select("s", F.ceil(F.col("k") / block).cast("int").alias("blocks")), "s")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
+    low = live.withColumn("other", F.explode(F.expr("sequence(own, blocks - 1)")))
+    high = live.withColumn("other", F.explode(F.expr("sequence(0, own)")))
+    same = (F.col("x.s") == F.col("y.s")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own"))
+    once = (F.col("x.own") < F.col("y.own")) | (F.col("x.doc_id") < F.col("y.doc_id"))
+    met = low.alias("x").join(high.alias("y"), same & once & (F.col("x.root") != F.col("y.root")) & _near(similarity))
+    found = cut(met.select(F.greatest("x.doc_id", "y.doc_id").alias("a"), F.least("x.doc_id", "y.doc_id").alias("b")).distinct())
+    drop(live)
+    return found
 
 
 def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -233,23 +249,33 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, shingle) for t in texts(batch)], pa.list_(pa.int64()))], ["doc_id", "s"])
 
     asked = docs.select(F.col("doc_id").cast("long"), "text").join(small(ids), "doc_id", "left_semi")
-    sets = cut(map_texts(asked, run, "doc_id long, s array<long>").dropDuplicates(["doc_id"]))
+    sets = written(map_texts(asked, run, "doc_id long, s array<long>").dropDuplicates(["doc_id"]))
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return cut(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
+    found = cut(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
+    drop(sets)
+    tidy(docs.sparkSession)
+    return found
 
 
 def joined(first: DataFrame, rest: Callable[[DataFrame], DataFrame], docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """node, root: components of the verified pairs among first and rest.
 
     rest takes the components (node, root) of first's links and returns all further pairs
-    (a, b) whose sides lie in different ones; pairs inside a component can't change it.
+    (a, b) whose sides lie in different ones; pairs inside a component can't change it. Both
+    sides' pairs are stored tables, and deleted here.
     """
     found = verified(first, docs, shingle, similarity)
+    roots = components(found)
+    all_more = rest(roots)
+    more = cut(all_more.join(first, ["a", "b"], "left_anti"))
+    drop(first, all_more, roots)
     tidy(docs.sparkSession)
-    more = cut(rest(components(found)).join(first, ["a", "b"], "left_anti"))
-    tidy(docs.sparkSession)
-    return components(found.union(verified(more, docs, shingle, similarity)))
+    also = verified(more, docs, shingle, similarity)
+    drop(more)
+    out = components(found.union(also))
+    drop(found, also)
+    return out
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -258,15 +284,24 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     Exact: texts at the similarity share a shingle of their prefixes, and every link is
     verified. Texts of equal words are one to begin with. Of each prefix shingle all texts
     first meet the smallest id; then all its pairs meet whose components still differ. Ids
-    must be given and differ; equal texts may repeat.
+    must be given and differ; equal texts may repeat. Of what is stored on the way only the
+    table of the result stays.
     """
-    known = cut(prefixes(docs, shingle, similarity))
-    reps = cut(known.groupBy("same").agg(F.min(F.struct("doc_id", "n", "parity", "prefix")).alias("one")).select("same", "one.*"))
+    full = written(prefixes(docs, shingle, similarity))
+    reps = written(full.groupBy("same").agg(F.min(F.struct("doc_id", "n", "parity", "prefix")).alias("one")).select("same", "one.*"))
+    known = written(full.select("doc_id", "same"))
+    drop(full)
     rows = members(reps)
+    first_ids = written(reps.select("same", "doc_id"))
+    drop(reps)
     tidy(docs.sparkSession)
     found = joined(cut(stars(rows, similarity)), lambda roots: between(rows, roots, similarity), docs, shingle, similarity)
-    grouped = reps.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("same", F.coalesce("root", "doc_id").alias("component_id"))
-    return known.select("doc_id", "same").join(grouped, "same").select("doc_id", "component_id")
+    drop(rows)
+    grouped = first_ids.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("same", F.coalesce("root", "doc_id").alias("component_id"))
+    out = written(known.select("doc_id", "same").join(grouped, "same").select("doc_id", "component_id"))
+    drop(known, first_ids, found)
+    tidy(docs.sparkSession)
+    return out
 
 
 def keep_one_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

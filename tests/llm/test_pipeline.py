@@ -111,4 +111,4 @@ def test_run_repeats_and_takes_odd_rows(spark, odd, nothing, tmp_path):
 
 def test_queries_are_registered():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] + ["pipeline"] and set(queries.oracle_sql()) <= set(names)
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)] + ["pipeline"] and set(queries.oracle_sql()) <= set(names)

@@ -2,6 +2,7 @@ import random
 import re
 
 import xxhash
+from duelframe.llm import common
 from duelframe.llm import simhash as S
 
 
@@ -153,3 +154,33 @@ def test_chains_of_near_copies_stay_whole(spark):
     want = classes(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
     docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").repartition(5)
     assert {x.doc_id: x.component_id for x in S.similar_groups(docs).collect()} == want and 60 <= len(set(want.values())) < 200
+
+
+def _held(spark):
+    """Names of what the checkpoint folder holds."""
+    from pathlib import Path
+
+    from duelframe.session import checkpoints
+
+    return {p.name for p in Path(checkpoints(spark).removeprefix("file:")).iterdir()}
+
+
+def test_only_the_results_own_table_stays(spark, odd):
+    before = _held(spark)
+    found = S.similar_groups(odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    assert found.count() and len(_held(spark) - before) == 1
+    common.drop(found)
+    assert _held(spark) == before
+    with common.scratch(spark):
+        assert S.near_duplicates(odd).count() == odd.count() and _held(spark) > before
+    assert _held(spark) == before
+
+
+def test_a_hot_shingle_is_dealt_in_pairs_of_blocks(spark):
+    """Sixty texts of a shingle, a third of them alike: every block size finds what one block does."""
+    r = random.Random(8)
+    own = [(1, i, i % 5, 100 + i % 3, [r.getrandbits(60) if i % 3 else i % 2 for _ in range(8)]) for i in range(60)]
+    rows = spark.createDataFrame([*own, (2, 3, 0, 100, own[3][4]), (2, 9, 1, 100, own[3][4])], "s long, doc_id long, pos int, n long, parity array<long>")
+    roots = spark.createDataFrame([(5, 3)], "node long, root long")
+    brute = lambda block: sorted(map(tuple, S.between(rows, roots, 0.2, block).collect()))
+    assert brute(1000) == brute(7) == brute(1) and len(brute(7)) == len(set(brute(7))) > 3
