@@ -125,12 +125,6 @@ def unordered(a: Column | str, b: Column | str) -> tuple[Column, Column]:
     return F.when(both, F.least(a, b)), F.when(both, F.greatest(a, b))
 
 
-def rank_quantile(values: Column | str, share: float) -> Column:
-    """Of an array the value at place int(share * n) in order, the last at most; null if it is empty."""
-    ordered = F.array_sort(_col(values))
-    return F.try_element_at(ordered, F.least(F.floor(share * F.size(ordered)).cast("int"), F.size(ordered) - 1) + 1)
-
-
 def envelope(point: Column | str, low: Column | str, high: Column | str, floor: float = 0.003) -> tuple[Column, Column]:
     """An interval with a least half-width around the point, within 0 and 1."""
     point, low, high = _col(point), _col(low), _col(high)

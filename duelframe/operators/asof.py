@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scoring import team_alias, unordered, utc
+from .scan import RANGE, in_ranges
 
 CLOSE_RULE = "v1:last-mid-before-start+minvol"
 LEAST_VOLUME = 1000.0
@@ -37,35 +38,34 @@ def choose(joined: DataFrame, keys: list[str], start: str, t: str, value: Column
     return best.where("__m > 0").select(*keys, F.when(F.col("__n") > 0, F.col("__pre")).otherwise(F.col("__first")).alias("close"), (F.col("__n") == 0).alias("flagged"))
 
 
-def as_of(matches: DataFrame, snapshots: DataFrame, keys: Sequence[str], start: str, t: str, value: str, order: Sequence[Column], first: Sequence[Column] | None = None, span: str = "day") -> DataFrame:
+def as_of(matches: DataFrame, snapshots: DataFrame, keys: Sequence[str], start: str, t: str, value: str, order: Sequence[Column], first: Sequence[Column] | None = None) -> DataFrame:
     """matches with close, the value of the last snapshot of their keys before start, else of the first, and flagged in that case.
 
-    Both null where a match's keys have no snapshot. Snapshots of one time are ordered by order
-    (the last before start wins) and by first (the least of the first time wins; order by
-    default). No match meets more than one snapshot: both sides are sorted together within a
-    key and span of time, the last value carried forward; what a span begins with comes from
-    the last snapshot of an earlier span, and a key's first snapshot from an aggregate. So a
-    key with very many rows is split by span, and shuffles are linear in both sides.
+    Both null where a match's keys have no snapshot or are null. Snapshots of one time are
+    ordered by order (the last before start wins) and by first (the least of the first time
+    wins; order by default). No match meets more than one snapshot: both sides are dealt
+    together to ranges of (keys, time), the last value is carried forward within a range, and
+    what a range begins with comes from a row for each of the keys' ranges. So a key of any
+    size is split evenly, whatever its span of time, and shuffles are linear in both sides.
     """
-    keys = list(keys)
-    rank = lambda by: F.struct(F.col(t).alias("t"), *(x.alias(f"x{i}") for i, x in enumerate(by)))
-    s = snapshots.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col(t).alias("__t"), F.col(value).alias("__v"), rank(order).alias("__o"), rank(first or order).alias("__f")).where(F.col("__t").isNotNull())
-    m = matches.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col(start).alias("__t"), F.struct(*matches.columns).alias("__m"))
     own = [f"__k{i}" for i in range(len(keys))]
-    cell = [*own, "__span"]
-    s, m = (df.withColumn("__span", F.date_trunc(span, "__t")) for df in (s, m))
+    named = [F.col(k).alias(n) for k, n in zip(keys, own, strict=True)]
+    rank = lambda by: F.struct(F.col(t).alias("t"), *(x.alias(f"x{i}") for i, x in enumerate(by)))
+    s = snapshots.select(*named, F.col(t).alias("__t"), F.col(value).alias("__v"), rank(order).alias("__o"), rank(first or order).alias("__f")).dropna(subset=[*own, "__t"])
+    m = matches.select(*named, F.col(start).alias("__t"), F.struct(*matches.columns).alias("__m"))
     # A match comes before snapshots of its own time: they are not before its start.
-    both = s.select(*cell, "__t", F.lit(1).alias("__kind"), "__o", "__v", F.lit(True).alias("__is")).unionByName(m.select(*cell, "__t", F.lit(0).alias("__kind"), "__m"), allowMissingColumns=True)
+    both = s.select(*own, "__t", F.lit(1).alias("__kind"), "__o", "__f", F.struct("__v").alias("__v")).unionByName(m.select(*own, "__t", F.lit(0).alias("__kind"), "__m"), allowMissingColumns=True)
+    both = in_ranges(both, own, ["__t", "__kind", "__o"])
+    cell = [*own, RANGE]
     before = Window.partitionBy(*cell).orderBy("__t", "__kind", "__o").rowsBetween(Window.unboundedPreceding, -1)
-    inside = both.select(*cell, "__m", F.last(F.when(F.col("__is"), F.struct("__v")), ignorenulls=True).over(before).alias("__in")).where("__m IS NOT NULL")
-    ends = s.groupBy(*cell).agg(F.max_by(F.struct("__v"), "__o").alias("__last"))
-    spans = ends.unionByName(m.select(*cell).distinct(), allowMissingColumns=True).groupBy(*cell).agg(F.first("__last", ignorenulls=True).alias("__last"))
-    # A row for each key and span that has any.
-    carried = spans.select(*cell, F.last("__last", ignorenulls=True).over(Window.partitionBy(*own).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)).alias("__ahead"))
-    firsts = s.groupBy(*own).agg(F.min_by(F.struct("__v"), "__f").alias("__first"))
-    same = lambda a, b, names: [a[c].eqNullSafe(b[c]) if c == "__span" else a[c] == b[c] for c in names]
-    out = inside.join(carried, same(inside, carried, cell), "left").select(*(inside[c] for c in own), "__m", F.coalesce("__in", "__ahead").alias("__pre"))
-    out = out.join(firsts, own, "left")
+    inside = both.select(*cell, "__m", F.last("__v", ignorenulls=True).over(before).alias("__in")).where("__m IS NOT NULL")
+    ends = both.groupBy(*cell).agg(F.max_by("__v", "__o").alias("__last"), F.min_by("__v", "__f").alias("__first"), F.min("__f").alias("__ff"))  # a row for each of a key's ranges
+    ahead = Window.partitionBy(*own).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*(F.col(c).alias(f"{c}_") for c in cell), F.last("__last", ignorenulls=True).over(ahead).alias("__ahead"), F.min_by("__first", "__ff").over(Window.partitionBy(*own)).alias("__first"))
+    met = F.lit(True)
+    for c in cell:
+        met = met & (F.col(c) == F.col(f"{c}_"))
+    out = inside.join(carried, met, "left").withColumn("__pre", F.coalesce("__in", "__ahead"))
     return out.select("__m.*", F.coalesce("__pre", "__first")["__v"].alias("close"), F.when(F.col("__first").isNotNull(), F.col("__pre").isNull()).alias("flagged"))
 
 

@@ -118,6 +118,11 @@ class Audit:
     meta: dict[str, str]
 
 
+def flag_counts(flags: DataFrame) -> DataFrame:
+    """flag, n, failures (those of severity fail)."""
+    return flags.groupBy("flag").agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "fail").alias("failures"))
+
+
 def run_audit(matches: DataFrame, tournaments: DataFrame, aliases: DataFrame, reference: DataFrame | None, csv: DataFrame | None, since: str, partial: bool = False) -> Audit:
     """All checks. ok is False iff a flag has severity fail. Empty inputs prove nothing and raise, unless partial."""
     counted = {"reference_n": reference.count() if reference is not None else 0, "csv_n": csv.count() if csv is not None else 0}
@@ -128,11 +133,9 @@ def run_audit(matches: DataFrame, tournaments: DataFrame, aliases: DataFrame, re
         flags = flags.unionByName(reference_check(matches, reference, aliases)[0])
     if csv is not None:
         flags = flags.unionByName(csv_check(matches, csv, aliases, since)[0])
-    by = flags.groupBy("flag").agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "fail").alias("f")).collect()  # a row for each kind of flag
+    by = flag_counts(flags).collect()  # a row for each kind of flag
     counts = {r["flag"]: r["n"] for r in sorted(by, key=lambda r: r["flag"])}
-    ok = not any(r["f"] for r in by)
-
-
+    ok = not any(r["failures"] for r in by)
     meta = {"audit_version": AUDIT_VERSION, "audit_ok": "true" if ok else "false", "audit_flag_counts": json.dumps(counts), "audit_input_counts": json.dumps(counted)}
     return Audit(flags, ok, counts, meta)
 

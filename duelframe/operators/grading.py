@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import student
 from ..functions.numeric import paired, t_quantile
 from ..functions.scoring import brier, log_loss, win_prob
 
@@ -150,6 +151,48 @@ def paired_events(deltas: Sequence[float], level: float = 0.95) -> dict[str, Any
     return {"n_events": len(deltas), "mean": mean, "se": se, "t_crit": t, "ci": [mean - t * se, mean + t * se]}
 
 
+def paired_families(events: DataFrame, keys: Sequence[str], delta: str = "mean_delta_brier", level: float = 0.95) -> DataFrame:
+    """keys, n_events, mean, se, t_crit, ci_low, ci_high of the events' mean deltas, a row for each family; the event is the unit.
+
+    Events without a delta do not count. A family of one event has no error and interval.
+    """
+    own = events.where(F.col(delta).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n_events"), F.avg(delta).alias("mean"), F.stddev_samp(delta).alias("__sd"))
+    se = F.col("__sd") / F.sqrt(F.col("n_events").cast("double"))
+    # The fold runs once for each different number of events, not for each use.
+    crit = own.select("n_events").distinct().select(F.col("n_events"), student.t_quantile(0.5 + level / 2, F.col("n_events") - 1).alias("t_crit"))
+    out = own.withColumn("se", se).join(crit, "n_events")
+    half = F.col("t_crit") * F.col("se")
+    return out.select(*keys, "n_events", "mean", "se", "t_crit", (F.col("mean") - half).alias("ci_low"), (F.col("mean") + half).alias("ci_high"))
+
+
+def verdicts(families: DataFrame, mde: float, min_events: int, objective_ok: Column | bool = True, split: Column | str = "dev") -> DataFrame:
+    """paired_families with the verdict that verdict() gives each."""
+    good = objective_ok if isinstance(objective_ok, Column) else F.lit(objective_ok)
+    part = split if isinstance(split, Column) else F.lit(split)
+    proven = (F.col("ci_high") < 0) & (F.abs("mean") >= mde)
+    name = (
+        F.when(F.col("n_events") < min_events, "BLOCKED")
+        .when(proven, F.when(~good, "INCONCLUSIVE").when(part == "dev", "DEV-SCREENED").otherwise("ADOPTED"))
+        .when(F.col("ci_low") > 0, "REJECT")
+        .otherwise("INCONCLUSIVE")
+    )
+    return families.withColumn("verdict", name)
+
+
+def evidence(graded: DataFrame, baselines: Mapping[str, float], keys: Sequence[str] = ()) -> DataFrame:
+    """keys, who, n, brier, log: mean scores of candidate, incumbent and constant forecasts over the same rows, in one pass."""
+    sides = {"candidate": (F.col("brier_cand"), F.col("log_cand")), "incumbent": (F.col("brier_inc"), F.col("log_inc"))}
+    sides |= {name: (brier(F.lit(p), "result"), log_loss(F.lit(p), "result")) for name, p in baselines.items()}
+    means = F.array(*(F.struct(F.lit(who).alias("who"), F.count("*").alias("n"), F.avg(b).alias("brier"), F.avg(x).alias("log")) for who, (b, x) in sides.items()))
+    return graded.groupBy(*keys).agg(means.alias("__e")).select(*keys, F.explode("__e").alias("__e")).select(*keys, "__e.*")
+
+
+def nominees(screened: DataFrame, family: Sequence[str], variant: str) -> DataFrame:
+    """Of each family's DEV-SCREENED variants the one with the best mean; of equal means the first by name."""
+    own = screened.where("verdict = 'DEV-SCREENED'")
+    return own.groupBy(*family).agg(F.min_by(F.struct(variant, "mean"), F.struct("mean", variant)).alias("__b")).select(*family, "__b.*")
+
+
 def verdict(stats: dict[str, Any], mde: float, min_events: int, objective_ok: bool = True, split: str = "dev") -> str:
     """What paired statistics allow: negative deltas are improvements, and both width and size have to show."""
     low, high = stats["ci"]

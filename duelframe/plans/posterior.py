@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scoring import win_prob
+from ..session import ship
 from .ratings import RATE, Settings, anchored, fit
 
 DRAWS = 200
@@ -27,6 +30,61 @@ def hessian(winners: Sequence[str], losers: Sequence[str], weights: Sequence[flo
     return out
 
 
+def hessian_entries(pairs: DataFrame, ratings: DataFrame, sigma: float, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, row, column, value: the entries that are not zero of the Hessian of the negative log posterior.
+
+    pairs: keys, winner, loser, weight (summed or not); ratings: keys, team, rating, and sigma where teams
+    have their own. A pair adds four terms, which are summed before they are shuffled.
+    """
+    own = F.col("sigma") if "sigma" in ratings.columns else F.lit(float(sigma))
+    side = lambda c: ratings.select(*keys, F.col("team").alias(c), F.col("rating").alias(f"__{c}"))
+    met = pairs.join(side("winner"), [*keys, "winner"]).join(side("loser"), [*keys, "loser"])
+    p = win_prob("__winner", "__loser")
+    h = F.col("weight") * RATE**2 * p * (1 - p)
+    term = lambda r, c, v: F.struct(F.col(r).alias("row"), F.col(c).alias("column"), v.alias("value"))
+    terms = met.select(*keys, F.explode(F.array(term("winner", "winner", h), term("loser", "loser", h), term("winner", "loser", -h), term("loser", "winner", -h))).alias("e")).select(*keys, "e.*")
+    priors = ratings.select(*keys, F.col("team").alias("row"), F.col("team").alias("column"), (1 / (own * own)).alias("value"))
+    return terms.unionByName(priors).groupBy(*keys, "row", "column").agg(F.sum("value").alias("value"))
+
+
+def _dense(entries: pd.DataFrame) -> tuple[list, np.ndarray]:
+    names = sorted(entries["row"].unique())
+    index = {t: i for i, t in enumerate(names)}
+    out = np.zeros((len(names), len(names)))
+    out[entries["row"].map(index), entries["column"].map(index)] = entries["value"]
+    return names, out
+
+
+def deviations(entries: DataFrame, event: str) -> DataFrame:
+    """event, team, sd: marginal posterior deviations, each event's matrix factored in a task of its own (teams of one event, squared)."""
+    ship(entries.sparkSession)
+    kinds = dict(entries.dtypes)
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        names, matrix = _dense(rows)
+        return pd.DataFrame({event: key[0], "team": names, "sd": marginal_sd(np.linalg.cholesky(matrix))})
+
+    return entries.groupBy(event).applyInPandas(one, f"{event} {kinds[event]}, team {kinds['row']}, sd double")
+
+
+def drawn(entries: DataFrame, ratings: DataFrame, event: str, k: int = DRAWS, seed: int = 11) -> DataFrame:
+    """event, draw, team, rating: k vectors around each event's ratings (event, team, rating), with the entries' inverse as covariance.
+
+    An event's draws depend on seed and its name alone, not on how rows are dealt.
+    """
+    ship(entries.sparkSession)
+    kinds = dict(entries.dtypes)
+
+    def one(key: tuple, rows: pd.DataFrame, rated: pd.DataFrame) -> pd.DataFrame:
+        names, matrix = _dense(rows)
+        centre = rated.set_index("team")["rating"].reindex(names).to_numpy(float)
+        rng = np.random.default_rng([seed, zlib.crc32(str(key[0]).encode())])
+        table = centre + offsets(np.linalg.cholesky(matrix), rng.normal(size=(k, len(names))))
+        return pd.DataFrame({event: key[0], "draw": np.repeat(np.arange(k), len(names)), "team": np.tile(np.array(names), k), "rating": table.ravel()})
+
+    return entries.groupBy(event).cogroup(ratings.select(event, "team", "rating").groupBy(event)).applyInPandas(one, f"{event} {kinds[event]}, draw long, team {kinds['row']}, rating double")
+
+
 def offsets(factor: np.ndarray, normal: np.ndarray) -> np.ndarray:
     """Draws with covariance inverse(factor @ factor.T), a row for each row of standard normals."""
     return np.linalg.solve(factor.T, np.atleast_2d(normal).T).T

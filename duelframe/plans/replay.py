@@ -7,6 +7,7 @@ one row for each event.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -16,8 +17,9 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import canonical_sha, has_placeholder, paired, t_quantile
-from ..functions.scoring import age_days, brier, log_loss
+from ..functions.numeric import canonical_sha, has_placeholder, t_quantile
+from ..functions.scoring import age_days
+from ..operators import grading
 from ..operators.events import assert_no_leakage, event_universe, expand, inside, participants, split, team_statistics, window_matches
 from ..operators.grading import event_summaries, paired_events, verdict, walk_forward
 from ..session import cut
@@ -74,12 +76,11 @@ def replay(prepared: Prepared, configs: Mapping[str, dict], least: int, floor: f
 
 def evidence(graded: DataFrame, baselines: Mapping[str, str]) -> dict[str, Any]:
     """Mean scores of both configurations and of simple rules over the same rows."""
-    means = {f"{who}_{what}": F.avg(f"{what}_{tag}") for who, tag in (("candidate", "cand"), ("incumbent", "inc")) for what in ("brier", "log")}
-    for name, rule in baselines.items():
+    for rule in baselines.values():
         if rule not in BASELINES:
             raise gates.GateError(f"unknown baseline rule {rule!r}")
-        means[f"{name}_brier"], means[f"{name}_log"] = F.avg(brier(F.lit(BASELINES[rule]), "result")), F.avg(log_loss(F.lit(BASELINES[rule]), "result"))
-    return graded.agg(*(v.alias(k) for k, v in means.items())).first().asDict()
+    found = grading.evidence(graded, {name: BASELINES[rule] for name, rule in baselines.items()}).collect()  # a row for each forecast
+    return {f"{r.who}_{what}": r[what] for r in found for what in ("brier", "log")}
 
 
 def slate_check(spark, event: swiss.Event, candidate: Mapping[str, float], incumbent: Mapping[str, float], n: int, seed: int, level: float = 0.95, threshold: int = 5, judge: Mapping[str, float] | None = None, **search: int) -> dict[str, Any]:
@@ -95,10 +96,10 @@ def slate_check(spark, event: swiss.Event, candidate: Mapping[str, float], incum
     hit = {k: (sum((F.bit_count(F.col(c).bitwiseAND(F.lit(m))) for c, m in zip(("m30", "m03", "madv"), own, strict=True)), F.lit(0)) >= threshold).cast("int") for k, own in masks.items()}
     # Counts of the four ways that two slates can pass or fail are all that the statistics need.
     counts = {tuple(r)[:2]: r["n"] for r in sims.where("scenario = 'judge'").groupBy(hit["cand"].alias("c"), hit["inc"].alias("i")).agg(F.count("*").alias("n")).collect()}
-    c = [k[0] for k, v in counts.items() for _ in range(v)]
-    i = [k[1] for k, v in counts.items() for _ in range(v)]
-    mean, se = paired(c, i)
-    half = t_quantile(0.5 + level / 2, len(c) - 1) * se
+    total = sum(counts.values())
+    mean = sum((c - i) * v for (c, i), v in counts.items()) / total
+    se = math.sqrt(sum((c - i - mean) ** 2 * v for (c, i), v in counts.items()) / (total - 1) / total) if total > 1 else 0.0
+    half = t_quantile(0.5 + level / 2, total - 1) * se
     return {"objective_ok": mean >= 0 or mean + half >= 0, "mean": mean, "se": se, "ci": [mean - half, mean + half], "identical_slates": masks["cand"] == masks["inc"], "slates": {k: s._asdict() for k, s in best.items()}, "n_sims": n, "seed": seed}
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import scoring as S
-from .operators import asof, audit, events, grading, latest, quarantine
+from .operators import asof, audit, events, grading, latest, quarantine, scan
 from .session import cut
 
 #: Months before an event whose matches count for it.
@@ -203,8 +203,14 @@ def _windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     return m, ev, cut(events.window_matches(ev, m, MONTHS))
 
 
+def _universe(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    m = cut(consumed(spark, sf_dir))
+    return m, cut(events.event_universe(m)[0])
+
+
 def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _windows(spark, sf_dir)[2].groupBy("event_id").agg(F.count("*").alias("n"), F.min("match_id").alias("first_id"), F.max("start_ts").alias("last_start"))
+    m, ev = _universe(spark, sf_dir)
+    return events.trailing(ev, m, MONTHS, [], {"n": (F.count("*"), F.sum), "first_id": (F.min("match_id"), F.min), "last_start": (F.max("start_ts"), F.max)})
 
 
 def hop_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +220,8 @@ def hop_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def modal_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.team_statistics(_windows(spark, sf_dir)[2]).select("event_id", "team", "n", "modal_tier")
+    m, ev = _universe(spark, sf_dir)
+    return events.team_windows(ev, m, MONTHS).select("event_id", "team", "n", "modal_tier")
 
 
 def leave_one_out_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -378,9 +385,9 @@ def inside_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _walked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    m, ev, w = _windows(spark, sf_dir)
+    m, ev = _universe(spark, sf_dir)
     own = m.join(ev.select("tournament_id"), "tournament_id", "left_semi").where("team2_id IS NOT NULL").withColumn("event_id", F.col("tournament_id"))
-    seen = cut(events.team_statistics(w))
+    seen = cut(events.team_windows(ev, m, MONTHS).drop("tiers"))
     rated = lambda k: seen.select("event_id", "team", (1000.0 + F.col("team") % k).alias("rating"))
     return grading.walk_forward(own, rated(97), rated(89), seen, 40)
 
@@ -441,9 +448,11 @@ def team_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest-rank quantiles of a nation's balances and the envelope of an estimate."""
-    c = _table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.collect_list("c_acctbal").alias("v"), F.avg("c_acctbal").alias("m"))  # a nation's customers
+    c = _table(spark, sf_dir, "customer").select("c_nationkey", "c_acctbal")
+    found = scan.rank_quantiles(c, ["c_nationkey"], "c_acctbal", {"p10": 0.1, "p50": 0.5, "p99": 0.99})
+    means = c.groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("m"))
     low, high = S.envelope(F.col("m") / 10_000, F.col("m") / 10_000 - 0.001, F.col("m") / 10_000 + 0.02)
-    return c.select("c_nationkey", *(S.rank_quantile("v", q).alias(n) for n, q in (("p10", 0.1), ("p50", 0.5), ("p99", 0.99))), F.round(low, 8).alias("low"), F.round(high, 8).alias("high"))
+    return means.join(found, "c_nationkey", "left").select("c_nationkey", "p10", "p50", "p99", F.round(low, 8).alias("low"), F.round(high, 8).alias("high"))
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,9 +72,10 @@ def append_lines(rows: DataFrame, path: str, **options: str) -> str:
 
 
 def references(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """ref_id, a, b, winner, start of several result files."""
-    raw = spark.read.option("multiLine", True).schema("matches array<struct<a:string,b:string,winner:string,start:string>>").json(list(paths))
-    return raw.select(F.explode("matches").alias("m")).select(F.monotonically_increasing_id().alias("ref_id"), "m.*")
+    """ref_id, a, b, winner, start of several result files; ref_id says the file and the place in it, however Spark packs files."""
+    raw = spark.read.option("multiLine", True).schema("matches array<struct<a:string,b:string,winner:string,start:string>>").json(list(paths)).select("matches", F.col("_metadata.file_path").alias("file"))
+    each = raw.select("file", F.posexplode("matches").alias("place", "m"))
+    return each.select(F.concat_ws("#", F.regexp_extract("file", "([^/]+)$", 1), F.lpad(F.col("place").cast("string"), 9, "0")).alias("ref_id"), "m.*")
 
 
 def anchors(path: str | Path) -> list[dict]:

@@ -10,7 +10,7 @@ import importlib
 import itertools
 import json
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -136,6 +136,28 @@ def _lines(pages: DataFrame, **more) -> DataFrame:
     return pages.orderBy("offset").select(stamp.alias("fetched_at"), F.concat(F.lit("offset="), F.col("offset")).alias("url"), "offset", "body", *(v.alias(k) for k, v in extra.items()))
 
 
+def listings(spark: SparkSession, passes: Sequence[dict]) -> DataFrame:
+    """pass, page, position and row (JSON text) of several listings of one service, each by options of its own.
+
+    A listing that is sorted one way may not reach what another does (new markets have no
+    volume yet); market_snapshot() keeps the first of what is listed twice.
+    """
+    found = None
+    for number, options in enumerate(passes):
+        own = rows(_pages(spark, options)).select(F.lit(number).alias("pass"), F.floor(F.col("offset") / int(options.get("limit", 50))).cast("int").alias("page"), "position", "row")
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+#: The fields of a listed market that market_snapshot() takes, by their names in the service's rows.
+MARKET = {"question": "question", "slug": "slug", "outcomes": "outcomes", "prices": "outcomePrices", "volume": "volumeNum", "liquidity": "liquidityNum", "end_date": "endDate"}
+
+
+def listed_markets(listed: DataFrame) -> DataFrame:
+    """listings() of markets as market_snapshot() takes them; lists may be JSON or texts that hold JSON."""
+    return listed.select("pass", "page", "position", *(F.get_json_object("row", f"$.{k}").alias(name) for name, k in MARKET.items()))
+
+
 def crawl(spark: SparkSession, options: dict, archive: str, least: float = 0.9) -> dict:
     """Archives the pages that the service gained since the last crawl; pages, rows and total of this one.
 
@@ -168,7 +190,11 @@ def _archived(spark: SparkSession, archive: str) -> DataFrame | None:
 
 
 def snapshot(spark: SparkSession, options: dict, archive: str, snapshot_id: str) -> str:
-    """Archives one full listing under a snapshot id; a total that changes between its pages raises, and nothing is written."""
+    """Archives one full listing under a snapshot id; a total that changes between its pages raises, and nothing is written.
+
+    What a task raises (a service that stays down, a page that is none) comes as Spark's
+    PythonException, also before anything is written.
+    """
     pages = _pages(spark, {**options, "start": 0})
     totals = [r[0] for r in pages.select("total").distinct().limit(3).collect()]
     if len(totals) > 1:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator, Sequence
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..operators.asof import choose
 from ..operators.latest import last_per_key
@@ -113,63 +111,104 @@ def closes(matches: DataFrame, prices: DataFrame, late: str = "1 hour", before:
 
 
 CLOSED = "match_key long, start timestamp, close double, flagged boolean"
+PRICES, OPEN = "us long, price double", "us long, match_key long"
 
 
-def settle(held: dict[str, Any], watermark: int) -> tuple[list[tuple[int, int, float, bool]], dict[str, Any], int | None]:
-    """What a pair's state allows at a watermark: closed matches (match, start, close, flagged), the state that stays, when to look again.
+def settle(prices: pd.DataFrame, open_: pd.DataFrame, first: tuple[int, float] | None, watermark: int) -> tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame]:
+    """What a pair's state allows at a watermark: closed matches (match_key, us, close, flagged), the prices and the open matches that stay.
 
-    held: prices [time, price], open matches [start, match], first price. Times are in
-    milliseconds. A match whose start the watermark has passed gets the last price before it,
-    for none of those can still come; without one, the first price at all, flagged, once
-    nothing earlier can come either. Of prices only those stay that an open or coming match
-    may need: from the watermark on, and the last before it.
+    prices: us, price in the order in which ties count; open_: us (the start), match_key; first:
+    the earliest price. Times are whole microseconds. A match whose start the watermark has
+    passed gets the last price before it, for none of those can still come; without one, the
+    first price at all, flagged, once nothing earlier can come either. Of prices only those
+    stay that an open or coming match may need: from the watermark on, and the last before it.
     """
-    prices = sorted(held["prices"])
-    first = min([*prices[:1], *([held["first"]] if held["first"] else [])], default=None)
-    out, still, again = [], [], []
-    for start, match in sorted(held["open"]):
-        before = [p for p in prices if p[0] < start]
-        if start <= watermark and before:
-            out.append((match, start, before[-1][1], False))
-        elif start <= watermark and first and first[0] <= watermark:
-            out.append((match, start, first[1], True))
-        else:
-            still.append([start, match])
-            again.append(max(start, first[0]) if first and not before else start)
-    old = [p for p in prices if p[0] < watermark]
-    kept = [*old[-1:], *(p for p in prices if p[0] >= watermark)]
-    return out, {"prices": kept, "open": still, "first": first}, min(again, default=None)
+    prices, open_ = prices.sort_values(["us", "price"], kind="stable"), open_.sort_values(["us", "match_key"], kind="stable")
+    met = pd.merge_asof(open_, prices, on="us", allow_exact_matches=False)
+    over = met["us"] <= watermark
+    sure = first is not None and first[0] <= watermark
+    flagged = met["price"].isna()
+    done = over & (~flagged | sure)
+    closed = met.assign(close=met["price"].fillna(first[1] if sure else float("nan")), flagged=flagged).loc[done, ["match_key", "us", "close", "flagged"]]
+    old = prices["us"] < watermark
+    return closed, pd.concat((prices[old].tail(1), prices[~old])), met.loc[~done, ["us", "match_key"]]
+
+
+class _Closing(StatefulProcessor):
+    """A pair's prices and open matches as lists; a timer for each time at which something may close."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.prices, self.open, self.first = handle.getListState("prices", PRICES), handle.getListState("open", OPEN), handle.getValueState("first", PRICES)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        for new in rows:
+            matches = new["match_key"].notna()
+            if matches.any():
+                self.open.appendList(_tuples(new.loc[matches, ["us", "match_key"]].astype("int64")))
+            priced = new.loc[~matches, ["us", "price"]].astype({"us": "int64"}).sort_values(["us", "price"])
+            if len(priced):
+                self.prices.appendList(_tuples(priced))
+                least = (int(priced["us"].iloc[0]), float(priced["price"].iloc[0]))
+                self.first.update(min(least, tuple(self.first.get())) if self.first.exists() else least)
+        return self._close(timerValues)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        return self._close(timerValues)
+
+    def _close(self, timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        watermark = max(0, timerValues.getCurrentWatermarkInMs()) * 1000
+        prices, open_ = _frame(self.prices, PRICES), _frame(self.open, OPEN)
+        first = tuple(self.first.get()) if self.first.exists() else None
+        closed, kept, still = settle(prices, open_, first, watermark)
+        for state, before, after in ((self.prices, prices, kept), (self.open, open_, still)):
+            if len(after) != len(before):
+                state.clear()
+                if len(after):
+                    state.put(_tuples(after))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        # The next time at which a match may close: its start, or the first price where none is before it.
+        if len(still) and first is not None:
+            again = max(int(still["us"].min()), first[0] if first[0] >= int(still["us"].min()) else 0)
+            self.handle.registerTimer(max(-(-again // 1000), watermark // 1000 + 1))
+        yield pd.DataFrame({"match_key": closed["match_key"].astype("int64"), "start": pd.to_datetime(closed["us"], unit="us"), "close": closed["close"].astype(float), "flagged": closed["flagged"].astype(bool)})
+
+    def close(self) -> None:
+        pass
+
+
+def _tuples(rows: pd.DataFrame) -> list[tuple]:
+    return list(rows.itertuples(index=False, name=None))
+
+
+def _frame(state, schema: str) -> pd.DataFrame:
+    names = [c.split()[0] for c in schema.split(", ")]
+    held = list(state.get()) if state.exists() else []
+    return pd.DataFrame(held, columns=names).astype({"us": "int64"})
+
+
+#: What Spark's keyed state with timers needs.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def closes_by_state(matches: DataFrame, prices: DataFrame, late: str = "1 hour") -> DataFrame:
     """match_key, start, close, flagged of a match stream (match_key, pair, start) and a price stream (pair, ts, price), each once.
 
-    A match closes when the watermark passes its start, so prices at or after it never set the
-    close, nor do those that come later than late. A pair's state holds what settle() keeps. A
-    match without any price stays open until one comes.
+    A match closes when the watermark passes its start, so prices at or after it, compared by
+    the microsecond, never set the close, nor do those that come later than late. A pair's
+    state holds what settle() keeps; an event-time timer wakes it. Of prices of one time the
+    greatest counts before the start, and the least as the first. A match without any price stays
+    open until one comes. The session's state store has to be RocksDB (STATE_STORE).
     """
-    ship(matches.sparkSession)
+    spark = matches.sparkSession
+    if spark.conf.get(STATE_STORE[0], "") != STATE_STORE[1]:
+        raise ValueError(f"closes_by_state needs {STATE_STORE[0]} to be {STATE_STORE[1]}")
+    ship(spark)
     m = matches.select("pair", F.col("start").alias("ts"), "match_key", F.lit(None).cast("double").alias("price"))
     p = prices.select("pair", "ts", F.lit(None).cast("long").alias("match_key"), "price")
-    both = m.unionByName(p).where("ts IS NOT NULL").withColumn("ms", F.unix_millis("ts")).withWatermark("ts", late)
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"prices": [], "open": [], "first": None}
-        if not state.hasTimedOut:
-            for part in parts:
-                for ms, match, price in zip(part["ms"], part["match_key"], part["price"], strict=True):
-                    if pd.isna(match):
-                        held["prices"].append([int(ms), float(price)])
-                    else:
-                        held["open"].append([int(ms), int(match)])
-        now = state.getCurrentWatermarkMs()
-        out, rest, again = settle(held, now)
-        state.update((json.dumps(rest),))
-        if again is not None:
-            state.setTimeoutTimestamp(max(again, now) + 1)
-        yield pd.DataFrame({"match_key": [x[0] for x in out], "start": pd.to_datetime([x[1] for x in out], unit="ms"), "close": [x[2] for x in out], "flagged": [x[3] for x in out]})
-
-    return both.groupBy("pair").applyInPandasWithState(step, CLOSED, "body string", "append", GroupStateTimeout.EventTimeTimeout)
+    both = m.unionByName(p).where("ts IS NOT NULL").withColumn("us", F.unix_micros("ts")).withWatermark("ts", late)
+    return both.groupBy("pair").transformWithStateInPandas(_Closing(), CLOSED, "Append", "EventTime")
 
 
 def fold(joined: DataFrame) -> DataFrame:

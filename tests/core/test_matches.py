@@ -8,7 +8,7 @@ from pathlib import Path
 
 import pytest
 from duelframe.operators import audit, quarantine
-from duelframe.sources import archive, paged
+from duelframe.sources import archive, files, paged
 
 
 def match(i, **over):
@@ -92,22 +92,30 @@ def test_snapshots(spark, tmp_path):
     assert sid == "a" and rows.count() == 2
 
 
-SERVICE = Path(tempfile.gettempdir()) / f"duelframe-service-{os.getuid()}.json"
+#: A folder of this run's own; set before Spark starts, so that workers inherit it.
+os.environ.setdefault("DUELFRAME_SERVICE", tempfile.mkdtemp(prefix="duelframe-service-"))
+SERVICE = Path(os.environ["DUELFRAME_SERVICE"]) / "state.json"
+
+
+def store(state):
+    """Readers see the file before or after, never half of it."""
+    aside = SERVICE.with_suffix(f".{os.getpid()}")
+    aside.write_text(json.dumps(state))
+    os.replace(aside, SERVICE)
 
 
 def fetch(offset, limit):
-    """A service that executors see too: its rows, failures to come and growth are in a file."""
+    """A service that executors see too: its rows, failures to come and whether it grows are in a file."""
     state = json.loads(SERVICE.read_text())
     if state["fail"]:
-        SERVICE.write_text(json.dumps(state | {"fail": state["fail"] - 1}))
+        store(state | {"fail": state["fail"] - 1})
         raise OSError("down")
-    if state["grows"]:
-        SERVICE.write_text(json.dumps(state | {"n": state["n"] + 1}))
-    return json.dumps({"total": {"count": state["n"]}, "results": [{"id": i} for i in range(state["n"])][offset : offset + limit]})
+    n = state["n"] + (offset if state["grows"] else 0)  # later pages find more
+    return json.dumps({"total": {"count": n}, "results": [{"id": i} for i in range(n)][offset : offset + limit]})
 
 
 def service(n, fail=0, grows=False):
-    SERVICE.write_text(json.dumps({"n": n, "fail": fail, "grows": grows}))
+    store({"n": n, "fail": fail, "grows": grows})
     return {"fetch": f"{__name__}:fetch", "limit": 3}
 
 
@@ -145,6 +153,46 @@ def test_torn_snapshot_leaves_nothing(spark, tmp_path):
     assert sid == "t" and rows.count() == 4
 
 
+def test_a_page_that_is_none_leaves_nothing(spark, tmp_path):
+    with pytest.raises(Exception, match="not a page"):
+        paged.snapshot(spark, {"fetch": f"{__name__}:broken", "limit": 3}, f"{tmp_path}/snapshots", "s")
+    assert not (tmp_path / "snapshots").exists()
+
+
+def broken(offset, limit):
+    return "<html>" if offset else json.dumps({"total": {"count": 5}, "results": [1, 2, 3]})
+
+
+def listed(order):
+    """Markets by volume or newest first; lists are JSON or texts of it."""
+    market = lambda i, v, text=True: {"question": f"Cup: game {i}", "slug": f"m{i}", "outcomes": json.dumps(["A", "B"]) if text else ["A", "B"], "outcomePrices": json.dumps(["0.6", "0.5"]), "volumeNum": v, "liquidityNum": i, "endDate": "x"}
+    own = [market(1, 5000), market(2, 3000, False), {"question": "else", "slug": "e"}] if order == "volume" else [market(9, None), {**market(2, 1), "outcomePrices": json.dumps(["0.1", "0.1"])}]
+    return lambda offset, limit: json.dumps({"total": {"count": len(own)}, "results": own[offset : offset + limit]})
+
+
+def by_volume(offset, limit):
+    return listed("volume")(offset, limit)
+
+
+def by_id(offset, limit):
+    return listed("id")(offset, limit)
+
+
+def test_two_passes_find_new_markets_and_keep_the_first_listing(spark):
+    rows = paged.listed_markets(paged.listings(spark, [{"fetch": f"{__name__}:{f}", "limit": 2} for f in ("by_volume", "by_id")]))
+    found = {r.slug: r for r in files.market_snapshot(rows, ["Cup"], "2026-01-01").collect()}
+    assert set(found) == {"m1", "m2", "m9"} and found["m2"].volume == 3000 and found["m9"].volume == 0
+    assert [round(p, 6) for p in found["m2"].prices] == [round(0.6 / 1.1, 6), round(0.5 / 1.1, 6)] and found["m1"].outcomes == found["m2"].outcomes == ["A", "B"]
+    assert [(r.a, r.p) for r in files.anchor_rows(spark.createDataFrame(list(found.values())), {"a": "Alpha", "b": "Beta"}).orderBy("slug").collect()] == [("Alpha", 0.5455)] * 2
+
+
+def test_references_are_numbered_by_file_and_place(spark, tmp_path):
+    for name, n in (("x.json", 3), ("y.json", 2)):
+        (tmp_path / name).write_text(json.dumps({"matches": [{"a": "A", "b": "B", "winner": "A", "start": str(i)} for i in range(n)]}))
+    ids = lambda paths: {r.ref_id: r.start for r in files.references(spark, [str(tmp_path / p) for p in paths]).collect()}
+    assert ids(["x.json", "y.json"]) == ids(["y.json", "x.json"]) and list(ids(["y.json"])) == ["y.json#000000000", "y.json#000000001"]
+
+
 def table(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
 

@@ -222,7 +222,13 @@ def test_fits_by_scheme_and_cache(spark, substrate, tmp_path):
     n = ready.teams.count()
     assert fits.count() == 2 * n and fits.groupBy("event_id", "config").agg(F.avg("rating").alias("m")).where("config = 'a' AND abs(m - 1000) > 1e-6").count() == 0
     with pytest.raises(ratings.FitError):
-        ratings.fit_configured(ready.fitted.where("event_id = 105").toPandas(), ready.teams.where("event_id = 105").toPandas(), {**INCUMBENT, "data_prep": {"weighting": "odd"}})
+        ratings.fit_events(ready.fitted, ready.teams, {"a": {**INCUMBENT, "data_prep": {"weighting": "odd"}}})
+    # A pair's matches count like one of their summed weight.
+    own = ready.fitted.where("event_id = 105").orderBy("match_id").toPandas()
+    names = sorted(r.team for r in ready.teams.where("event_id = 105").collect())
+    model = INCUMBENT["model"]
+    alone = ratings.fit(own["winner"].tolist(), own["loser"].tolist(), [1.0] * len(own), dict.fromkeys(names, float(model["prior_mean"])), ratings.Settings(float(model["sigma"]), {}, model["iters"], model["lr"], model.get("converge_tol")))
+    assert {r.team: r.rating for r in fits.where("event_id = 105 AND config = 'a'").collect()} == pytest.approx(alone, abs=1e-9)
     key = ratings.fit_key(INCUMBENT, ["b", "a"], [1, 2], ["x"], "s")
     assert key == ratings.fit_key(INCUMBENT, ["a", "b"], [1, 2], ["x"], "s") != ratings.fit_key(INCUMBENT, ["a", "b"], [2, 1], ["x"], "s")
     calls = []

@@ -1,6 +1,9 @@
 import json
+import random
 
-from duelframe.operators import latest
+import pandas as pd
+import pytest
+from duelframe.operators import asof, latest
 from duelframe.sources import files, paged
 from duelframe.streaming import closes
 from pyspark.sql import functions as F
@@ -77,29 +80,64 @@ def test_appended_lines_keep_their_order(spark, tmp_path):
 
 
 def test_settling_a_pair():
-    held = {"prices": [[10, 0.1], [30, 0.3], [20, 0.2]], "open": [[25, 1], [50, 2], [5, 3]], "first": None}
-    out, rest, again = closes.settle(held, 26)
-    assert out == [(3, 5, 0.1, True), (1, 25, 0.2, False)] and rest == {"prices": [[20, 0.2], [30, 0.3]], "open": [[50, 2]], "first": [10, 0.1]} and again == 50
-    out, rest, again = closes.settle({**rest, "prices": [*rest["prices"], [50, 0.9]]}, 50)
-    assert out == [(2, 50, 0.3, False)] and again is None
-    assert closes.settle({"prices": [], "open": [[5, 1]], "first": None}, 9) == ([], {"prices": [], "open": [[5, 1]], "first": None}, 5)
-
-
-def test_closes_by_state_equal_the_batch(spark, tmp_path):
-    """Prices in and out of order, at the start, after it and none before it; a match ahead of its prices."""
-    day = lambda h: f"2026-01-01 {h:02d}:00:00"
-    rows = [
-        [("m", 1, "p", day(4), None), ("p", None, "p", day(2), 0.2), ("p", None, "p", day(1), 0.1)],
-        [("p", None, "p", day(3), 0.3), ("p", None, "p", day(4), 0.4), ("m", 2, "q", day(5), None), ("m", 4, "p", day(6), None)],
-        [("p", None, "q", day(6), 0.6), ("p", None, "q", day(7), 0.7), ("p", None, "p", day(5), 0.5)],
-        [("p", None, "z", day(20), 0.9)], [("p", None, "z", day(21), 0.9)],
-    ]
-    schema = "kind string, match_key long, pair string, t string, price double"
-    for i, batch in enumerate(rows):
-        spark.createDataFrame(batch, schema).coalesce(1).write.parquet(f"{tmp_path}/in/b{i}")
-        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withColumn("ts", F.col("t").cast("timestamp"))
+    frame = lambda rows, last: pd.DataFrame(rows, columns=["us", last]).astype({"us": "int64"})
+    rows = lambda df: list(df.itertuples(index=False, name=None))
+    prices, open_ = frame([(10, 0.1), (30, 0.3), (20, 0.2)], "price"), frame([(25, 1), (50, 2), (5, 3)], "match_key")
+    closed, kept, still = closes.settle(prices, open_, (10, 0.1), 26)
+    assert rows(closed) == [(3, 5, 0.1, True), (1, 25, 0.2, False)] and rows(kept) == [(20, 0.2), (30, 0.3)] and rows(still) == [(50, 2)]
+    closed, kept, still = closes.settle(pd.concat((kept, frame([(50, 0.9)], "price"))), still, (10, 0.1), 50)
+    assert rows(closed) == [(2, 50, 0.3, False)] and not len(still) and rows(kept) == [(30, 0.3), (50, 0.9)]
+    closed, kept, still = closes.settle(frame([], "price").astype({"price": float}), frame([(5, 1)], "match_key"), None, 9)
+    assert not len(closed) and rows(still) == [(5, 1)]
+
+
+@pytest.fixture
+def keyed(spark):
+    spark.conf.set(*closes.STATE_STORE)
+    yield spark
+    spark.conf.unset(closes.STATE_STORE[0])
+
+
+def streamed(spark, batches, schema, folder, late):
+    """What closes_by_state has written after all batches, each a micro-batch; the query is stopped and started again between them."""
+    for i, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.parquet(f"{folder}/in/b{i}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in").withColumn("ts", F.timestamp_micros("us"))
         m = stream.where("kind = 'm'").select("match_key", "pair", F.col("ts").alias("start"))
-        q = closes.closes_by_state(m, stream.where("kind = 'p'").select("pair", "ts", "price"), "2 hours").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start()
+        q = closes.closes_by_state(m, stream.where("kind = 'p'").select("pair", "ts", "price"), late).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination()
-    got = spark.read.schema(closes.CLOSED).parquet(f"{tmp_path}/out").collect()
-    assert sorted((r.match_key, r.close, r.flagged) for r in got) == [(1, 0.3, False), (2, 0.6, True), (4, 0.5, False)]
+    return spark.read.schema(closes.CLOSED).parquet(f"{folder}/out").select("match_key", F.unix_micros("start").alias("us"), "close", "flagged").collect()
+
+
+STREAM = "kind string, match_key long, pair string, us long, price double"
+
+
+def test_closes_by_state_equal_as_of(keyed, tmp_path):
+    """Random prices and matches that differ by microseconds, in and out of order; the last ones push the watermark past all."""
+    r = random.Random(9)
+    base = 1_767_225_600_000_000
+    rows = [("p", None, r.choice("ab"), base + r.randrange(4) * 1000 + r.randrange(6), float(r.randrange(9)) / 8) for _ in range(60)]
+    rows += [("m", i, r.choice("abc"), base + r.randrange(4) * 1000 + r.randrange(6), None) for i in range(60)]
+    r.shuffle(rows)
+    far = [("p", None, "z", base + 3_600_000_000 * k, 0.5) for k in (1, 2, 3)]
+    batches = [rows[:50], rows[50:], *([f] for f in far)]
+    got = {x.match_key: (x.us, x.close, x.flagged) for x in streamed(keyed, batches, STREAM, tmp_path, "1 minute")}
+    df = keyed.createDataFrame(rows, STREAM).withColumn("ts", F.timestamp_micros("us"))
+    batch = asof.as_of(df.where("kind = 'm'").select("match_key", "us", "pair", "ts"), df.where("kind = 'p'").select("pair", F.col("ts").alias("t"), "price"), ["pair"], "ts", "t", "price", [F.col("price")]).collect()
+    assert got == {x.match_key: (x.us, x.close, x.flagged) for x in batch if x.close is not None} and any(x.flagged for x in batch) and len(got) > 20
+
+
+def test_late_prices_have_no_say_and_each_match_closes_once(keyed, tmp_path):
+    h = lambda n: 1_767_225_600_000_000 + n * 3_600_000_000
+    batches = [
+        [("m", 1, "p", h(4), None), ("p", None, "p", h(2), 0.2), ("p", None, "p", h(1), 0.1)], [("p", None, "p", h(3), 0.3), ("p", None, "p", h(4), 0.4), ("m", 2, "q", h(5), None), ("m", 4, "p", h(6), None)],
+        [("p", None, "q", h(6), 0.6), ("p", None, "q", h(7), 0.7), ("p", None, "p", h(5), 0.5)], [("p", None, "z", h(20), 0.9)], [("p", None, "p", h(5) + 1, 0.99), ("p", None, "z", h(21), 0.9)], [("p", None, "z", h(22), 0.9)],
+    ]
+    got = streamed(keyed, batches, STREAM, tmp_path, "2 hours")
+    assert sorted((x.match_key, x.close, x.flagged) for x in got) == [(1, 0.3, False), (2, 0.6, True), (4, 0.5, False)]
+
+
+def test_keyed_closes_say_what_they_need(spark):
+    rate = spark.readStream.format("rate").load()
+    with pytest.raises(ValueError, match="RocksDB"):
+        closes.closes_by_state(rate.selectExpr("value AS match_key", "'p' AS pair", "timestamp AS start"), rate.selectExpr("'p' AS pair", "timestamp AS ts", "0.5D AS price"))
