@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, prepare, written
+from .common import map_texts, prepare, scratch, written
 
 LENGTH = 400
 #: Bytes of the shortest reported passage: about fifty words.
@@ -433,8 +433,9 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, most: int = MOST, le
     """
     if not GRAM <= least <= length:
         raise ValueError(f"least must lie between {GRAM} and length")
-    ranges = repeated_ranges(docs, length, most, least)
-    lists = ranges.groupBy("id", "twin").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))  # of one document
+    with scratch(docs.sparkSession, keep=1):  # of all that is stored on the way the ranges stay, which the result reads
+        ranges = repeated_ranges(docs, length, most, least)
+        lists = written(ranges.groupBy("id", "twin").agg(F.collect_set(F.struct("start", "end")).alias("ranges")))  # of one document
     joined = _identified(docs).join(lists, ["id", "twin"], "left").select("doc_id", "text", "ranges")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

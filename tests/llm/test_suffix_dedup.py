@@ -118,3 +118,16 @@ def test_long_texts_are_cut_into_overlapping_parts():
     offsets = np.array([0, 10, 10, 95, 100])
     parts = [(a.tolist(), b.tolist(), n.tolist()) for a, b, n in S._parts(offsets, 8, 30)]
     assert parts == [([0, 10], [10, 10], [0, 1]), ([10], [47], [2]), ([40], [77], [2]), ([70], [95], [2]), ([95], [100], [3])]
+
+
+def test_only_the_ranges_of_the_result_stay_stored(spark):
+    from pathlib import Path
+
+    from duelframe.llm import common
+
+    held = lambda: {p.name for p in Path(common.checkpoints(spark).removeprefix("file:")).iterdir()}
+    before = held()
+    found = S.dedup_substrings(spark.createDataFrame(planted(3)[:30], "doc_id long, text string"), 400)
+    assert found.count() == 30 and len(held() - before) == 1
+    common.drop(found)
+    assert held() == before
