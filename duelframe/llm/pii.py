@@ -2,8 +2,9 @@
 
 Base rules find emails, addresses, cards and phones exactly as their patterns say and always
 count. Beside them, high-recall generators propose spans that may overlap: written-out
-emails, digit runs of cards and phones in other layouts, social security numbers, bank
-accounts, keys and tokens. Boosted trees score each proposal by its format and its context;
+emails (up to the 64 and 63 characters that local parts and labels may have), addresses with
+written or bracketed dots and those of eight groups, digit runs of cards and phones in other
+layouts, social security numbers, bank accounts, keys and tokens. Boosted trees score each proposal by its format and its context;
 a kind's calibrated threshold decides. Accepted spans that overlap neither a base span nor a
 better proposal are added.
 
@@ -116,6 +117,7 @@ GENERATORS = {
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "secret": re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}(?![A-Za-z0-9_/+-])"),
+    "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?: ?(?:\[\.\]|\(\.\)|\[[Dd][Oo][Tt]\]|\([Dd][Oo][Tt]\)|(?<= )[Dd][Oo][Tt](?= )) ?[0-9]{1,3}){3}(?![0-9])|(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
 }
 WRITTEN_DOMAIN = re.compile(rf"\s*[A-Za-z0-9-]{{1,63}}(?:{DOT}[A-Za-z0-9-]{{2,63}}){{1,4}}")
 CUES = {
@@ -129,6 +131,7 @@ CUES = {
 }
 COUNTER_CUES = re.compile(r"order|invoice|version|serial|isbn|date|build|ref|no\.|id\b|commit|sha|hash|page|chapter", re.I)
 HAS_DIGITS = re.compile(r"[0-9]")
+SPELT_DOT = re.compile(r"\[\.\]|\(\.\)|[Dd][Oo][Tt]")
 LONG_WORD = re.compile(r"[A-Za-z0-9_/+-]{16}")
 
 
@@ -150,6 +153,8 @@ def candidates(text: str) -> list[Span]:
     kinds = []
     if HAS_DIGITS.search(text):
         kinds += ["phone", "card", "ssn", "iban"]
+        if SPELT_DOT.search(text) or text.count(":") >= 7:
+            kinds.append("ip")
     if LONG_WORD.search(text):
         kinds.append("secret")
     return [*_spelt_out(text), *((m.start(), m.end(), k) for k in kinds for m in GENERATORS[k].finditer(text))]
@@ -179,6 +184,7 @@ def features(text: str, span: Span) -> list[float]:
         float(bool(CUES[kind].search(before))), float(bool(COUNTER_CUES.search(before))), float(bool(re.search(r"[=:]\s*[\"']?$", before))),
         float(own[:4] in ("AKIA", "ghp_", "sk_l", "xoxb")), float(own[:1] in "(+"), float(bool(re.search(r"\[|\(|\{", own[1:]))), float(bool(re.match(r"[A-Za-z]", after))),
         float(bool(re.fullmatch(r"(19|20)[0-9]{2}[ .-][0-9]{2}[ .-][0-9]{2,4}.*", own))), float(len(set(digits)) if digits else 0),
+        float(min(999, max((int(g[:4]) for g in re.findall(r"[0-9]+", own)), default=0))), float(own.count(":")),
     ]
 
 
@@ -288,6 +294,8 @@ def _example(r: random.Random) -> tuple[str, str, bool]:
         lambda: (f"{r.randint(1, 899):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}", True, "ssn"), lambda: (f"{num(3)}-{num(2)}-{num(4)}", False, "ref"),
         lambda: (_iban(r), True, "iban"), lambda: (r.choice(("AB", "XZ")) + num(2) + num(12), False, "serial"),
         lambda: ("AKIA" + mixed(16).upper(), True, "key"), lambda: (hexa(40), True, 'token = "'), lambda: (mixed(32), True, "secret: "), lambda: (hexa(40), False, "commit"), lambda: (word(18, 30), False, ""),
+        lambda: (r.choice(("[.]", "(.)", "[dot]", "(dot)", " dot ", " [.] ")).join(str(r.randint(0, 255)) for _ in range(4)), True, "host"), lambda: (r.choice(("[.]", "(.)", " dot ")).join(str(r.randint(256, 999)) for _ in range(4)), False, ""),
+        lambda: (":".join(hexa(r.randint(1, 4)) for _ in range(8)), True, "ip"), lambda: (":".join(f"{r.randint(0, 59):02d}" for _ in range(8)), False, "date"),
         lambda: (f"{word(6, 9)}-{word(6, 9)}-{word(4, 8)}", False, ""), lambda: (f"{word(6, 9)}/{word(6, 9)}/{word(4, 8)}", False, ""), lambda: ("=" * 0 + "-" * r.randint(16, 40), False, ""), lambda: (num(r.randint(16, 24)), False, "id"),
     ))()
     lead = f"{word()} {word()} " + (cue + ("" if cue[-1:] in '" ' else r.choice((" ", ": "))) if cue and r.random() < (0.7 if real else 0.5) else "")
