@@ -13,7 +13,7 @@ task of bounded size, and each returns k rows a query at most.
 Components become floor(scale * x). Vectors that are null or hold null or non-finite
 components, and null ids, take no part; shorter vectors count as padded with zeros. An id's
 own rows are not its candidates; repeated rows of a query id count once, by the least vector,
-repeated candidates each. Scores beyond a long are clipped to its range. Empty in, empty out.
+repeated candidates each. Scores beyond a long fail the query. Empty in, empty out.
 """
 
 from __future__ import annotations
@@ -98,7 +98,9 @@ def _exact(ids, x, query_ids, q, k) -> list[tuple[int, int, int]]:
     for qid, v in zip(query_ids, q, strict=True):
         w = [int(c) for c in v]
         scores = [(-sum(a * b for a, b in zip(w, r, strict=True)), int(i)) for r, i in zip(rows, ids, strict=True) if i != qid]
-        out += [(int(qid), i, max(-(2**63), min(2**63 - 1, -s))) for s, i in sorted(scores)[:k]]
+        out += [(int(qid), i, -s) for s, i in sorted(scores)[:k]]
+    if any(not -(2**63) <= s < 2**63 for _, _, s in out):
+        raise OverflowError("a score does not fit a long; take a smaller scale")
     return out
 
 

@@ -31,7 +31,9 @@ def test_few_empty_and_huge(spark):
     assert [tuple(r) for r in T.top_k(df, df.where("vec_id = 0")).collect()] == [(0, 1, 1, 65536)]
     assert T.top_k(df.limit(0), df).collect() == [] and T.top_k(df, df.limit(0)).collect() == []
     ids, x = np.array([5, 6, 7]), np.array([[1e12, 3.0], [1e12, 3.0], [1.0, 1.0]])
-    assert T.nra_block(ids, x, np.array([9]), np.array([[1e9, 1.0]]), 2) == [(9, 5, 2**63 - 1), (9, 6, 2**63 - 1)] or T.nra_block(ids, x, np.array([9]), np.array([[1e6, 1.0]]), 2)[0][1] == 5
+    assert T.nra_block(ids, x, np.array([9]), np.array([[1e6, 1.0]]), 2) == [(9, 5, 10**18 + 3), (9, 6, 10**18 + 3)]
+    with pytest.raises(OverflowError):
+        T.nra_block(ids, x, np.array([9]), np.array([[1e9, 1.0]]), 2)
 
 
 def test_a_repeated_query_id_counts_by_its_least_vector(spark):
