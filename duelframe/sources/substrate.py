@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.audit import Audit, stale_references
 from ..operators.quarantine import consumer_view, quarantine_counts, reconcile
 from . import archive
+from .commits import moved_if_absent
 
 PARSE_VERSION = "1:contract+quarantine+last-fetch"
 BUILD = "build-"
@@ -58,10 +60,11 @@ def _stamp(spark: SparkSession, path: str, meta: Mapping[str, str]) -> None:
 def build(spark: SparkSession, lines: DataFrame, aliases: DataFrame, root: str) -> dict[str, str]:
     """Writes all tables of an archive (LINE's columns, see archive) as a new build below root; its stamps.
 
-    aliases: canonical, team_id, source. A build counts once its stamps are written, which is
-    last; older builds stay as they are. The same archive gives the same tables.
+    aliases: canonical, team_id, source. A build is written aside and takes the next free number
+    when it is whole, so of two at a time each gets its own; older builds stay as they are.
+    The same archive gives the same tables.
     """
-    out = f"{root}/{BUILD}{(_builds(spark, root) or [-1])[-1] + 1:06d}"
+    out = f"{root}/_building-{uuid.uuid4().hex}"
     rows = archive.archive_rows(lines)
     archive.parsed_matches(rows).withColumn("parse_version", F.lit(PARSE_VERSION)).write.parquet(f"{out}/matches")
     matches = spark.read.parquet(f"{out}/matches")
@@ -78,6 +81,9 @@ def build(spark: SparkSession, lines: DataFrame, aliases: DataFrame, root: str)
         "reason_counts": json.dumps(reasons, sort_keys=True), "reconciled": "true" if ok else "false", "reconcile_failures": json.dumps(wrong),
     }
     _stamp(spark, f"{out}/parse_meta", meta)
+    number = (_builds(spark, root) or [-1])[-1] + 1
+    while not moved_if_absent(spark, out, f"{root}/{BUILD}{number:06d}"):
+        number += 1
     return meta
 
 

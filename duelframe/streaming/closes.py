@@ -13,89 +13,52 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulP
 from ..operators.asof import choose
 from ..operators.latest import last_per_key
 from ..session import ship
+from ..sources.commits import Table, Version
 
 
 #: Parts of a superseding table; a batch rewrites those that its keys fall into.
 BUCKETS = 64
-#: Older versions of a part that stay for readers that began with them.
-KEPT = 2
+#: Versions that stay for readers that began with them.
+KEPT = 3
 
 
 def superseding(stream: DataFrame, keys: Sequence[str], order: str, table: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
-    """Keeps the last row of each key in a Parquet table of parts by key hash: table/bucket=b/version=n.
+    """Keeps the last row of each key in a table of parts by key hash; see sources.commits.
 
-    A micro-batch rewrites only the parts that it touches; versions older than the KEPT before
-    are deleted. A batch that is run again writes the same version from the same ones before
-    it, so results stay exact after a failure. latest() reads the newest of every part.
+    A micro-batch writes the parts that it touches anew and commits them with the others of the
+    version before it, under its own number: one that is run again after a failure finds
+    itself committed and does nothing. Readers see a batch whole or not at all; other writers'
+    commits are kept.
     """
 
     def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = last_per_key(batch, list(keys), [F.col(order)]).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        own = Table(spark, table)
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        new = last_per_key(batch, list(keys), [F.col(order)]).withColumn("bucket", bucket).persist()
+
+        def change(base: Version) -> tuple[dict, dict] | None:
+            if base.notes.get(checkpoint, -1) >= number:
+                return None
+            touched = [f"bucket={r[0]}" for r in new.select("bucket").distinct().collect()]  # at most as many as there are parts
+            before = own.read(base, batch.schema, touched)
+            merged = last_per_key(before.unionByName(new.drop("bucket")), list(keys), [F.col(order)]).withColumn("bucket", bucket)
+            folder = own.stage(merged.repartition("bucket"), "bucket") if touched else ""
+            return {**base.parts, **{b: f"{folder}/{b}" for b in touched}}, {**base.notes, checkpoint: number}
+
         try:
-            touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most as many as there are parts
-            held = _newest(spark, table, number - 1)
-            before = _read(spark, [held[b] for b in touched if b in held], batch.schema)
-            merged = last_per_key(before.unionByName(new.drop("bucket")), list(keys), [F.col(order)])
-            placed = merged.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).withColumn("version", F.lit(number))
-            staged = f"{table}/_staged-{number}"
-            placed.repartition("bucket").write.mode("overwrite").partitionBy("bucket", "version").parquet(staged)
-            for b in touched:
-                _replace(spark, f"{staged}/bucket={b}/version={number}", f"{table}/bucket={b}/version={number}")
-                for old in sorted(_versions(spark, f"{table}/bucket={b}"))[: -KEPT - 1]:
-                    _delete(spark, f"{table}/bucket={b}/version={old}")
-            _delete(spark, staged)
+            own.update(change)
+            own.clean(KEPT)
         finally:
             new.unpersist()
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _fs(spark, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def _replace(spark, source: str, target: str) -> None:
-    fs, to = _fs(spark, target)
-    fs.delete(to, True)
-    fs.mkdirs(to.getParent())
-    if not fs.rename(_fs(spark, source)[1], to):
-        raise OSError(f"can't move {source} to {target}")
-
-
-def _delete(spark, path: str) -> None:
-    fs, p = _fs(spark, path)
-    fs.delete(p, True)
-
-
-def _numbers(spark, path: str, name: str) -> list[int]:
-    fs, p = _fs(spark, path)
-    found = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
-    return [int(n.split("=")[1]) for n in found if n.startswith(f"{name}=")]
-
-
-def _versions(spark, path: str) -> list[int]:
-    return _numbers(spark, path, "version")
-
-
-def _newest(spark, table: str, most: int | None = None) -> dict[int, str]:
-    """The folder of each part's newest version, up to a number."""
-    out = {}
-    for b in _numbers(spark, table, "bucket"):
-        there = [v for v in _versions(spark, f"{table}/bucket={b}") if most is None or v <= most]
-        if there:
-            out[b] = f"{table}/bucket={b}/version={max(there)}"
-    return out
-
-
-def _read(spark, folders: list[str], schema) -> DataFrame:
-    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
-
-
 def latest(spark, table: str, schema) -> DataFrame:
-    """The table that superseding() keeps."""
-    return _read(spark, list(_newest(spark, table).values()), schema)
+    """The newest version of the table that superseding() keeps."""
+    own = Table(spark, table)
+    return own.read(own.head(), schema)
 
 
 def closes(matches: DataFrame, prices: DataFrame, late: str = "1 hour", before: str = "30 days", after: str = "1 day") -> DataFrame:

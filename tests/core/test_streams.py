@@ -1,10 +1,11 @@
+import itertools
 import json
 import random
 
 import pandas as pd
 import pytest
 from duelframe.operators import asof, latest
-from duelframe.sources import files, paged
+from duelframe.sources import commits, files, paged
 from duelframe.streaming import closes
 from pyspark.sql import functions as F
 
@@ -64,8 +65,12 @@ def test_superseding_rewrites_touched_parts_alone(spark, tmp_path):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
         closes.superseding(spark.readStream.schema(schema).parquet(source), ["k"], "n", table, f"{tmp_path}/cp", buckets=4).awaitTermination()
     assert {r.k: r.v for r in closes.latest(spark, table, spark.createDataFrame([], schema).schema).collect()} == want
-    held = {b.name: len(list(b.iterdir())) for b in (tmp_path / "table").glob("bucket=*")}
-    assert len(held) > 1 and max(held.values()) <= closes.KEPT + 1 and not list((tmp_path / "table").glob("_staged*"))
+    own = commits.Table(spark, table)
+    versions = [own.at(n) for n in own._numbers()]
+    assert len(versions) == closes.KEPT and own.head().notes == {f"{tmp_path}/cp": 5}
+    assert all(sum(a.parts.get(k) != f for k, f in b.parts.items()) <= 3 for a, b in itertools.pairwise(versions)) and len(own.head().parts) > 1
+    held = {f.name for f in (tmp_path / "table/data").iterdir()}
+    assert held == {f.split("/data/")[1].split("/")[0] for v in versions for f in v.parts.values()}
 
 
 def test_appended_lines_keep_their_order(spark, tmp_path):

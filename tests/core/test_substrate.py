@@ -2,11 +2,12 @@
 
 import gzip
 import json
+from pathlib import Path
 
 import pytest
 from duelframe.operators import audit, grading, latest
 from duelframe.plans import bracket, live, ratings, swiss
-from duelframe.sources import archive, files, substrate
+from duelframe.sources import archive, commits, files, substrate
 from pyspark.sql import functions as F
 
 from .test_matches import CASES, chunk, match
@@ -134,10 +135,10 @@ def test_broken_fits_are_misses(spark, tmp_path):
 
     keys = lambda *k: spark.createDataFrame([(x,) for x in k], "fit_key string")
     assert ratings.cached(keys("a", "b"), path, compute).count() == 4
-    here = f"{path}/version={ratings.FIT_VERSION}"
-    spark.createDataFrame([("b", "x", float("nan"))], "fit_key string, team string, rating double").write.mode("append").parquet(here)
-    spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0)], "fit_key string, team string, rating double").write.mode("append").parquet(here)
-    (tmp_path / "fits" / f"version={ratings.FIT_VERSION}" / "part-9.parquet").write_text("no parquet")
+    table = commits.Table(spark, f"{path}/version={ratings.FIT_VERSION}")
+    for i, rows in enumerate(([("b", "x", float("nan"))], [("a", "x", 1.0), ("a", "y", 2.0)])):
+        table.update(lambda base, i=i, rows=rows: ({**base.parts, f"more-{i}": table.stage(spark.createDataFrame(rows, "fit_key string, team string, rating double"))}, {}))
+    (Path(table.head().parts["more-1"]) / "part-9.parquet").write_text("no parquet")
     assert {(r.fit_key, r.team): r.rating for r in ratings.cached(keys("a", "b", "c"), path, compute).collect()} == {(k, t): v for k in "abc" for t, v in (("x", 1.0), ("y", 2.0))}
     assert ratings.cached(keys("a", "b", "c"), path, compute).count() == 6 and calls == [["a", "b"], ["b", "c"]]
 
