@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scoring import win_prob
-from ..session import ship
+from ..functions.scoring import envelope, win_prob
+from ..session import cut, ship
+from . import slates, swiss
 from .ratings import RATE, Settings, anchored, fit
 
 DRAWS = 200
@@ -116,6 +117,30 @@ def structural_corners(matches: Sequence[tuple[str, str, float]], priors: Mappin
     return out
 
 
+def structural_points(spark: SparkSession, event: swiss.Event, corners: Sequence[Mapping], slate: slates.Slate, n: int = 2000, seed: int = 11, threshold: int = 5) -> DataFrame:
+    """scale, share, quantity, team, value: a slate's chance (team null) and each team's statistics at every corner of the grid.
+
+    corners as structural_corners gives them. All corners are scenarios of one plan and share
+    their luck; outcomes are counted before the slate and the teams meet them.
+    """
+    names = [f"{c['scale']}|{c['share']}" for c in corners]
+    sims = cut(swiss.simulate(spark, event, {k: c["ratings"] for k, c in zip(names, corners, strict=True)}, n, seed))
+    own = spark.createDataFrame([(0, *slates.slate_masks(event, slate))], "k int, s30 int, s03 int, sadv int")
+    passes = slates.score(sims, own, threshold).select("scenario", F.lit("p_pass").alias("quantity"), F.lit(None).cast("string").alias("team"), F.col("p_pass").alias("value"))
+    stats = swiss.statistics(sims, event).unpivot(["scenario", "team"], ["p30", "padv", "p03"], "quantity", "value").select("scenario", "quantity", "team", "value")
+    grid = spark.createDataFrame([(k, float(c["scale"]), float(c["share"])) for k, c in zip(names, corners, strict=True)], "scenario string, scale double, share double")
+    return passes.unionByName(stats).join(F.broadcast(grid), "scenario").select("scale", "share", "quantity", "team", "value")
+
+
+def published(points: DataFrame, parameter: DataFrame, floor: float = 0.003) -> DataFrame:
+    """quantity, team, point, low, high: each quantity's parameter interval (quantity, team, point, low, high) widened to the grid's values and a least half-width, within 0 and 1."""
+    spread = points.groupBy("quantity", "team").agg(F.min("value").alias("__low"), F.max("value").alias("__high"))
+    met = (F.col("x.quantity") == F.col("y.quantity")) & F.col("x.team").eqNullSafe(F.col("y.team"))
+    both = parameter.alias("x").join(spread.alias("y"), met, "left")
+    low, high = envelope("x.point", F.least("x.low", "y.__low"), F.greatest("x.high", "y.__high"), floor)
+    return both.select("x.quantity", "x.team", "x.point", low.alias("low"), high.alias("high"))
+
+
 def metropolis(spark: SparkSession, matches: Sequence[tuple[str, str, float]], start: Mapping[str, float], priors: Mapping[str, float], sigma: Mapping[str, float], samples: int = 50_000, burn: int = 10_000, step: float = 22.0, seed: int = 5, chains: int = 4) -> DataFrame:
     """team, mean, sd over all chains of single-team moves; a chain is a task, started at the fit.
 

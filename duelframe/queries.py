@@ -528,7 +528,7 @@ def bracket_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .plans import bracket
 
     event, ratings = _event(spark, sf_dir)
-    draws = [(i, {t: r + (i - 10) * (k % 3 - 1) for k, (t, r) in enumerate(ratings.items())}) for i in range(20)]
+    draws = [(i, {t: r + (i - 100) / 10 * (k % 3 - 1) for k, (t, r) in enumerate(ratings.items())}) for i in range(200)]
     ranked = bracket.rank_picks(spark.createDataFrame(draws, "draw long, ratings map<string,double>"), event.teams[:8])
     return ranked.drop("values")
 

@@ -157,6 +157,43 @@ def test_posterior_agrees_with_chains(spark):
     assert len(corners) == 9 and corners[0]["ratings"]["a"] != corners[1]["ratings"]["a"]
 
 
+def test_the_grid_equals_a_loop_over_its_corners(spark):
+    corners = [{"scale": s, "share": x, "ratings": {t: r + 40 * s * (i % 3 - 1) + 20 * x for i, (t, r) in enumerate(RATED.items())}} for s in (0.7, 1.0, 1.3) for x in (0.3, 0.5, 0.7)]
+    slate = slates.Slate(0, 0, TEAMS[:2], TEAMS[14:], TEAMS[2:8])
+    points = posterior.structural_points(spark, EVENT, corners, slate, 150, 3).cache()
+    got = {(r.scale, r["share"], r.quantity, r.team): r.value for r in points.collect()}
+    assert len(got) == 9 * (1 + 3 * 16)
+    masks = slates.slate_masks(EVENT, slate)
+    for c in corners[::4]:
+        sims = swiss.simulate(spark, EVENT, {"x": c["ratings"]}, 150, 3).collect()
+        right = [sum((m & s).bit_count() for m, s in zip((r.m30, r.m03, r.madv), masks, strict=True)) for r in sims]
+        assert got[c["scale"], c["share"], "p_pass", None] == pytest.approx(sum(k >= 5 for k in right) / 150)
+        assert got[c["scale"], c["share"], "p30", "t00"] == pytest.approx(sum(r.m30 & 1 for r in sims) / 150)
+    param = spark.createDataFrame([("p_pass", None, 0.5, 0.49, 0.9999), ("p30", "t00", 0.2, 0.199, 0.2005), ("other", "t00", 0.001, 0.0005, 0.0012)], "quantity string, team string, point double, low double, high double")
+    out = {r.quantity: (r.low, r.high) for r in posterior.published(points, param).collect()}
+    values = [v for (_, _, q, t), v in got.items() if (q, t) == ("p30", "t00")]
+    assert out["p30"] == pytest.approx((min(0.197, *values), max(0.203, *values))) and out["other"] == pytest.approx((0.0, 0.004)) and out["p_pass"][1] >= 0.9999
+
+
+def test_relational_hessian_equals_the_dense_one(spark):
+    weights = [k for *_, k in MATCHES]
+    rated = {"a": 1010.0, "b": 990.0, "c": 1000.0}
+    h = posterior.hessian([m[0] for m in MATCHES], [m[1] for m in MATCHES], weights, rated, list(rated), dict.fromkeys(rated, 70.0))
+    pairs = spark.createDataFrame([(e, *m) for e in (1, 2) for m in MATCHES], "event_id long, winner string, loser string, weight double")
+    table = spark.createDataFrame([(e, t, r) for e in (1, 2) for t, r in [*rated.items(), *([("d", 900.0)] if e == 2 else [])]], "event_id long, team string, rating double")
+    entries = posterior.hessian_entries(pairs, table, 70.0, ["event_id"]).cache()
+    got = {(r.row, r.column): r.value for r in entries.where("event_id = 1").collect()}
+    assert all(got.get((x, y), 0.0) == pytest.approx(h[i, j]) for i, x in enumerate(rated) for j, y in enumerate(rated))
+    sds = {(r.event_id, r.team): r.sd for r in posterior.deviations(entries, "event_id").collect()}
+    want = np.sqrt(np.diag(np.linalg.inv(h)))
+    assert [sds[1, t] for t in rated] == pytest.approx(want) and [sds[2, t] for t in rated] == pytest.approx(want) and sds[2, "d"] == pytest.approx(70.0)
+    drawn = posterior.drawn(entries, table, "event_id", 3000, 5)
+    assert drawn.count() == 3000 * 7
+    again = posterior.drawn(entries.repartition(3), table, "event_id", 3000, 5).where("event_id = 2 AND team = 'b'").agg(F.avg("rating"), F.stddev("rating")).first()
+    own = drawn.where("event_id = 2 AND team = 'b'").agg(F.avg("rating"), F.stddev("rating")).first()
+    assert tuple(own) == pytest.approx(tuple(again)) and own[0] == pytest.approx(990, abs=5) and own[1] == pytest.approx(want[1], rel=0.06)
+
+
 def test_live_forecast(spark):
     slate = slates.Slate(0, 0, TEAMS[:2], TEAMS[14:], TEAMS[2:8])
     upcoming = list(EVENT.round1[6:])

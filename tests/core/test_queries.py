@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from duelframe import queries, queries_models
 from duelframe import queries as Q
 
 from ..conftest import SF
@@ -17,21 +18,25 @@ def con():
     return out
 
 
+QUERIES = {**queries.queries(), **queries_models.queries()}
+SQL = {**queries.oracle_sql(), **queries_models.oracle_sql()}
+
+
 def rows(values):
     return sorted((tuple(v) for v in values), key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
-@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_sql(spark, con, name):
-    df = Q.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
-    want = con.sql(f"SELECT {', '.join(columns)} FROM ({Q.oracle_sql()[name]}) q").fetchall()
+    want = con.sql(f"SELECT {', '.join(columns)} FROM ({SQL[name]}) q").fetchall()
     assert rows(df.select(*columns).collect()) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.queries()) - set(Q.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_others_have_rows(spark, name):
-    assert Q.queries()[name](spark, SF).count() > 0
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_every_event_has_ratings(spark):
