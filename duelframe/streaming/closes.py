@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -170,8 +172,14 @@ def closes_by_state(matches: DataFrame, prices: DataFrame, late: str = "1 hour")
     ship(spark)
     m = matches.select("pair", F.col("start").alias("ts"), "match_key", F.lit(None).cast("double").alias("price"))
     p = prices.select("pair", "ts", F.lit(None).cast("long").alias("match_key"), "price")
-    both = m.unionByName(p).where("ts IS NOT NULL").withColumn("us", F.unix_micros("ts")).withWatermark("ts", late)
-    return both.groupBy("pair").transformWithStateInPandas(_Closing(), CLOSED, "Append", "EventTime")
+    both = m.unionByName(p).where("ts IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("us", F.unix_micros("ts")).withWatermark("ts", late)
+    # Spark also sets the processor up beside the driver, where shipped files are not on the path: it travels by value.
+    here = sys.modules[__name__]
+    cloudpickle.register_pickle_by_value(here)
+    try:
+        return both.groupBy("pair").transformWithStateInPandas(_Closing(), CLOSED, "Append", "EventTime")
+    finally:
+        cloudpickle.unregister_pickle_by_value(here)
 
 
 def fold(joined: DataFrame) -> DataFrame:

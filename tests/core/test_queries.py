@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from duelframe import queries, queries_models
+from duelframe import queries, queries_files, queries_models
 from duelframe import queries as Q
 
 from ..conftest import SF
@@ -18,8 +18,8 @@ def con():
     return out
 
 
-QUERIES = {**queries.queries(), **queries_models.queries()}
-SQL = {**queries.oracle_sql(), **queries_models.oracle_sql()}
+QUERIES = {**queries.queries(), **queries_models.queries(), **queries_files.queries()}
+SQL = {**queries.oracle_sql(), **queries_models.oracle_sql(), **queries_files.oracle_sql()}
 
 
 def rows(values):
