@@ -107,7 +107,7 @@ def oracle_sql() -> dict[str, str]:
     from .queries_models import PAGE, PAGES_SQL
 
     return {
-        "typed_csv": """SELECT o_orderpriority AS event, COUNT(*) AS n, round(SUM(o_orderkey % 90 / 100.0), 4) AS weight, COUNT(DISTINCT o_custkey) AS winners, COUNT(*) FILTER (o_orderkey % 3 = 0) AS quoted, printf('%.2f', MAX(o_orderkey % 90 / 100.0)) AS greatest FROM orders GROUP BY 1""",
+        "typed_csv": """SELECT o_orderpriority AS event, COUNT(*) AS n, round(CAST(SUM(o_orderkey % 90 / 100.0) AS DOUBLE), 4) AS weight, COUNT(DISTINCT o_custkey) AS winners, COUNT(*) FILTER (o_orderkey % 3 = 0) AS quoted, printf('%.2f', MAX(o_orderkey % 90 / 100.0)) AS greatest FROM orders GROUP BY 1""",
         "logged_lines": """WITH b AS (SELECT o_custkey AS k, MAX(o_orderkey) AS order_id, i AS batch FROM orders, (VALUES (0), (1), (2)) t(i) WHERE (o_orderkey + i) % (i + 2) = 0 GROUP BY o_custkey, i)
           SELECT k, order_id, CAST(batch AS INTEGER) AS batch FROM b QUALIFY row_number() OVER (PARTITION BY k ORDER BY batch DESC) = 1""",
         "zipped_archive": f"""WITH c AS ({PAGES_SQL}) SELECT id, CAST(row_number() OVER (PARTITION BY page ORDER BY id) - 1 AS INTEGER) AS position, page * {PAGE} AS src_offset, CASE WHEN page % 3 = 0 THEN '2026-01-02' ELSE '2026-01-01' END AS fetched_at

@@ -53,7 +53,7 @@ def rating_hessian(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Hessian of the posterior of all teams' ratings, from sums over pairs."""
     pairs = cut(_pairs(spark, sf_dir, False))
     found = posterior.hessian_entries(pairs, _rated(pairs), 50.0, ["event_id"])
-    return found.select("row", "column", F.round(F.col("value") * 1e6, 4).alias("value"))
+    return found.select(F.col("row").alias("team"), F.col("column").alias("other"), F.round(F.col("value") * 1e6, 4).alias("scaled"))
 
 
 def posterior_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +183,7 @@ def oracle_sql() -> dict[str, str]:
           UNION ALL SELECT event_id, 'uniform', COUNT(*), 0.25, round(ln(2), 8) FROM k GROUP BY event_id""",
         "rating_hessian": f"""WITH m AS ({MATCHES_SQL}), k AS (SELECT w, l, pow(0.5, epoch(TIMESTAMP '{TODAY}' - start_ts) / 86400.0 / {HALF_LIFE}) * CASE WHEN bo_type = 1 THEN 0.5 ELSE 1.0 END AS weight, 1 / (1 + pow(10.0, ((l % 97) - (w % 97)) / 400.0)) AS p FROM m),
           h AS (SELECT w, l, SUM(weight * pow(ln(10) / 400, 2) * p * (1 - p)) AS h FROM k GROUP BY w, l), t AS (SELECT w AS a, w AS b, h FROM h UNION ALL SELECT l, l, h FROM h UNION ALL SELECT w, l, -h FROM h UNION ALL SELECT l, w, -h FROM h
-            UNION ALL SELECT t, t, 1 / 2500.0 FROM (SELECT w AS t FROM h UNION SELECT l FROM h) z) SELECT a AS "row", b AS "column", round(SUM(h) * 1e6, 4) AS value FROM t GROUP BY a, b""",
+            UNION ALL SELECT t, t, 1 / 2500.0 FROM (SELECT w AS t FROM h UNION SELECT l FROM h) z) SELECT a AS team, b AS other, round(SUM(h) * 1e6, 4) AS scaled FROM t GROUP BY a, b""",
         "fit_residuals": f"""WITH w AS (SELECT * FROM ({Q.WINDOW_SQL}) x WHERE team2_id IS NOT NULL), e AS (SELECT event_id, team1_id AS a, team2_id AS b FROM w UNION SELECT event_id, team2_id, team1_id FROM w),
           h AS (SELECT DISTINCT tournament_id AS event_id, unnest([team1_id, team2_id]) AS t FROM ({Q.CONSUMED_SQL}) c WHERE team2_id IS NOT NULL AND tournament_id IN (SELECT tournament_id FROM ({Q.UNIVERSE_SQL}) u)),
           u AS (SELECT * FROM h UNION SELECT e.event_id, e.b FROM e JOIN h ON e.event_id = h.event_id AND e.a = h.t) SELECT event_id, COUNT(*) AS n_teams, true AS settled FROM u GROUP BY event_id""",

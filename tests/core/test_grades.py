@@ -34,9 +34,19 @@ def test_closing_prices(spark):
     assert close(spark, [(two[0][0], ["alpha", "zulu"], [0.8, 0.2], 2e3), (two[0][0], ["alpha"], [1.0], 2e3)]) == (None, False, None)
 
 
-@pytest.mark.parametrize("span", ["day", "month"])
-def test_as_of_equals_brute_force(spark, span):
-    """Ties, keys without snapshots, a hot key, values before all matches and in earlier spans."""
+@pytest.fixture(params=[1, 9])
+def ranges(spark, request):
+    """So many ranges of rows, none joined with another."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(request.param))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_as_of_equals_brute_force(spark, ranges):
+    """Ties, keys without snapshots, a hot key, values before all matches and in earlier ranges."""
     r = random.Random(7)
     at = lambda: f"2026-{r.randint(1, 3):02d}-{r.randint(1, 5):02d} {r.randint(0, 2):02d}:00:00"
     m = [(i, r.choice("aaaabcd"), at()) for i in range(150)] + [(900, "lonely", at()), (901, None, at())]
@@ -49,7 +59,7 @@ def test_as_of_equals_brute_force(spark, span):
         want[i] = ((last or first)[3], last is None) if own else (None, None)
     md = spark.createDataFrame(m, "id long, k string, start string").withColumn("start", F.col("start").cast("timestamp"))
     sd = spark.createDataFrame(s, "n long, k string, t string, v double").withColumn("t", F.col("t").cast("timestamp"))
-    got = asof.as_of(md, sd, ["k"], "start", "t", "v", [-F.col("n")], [F.col("n")], span)
+    got = asof.as_of(md, sd, ["k"], "start", "t", "v", [-F.col("n")], [F.col("n")])
     assert {x.id: (x.close, x.flagged) for x in got.collect()} == want and got.count() == len(m)
 
 
