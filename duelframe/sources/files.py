@@ -37,6 +37,13 @@ def fit_list(path: str | Path) -> list[tuple[str, str, float]]:
         return [(r["winner"], r["loser"], float(r["weight"])) for r in csv.DictReader(f)]
 
 
+def numbered_results(spark: SparkSession, path: str | Path) -> DataFrame:
+    """row_id (the place in the file), winner, loser, event of results kept by hand, for the audit."""
+    with open(path, newline="", encoding="utf-8") as f:
+        rows = [(i, r["winner"], r["loser"], r.get("event")) for i, r in enumerate(csv.DictReader(f))]
+    return spark.createDataFrame(rows, "row_id long, winner string, loser string, event string")
+
+
 def json_lines(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A log of JSON lines, blank lines left out, with ordinal: the place of the line (file, block, line), which sorts in log order.
 
