@@ -85,8 +85,10 @@ def test_archives_and_audits(run, spark, tmp_path):
 
     snapshot(tmp_path / "s.jsonl.gz", "2026-03-01", [row(7), row(500)])
     assert run("tournaments", "--archive", tmp_path / "s.jsonl.gz", "--root", root)["tournaments_n"] == 2
-    found = run("integrity-audit", "--root", root, "--partial", status=1)
-    assert not found["ok"] and found["counts"]
+    found = run("integrity-audit", "--root", root, "--partial")
+    assert found["ok"] and found["counts"]
+    with pytest.raises(ValueError):
+        run("integrity-audit", "--root", root)
 
 
 def test_calibration_takes_the_last_grade(run, tmp_path):
