@@ -56,14 +56,94 @@ def _dense(entries: pd.DataFrame) -> tuple[list, np.ndarray]:
     return names, out
 
 
+#: Teams that are tied by matches, directly or through others, up to which their matrix is factored whole (128 MB).
+WHOLE = 4000
+#: Columns of a larger inverse that are solved for at once.
+COLUMNS = 32
+
+
+def _parts(row: np.ndarray, column: np.ndarray, n: int) -> np.ndarray:
+    """The least number among those that entries tie each of 0 to n - 1 to."""
+    low = np.arange(n)
+    while True:
+        least = low.copy()
+        np.minimum.at(least, row, low[column])
+        np.minimum.at(least, column, low[row])
+        np.minimum.at(least, low, least.copy())  # a part's head takes what its members found
+        while (least != least[least]).any():
+            least = least[least]
+        if (least == low).all():
+            return low
+        low = least
+
+
+def _solved_sd(row: np.ndarray, column: np.ndarray, value: np.ndarray, n: int, tol: float = 1e-13) -> np.ndarray:
+    """Marginal deviations by conjugate gradients, some columns at a time: memory grows with entries and columns, time with n squared."""
+    order = np.argsort(row, kind="stable")
+    row, column, value = row[order], column[order], value[order, None]
+    starts = np.searchsorted(row, np.arange(n))  # every row has its diagonal
+    times = lambda x: np.add.reduceat(value * x[column], starts, axis=0)
+    scale = np.zeros((n, 1))
+    scale[row[row == column], 0] = value[row == column, 0]
+    out = np.empty(n)
+    for at in range(0, n, COLUMNS):
+        own = np.arange(at, min(n, at + COLUMNS))
+        x, r = np.zeros((n, len(own))), np.zeros((n, len(own)))
+        r[own, np.arange(len(own))] = 1.0
+        z = r / scale
+        p, rho = z.copy(), (r * z).sum(0)
+        first = rho.copy()
+        for _ in range(10 * n):
+            q = times(p)
+            step = rho / np.maximum((p * q).sum(0), 1e-300)
+            x += step * p
+            r -= step * q
+            z = r / scale
+            new = (r * z).sum(0)
+            if (new <= tol**2 * first).all():
+                break
+            p = z + new / np.maximum(rho, 1e-300) * p
+            rho = new
+        out[own] = np.sqrt(x[own, np.arange(len(own))])
+    return out
+
+
+def sparse_sd(row: np.ndarray, column: np.ndarray, value: np.ndarray, n: int, whole: int = WHOLE) -> np.ndarray:
+    """marginal_sd of a matrix of n rows from its entries. Teams that no chain of matches ties are factored apart, so no n by n matrix is made."""
+    low = _parts(row, column, n)
+    order = np.argsort(low[row], kind="stable")
+    row, column, value = row[order], column[order], value[order]
+    heads, starts = np.unique(low[row], return_index=True)
+    member = np.argsort(low, kind="stable")
+    first = np.searchsorted(low[member], heads)
+    sizes = np.diff(np.append(first, n))
+    local = np.empty(n, int)
+    local[member] = np.arange(n) - np.repeat(first, sizes)
+    out = np.empty(n)
+    for a, b, at, size in zip(starts, np.append(starts[1:], len(row)), first, sizes, strict=True):
+        r, c, v = local[row[a:b]], local[column[a:b]], value[a:b]
+        if size <= whole:
+            matrix = np.zeros((size, size))
+            matrix[r, c] = v
+            out[member[at : at + size]] = marginal_sd(np.linalg.cholesky(matrix))
+        else:
+            out[member[at : at + size]] = _solved_sd(r, c, v, size)
+    return out
+
+
 def deviations(entries: DataFrame, event: str) -> DataFrame:
-    """event, team, sd: marginal posterior deviations, each event's matrix factored in a task of its own (teams of one event, squared)."""
+    """event, team, sd: marginal posterior deviations, each event's entries in a task of its own.
+
+    Teams tied by matches are factored together, up to WHOLE of them (their number, squared); of more the
+    inverse is solved for some columns at a time.
+    """
     ship(entries.sparkSession)
     kinds = dict(entries.dtypes)
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        names, matrix = _dense(rows)
-        return pd.DataFrame({event: key[0], "team": names, "sd": marginal_sd(np.linalg.cholesky(matrix))})
+        names = np.sort(rows["row"].unique())
+        at = lambda c: np.searchsorted(names, rows[c].to_numpy())
+        return pd.DataFrame({event: key[0], "team": names, "sd": sparse_sd(at("row"), at("column"), rows["value"].to_numpy(float), len(names))})
 
     return entries.groupBy(event).applyInPandas(one, f"{event} {kinds[event]}, team {kinds['row']}, sd double")
 
