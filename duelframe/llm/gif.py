@@ -14,6 +14,7 @@ returns it with its error text and no frames.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
@@ -29,76 +30,70 @@ from .common import map_texts, texts
 WIDTH = 192
 MOST_ROWS = 65_535
 GREY = bytes(v for i in range(256) for v in (i, i, i))
+#: More codes than fill a table between two clear codes.
+WINDOW = 4200
 
 
-def _widths(n: int, size: int) -> np.ndarray:
-    """Code widths by position since the last clear code, by the decoder's count."""
+@functools.cache
+def _widths(n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Code widths by position since the last clear code, by the decoder's count, and the bits before each."""
     next_code = np.minimum((1 << size) + 2 + np.maximum(np.arange(n) - 1, 0) + 1, 4096)
-    return np.minimum(np.maximum(np.frexp((next_code - 0.5).astype(float))[1], size + 1), 12)
+    widths = np.minimum(np.maximum(np.frexp((next_code - 0.5).astype(float))[1], size + 1), 12)
+    return widths, np.cumsum(widths) - widths
 
 
 def _pack(codes: np.ndarray, widths: np.ndarray) -> bytes:
-    ends = np.cumsum(widths)
-    starts = ends - widths
-    out = np.zeros((int(ends[-1]) + 7) // 8 + 4, np.uint8)
-    value = codes.astype(np.uint64) << (starts & 7).astype(np.uint64)
-    for k in range(3):  # 12 bits and a shift reach over three bytes
-        np.bitwise_or.at(out, (starts >> 3) + k, ((value >> np.uint64(8 * k)) & np.uint64(255)).astype(np.uint8))
-    return out[: (int(ends[-1]) + 7) // 8].tobytes()
+    bits = np.unpackbits(codes.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
+    return np.packbits(bits[np.arange(16) < widths[:, None]], bitorder="little").tobytes()
 
 
 def lzw_encode(data: bytes, size: int = 8) -> bytes:
     """The code stream of indices below 2**size, without sub-block lengths."""
-    clear, most = 1 << size, 4095
+    clear, last = 1 << size, 4095 << 8  # codes are held shifted, so that one and a byte make a key
     codes: list[int] = []
     segments: list[int] = []  # places of clear codes
+    put = codes.append
     at, n = 0, len(data)
     while True:
         segments.append(len(codes))
-        codes.append(clear)
+        put(clear << 8)
         if at >= n:
             break
         table: dict[int, int] = {}
-        get, put, code, w = table.get, codes.append, clear + 2, data[at]
-        for i in range(at + 1, n):
-            c = data[i]
-            k = w << 8 | c
-            x = get(k)
-            if x is None:
-                put(w)
-                table[k] = code
-                w = c
-                if code == most:
-                    at = i
-                    break
-                code += 1
-            else:
-                w = x
-        else:
+        known, code, w = table.setdefault, clear + 2 << 8, data[at] << 8
+        at += 1
+        while at < n and code <= last:
+            part = data[at : at + (last - code >> 8) + 1]  # a byte gives one code at most, so these fit
+            at += len(part)
+            for c in part:
+                x = known(w | c, code)
+                if x is code:  # a new string
+                    put(w)
+                    w = c << 8
+                    code += 256
+                else:
+                    w = x
+        if code <= last:
             put(w)
-            at = n
-        if at >= n:
             break
-    codes.append(clear + 1)
+        at -= 1  # the table is full; the byte in w begins the next
+    put(clear + 1 << 8)
     sizes = np.diff([*segments, len(codes)])
-    widths = _widths(int(sizes.max()) + 1, size)
+    widths, _ = _widths(WINDOW, size)
     # A clear code has the width of the code that would have stood in its place.
     every = np.concatenate(([size + 1], *(widths[:s] for s in sizes)))[:-1]
-    return _pack(np.array(codes), every)
+    return _pack(np.array(codes) >> 8, every)
 
 
 def lzw_decode(stream: bytes, size: int, expected: int) -> bytes:
     """The indices of a code stream; ValueError if it is broken or ends early."""
     clear, end = 1 << size, (1 << size) + 1
-    start = [bytes([i]) for i in range(clear)] + [b"", b""]
     raw = np.frombuffer(stream + b"\0\0\0\0", np.uint8).astype(np.uint32)
-    bits, at, length, window = len(stream) * 8, 0, 0, 4200
+    bits, at, length, window = len(stream) * 8, 0, 0, WINDOW
     out: list[bytes] = []
-    widths = _widths(window, size)
-    offsets = np.cumsum(widths) - widths
+    widths, offsets = _widths(window, size)
     while length < expected:
-        places = at + offsets
-        places = places[: int(np.searchsorted(places + widths, bits, "right"))]
+        places = at + offsets[: int(np.searchsorted(offsets + widths, bits - at, "right"))]
         if not len(places):
             break
         byte = places >> 3
@@ -107,11 +102,10 @@ def lzw_decode(stream: bytes, size: int, expected: int) -> bytes:
         stops = np.flatnonzero((codes == clear) | (codes == end))
         if not len(stops) and len(places) == window:  # the table is full and stays in use
             window *= 2
-            widths = _widths(window, size)
-            offsets = np.cumsum(widths) - widths
+            widths, offsets = _widths(window, size)
             continue
         stop = int(stops[0]) if len(stops) else len(codes)
-        length += _expand(codes[:stop].tolist(), start, out)
+        length += _expand(codes[:stop].tolist(), size, out)
         if stop == len(codes) or codes[stop] == end:
             break
         at += int(offsets[stop] + widths[stop])
@@ -121,29 +115,33 @@ def lzw_decode(stream: bytes, size: int, expected: int) -> bytes:
     return data[:expected]
 
 
-def _expand(codes: list[int], start: list[bytes], out: list[bytes]) -> int:
+@functools.cache
+def _singles(size: int) -> list[bytes]:
+    """The strings of a cleared table; those of the clear and end codes are empty."""
+    return [bytes([i]) for i in range(1 << size)] + [b"", b""]
+
+
+def _expand(codes: list[int], size: int, out: list[bytes]) -> int:
     """Appends the strings of the codes between two clear codes; their length."""
     if not codes:
         return 0
-    table = start.copy()
+    table = _singles(size).copy()
     if codes[0] >= len(table) - 2:
         raise ValueError("a stream begins with an unknown code")
     before = table[codes[0]]
-    own, grow, most = [before], table.append, 4096
-    put = own.append
-    size = len(table)
-    for code in codes[1:]:
-        if code < size:
+    own, grow = [before], table.append
+    put, growing = own.append, 4097 - len(table)  # codes until the table is full
+    for code in codes[1:growing]:
+        try:
             entry = table[code]
-        elif code == size:
+        except IndexError:
+            if code != len(table):
+                raise ValueError("a stream has an unknown code") from None
             entry = before + before[:1]
-        else:
-            raise ValueError("a stream has an unknown code")
         put(entry)
-        if size < most:
-            grow(before + entry[:1])
-            size += 1
+        grow(before + entry[:1])
         before = entry
+    own += [table[code] for code in codes[growing:]]
     joined = b"".join(own)
     out.append(joined)
     return len(joined)
@@ -185,8 +183,8 @@ class Frame:
 
 
 def histogram(rgb: np.ndarray) -> np.ndarray:
-    top = (rgb >> 6).astype(np.int64)
-    return np.bincount(top[:, 0] * 16 + top[:, 1] * 4 + top[:, 2], minlength=64)
+    top = rgb & 0xC0
+    return np.bincount(top[:, 0] >> 2 | top[:, 1] >> 4 | top[:, 2] >> 6, minlength=64)
 
 
 class _Reader:
@@ -222,7 +220,7 @@ def decode(data: bytes) -> list[Frame]:
     width, height, packed, background, _ = r.numbers("<HHBBB")
     shared = _palette(r, packed)
     back = shared[background] if shared is not None and background < len(shared) else np.zeros(3, np.uint8)
-    canvas = np.broadcast_to(back, (height, width, 3)).copy()
+    canvas = np.broadcast_to(back, (height, width, 3))
     frames: list[Frame] = []
     clock, delay, disposal, clear_index = 0, 0, 0, None
     while (kind := r.take(1)) != b"\x3b":
@@ -248,21 +246,25 @@ def decode(data: bytes) -> list[Frame]:
             pixels = straight
         if palette is None:
             raise ValueError("no palette")
-        if pixels.size and pixels.max() >= len(palette):
+        if len(palette) < 256 and pixels.size and pixels.max() >= len(palette):
             palette = np.vstack((palette, np.zeros((256 - len(palette), 3), np.uint8)))
-        before = canvas.copy() if disposal == 3 else None
         seen = pixels[: max(0, height - top), : max(0, width - left)]
-        if clear_index is None:
-            canvas[top : top + h, left : left + w] = palette[seen]
+        if clear_index is None and seen.shape == canvas.shape[:2]:  # it covers the screen
+            drawn = np.take(palette, seen, axis=0)
         else:
-            held = seen != clear_index
-            canvas[top : top + h, left : left + w][held] = palette[seen[held]]
-        frames.append(Frame(left, top, pixels, canvas.copy(), clock, delay * 10))
+            drawn = canvas.copy()
+            if clear_index is None:
+                drawn[top : top + h, left : left + w] = palette[seen]
+            else:
+                held = seen != clear_index
+                drawn[top : top + h, left : left + w][held] = palette[seen[held]]
+        frames.append(Frame(left, top, pixels, drawn, clock, delay * 10))
         clock += delay * 10
         if disposal == 2:
+            canvas = drawn.copy()
             canvas[top : top + h, left : left + w] = back
-        elif before is not None:
-            canvas = before
+        elif disposal != 3:
+            canvas = drawn
         delay, disposal, clear_index = 0, 0, None
     return frames
 

@@ -117,3 +117,24 @@ def test_many_rows_take_several_frames(monkeypatch):
     data = np.random.default_rng(1).integers(0, 256, 192 * 8).astype(np.uint8).tobytes()
     out = G.decode(G.encode(data))
     assert [f.indices.shape[0] for f in out] == [3, 3, 2] and b"".join(f.indices.tobytes() for f in out) == data
+
+
+def test_layouts_are_worked_out_once_and_codes_are_the_longest_known(monkeypatch):
+    calls, frexp = [], np.frexp
+    monkeypatch.setattr(np, "frexp", lambda x: calls.append(len(x)) or frexp(x))
+    r = random.Random(6)
+    for n in (1, 2, 700, 3839, 3840, 3841, 30_000):
+        data = bytes(r.choice(b"abcd  e") for _ in range(n))
+        stream = G.lzw_encode(data)
+        assert G.lzw_decode(stream, 8, n) == data
+        bits, at, count, known, left = int.from_bytes(stream, "little"), 0, 0, {}, data
+        while left:  # plain LZW: each code is that of the longest string known
+            code, width = bits >> at & 4095, min(12, max(9, (258 + max(0, count - 1)).bit_length()))
+            code, at = code & ((1 << width) - 1), at + width
+            if code == 256:
+                known, count = {bytes([i]): i for i in range(256)}, 0
+            else:
+                k = next(k for k in range(1, len(left) + 1) if k == len(left) or left[: k + 1] not in known)
+                assert code == known[left[:k]]
+                known[left[: k + 1]], left, count = 258 + count, left[k:], count + 1
+    assert len(calls) <= 1
