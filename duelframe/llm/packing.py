@@ -36,7 +36,7 @@ from .common import cut, map_texts, texts
 
 CAPACITY = 2048
 END_ID = 0
-#: Words of which a Python worker remembers the ids; when full it starts anew.
+#: Words of which a Python worker remembers the ids; when half are new, those not met since the last time are forgotten.
 REMEMBERED = 300_000
 BUCKET_ROWS = 8_192
 #: A solution this close to the proven bound is good enough.
@@ -57,6 +57,7 @@ class WordEncoder:
     def __init__(self, path: str) -> None:
         self.path, self.merges = path, Merges.of(path)
         self.known: dict[str | bytes, bytes] = {}  # of words, and of their pieces
+        self.older: dict[str | bytes, bytes] = {}
 
     @functools.cached_property
     def tokenizer(self):
@@ -70,22 +71,24 @@ class WordEncoder:
             words = text.encode().split()
         else:  # the known form lower-cases anyway
             words = text.lower().split() if text.isascii() else text.encode().lower().split()
-        found = list(map(self.known.get, words))
-        if None in found:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            for i, x in enumerate(found):
-                if x is None:
-                    found[i] = self.known.get(words[i]) or self._learn(words[i])
-        return b"".join(found)
-
-    def _learn(self, word: str | bytes) -> bytes:
-        text = word if isinstance(word, str) else word.decode()
-        out = self.merges.word(text, self.known) if self.merges else None
-        if out is None:
-            out = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        self.known[word] = out
-        return out
+        if len(self.known) > REMEMBERED // 2:
+            self.older, self.known = self.known, {}
+        new = set(words).difference(self.known)
+        if new:
+            self._learn(new)
+        return b"".join(map(self.known.__getitem__, words))
+
+    def _learn(self, words: set[str | bytes]) -> None:
+        """Remembers the ids of words that are not among the known."""
+        unmet = words.difference(self.older)  # an intersection would pass over all that is remembered
+        again = words - unmet
+        self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        new = list(unmet)
+        own = [w if isinstance(w, str) else w.decode() for w in new]
+        merged = self.merges.words(own, self.known, self.older) if self.merges else {}
+        for word, text in zip(new, own, strict=True):
+            out = merged.get(text)
+            self.known[word] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if out is None else out
 
 
 class Merges:
@@ -119,7 +122,7 @@ class Merges:
         by_raw = {raw(t): i for t, i in vocab.items() if not t.startswith("<|")}
         self.out = [np.array([by_raw.get(t, 0)], "<u4").tobytes() for t in ranks]
         self.core = tiktoken.Encoding("merges", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self.split = regex.compile(self.PATTERN).findall
+        self.split = regex.compile(self.PATTERN + r"|\n").findall
         self.latin = regex.compile(r"[\x21-\x7e\xa1-\xac\xae-\u024f]+").fullmatch
 
     @classmethod
@@ -134,20 +137,30 @@ class Merges:
             return None
         return cls(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
 
-    def word(self, text: str, known: dict) -> bytes | None:
-        """The ids of a word without white space; None if it holds what only the tokenizer itself should judge.
+    def words(self, texts: list[str], known: dict, older: dict) -> dict[str, bytes]:
+        """The ids of different words without white space, all cut into pieces at once; of none that the tokenizer itself should judge.
 
-        known has the ids of pieces met before and gets the new ones.
+        known has the ids of pieces met before and gets the new ones; older is looked up beside it.
         """
-        if "<|" in text or not self.latin(text):
-            return None
-        out = []
-        for piece in self.split(text.lower()):
-            found = known.get(piece)
+        plain = [t for t in texts if "<|" not in t and (t.isascii() and t.isprintable() or self.latin(t))]
+        if not plain:
+            return {}
+        out, own = [], []
+        get, put = known.get, own.append
+        for piece in self.split("\n".join(plain).lower()):
+            if piece == "\n":  # no piece reaches over the end of a word
+                out.append(b"".join(own))
+                own.clear()
+                continue
+            found = get(piece)
             if found is None:
-                found = known[piece] = b"".join([self.out[t] for t in self.core.encode_single_piece(piece.encode() + self.END)])
-            out.append(found)
-        return b"".join(out)
+                found = older.get(piece)
+                if found is None:
+                    found = b"".join([self.out[t] for t in self.core.encode_single_piece(piece.encode() + self.END)])
+                known[piece] = found
+            put(found)
+        out.append(b"".join(own))
+        return dict(zip(plain, out, strict=True))
 
 
 @functools.cache

@@ -118,3 +118,23 @@ def test_knapsack_is_best():
 
 def test_empty(nothing):
     assert P.pack(nothing, word_bpe()).collect() == []
+
+
+def test_words_in_use_stay_remembered(monkeypatch):
+    """A word that recurs is encoded once, however many others pass by; what is remembered stays bounded."""
+    monkeypatch.setattr(P, "REMEMBERED", 100)
+    encoder, asked = P.WordEncoder(word_bpe()), []
+    core = encoder.merges.core
+
+    class Counting:
+        def encode_single_piece(self, piece):
+            asked.append(piece)
+            return core.encode_single_piece(piece)
+
+    encoder.merges.core = Counting()
+    again = Tokenizer.from_file(word_bpe())
+    for i in range(60):
+        text = " ".join(["often", "frequent,"] + [f"w{chr(97 + i % 26)}{chr(97 + j)}{chr(97 + i // 26)}" for j in range(20)])
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == again.encode(text, add_special_tokens=False).ids
+        assert len(encoder.known) + len(encoder.older) <= 200
+    assert asked.count(b"often\xff") == 1 and asked.count(b"frequent\xff") == 1
