@@ -43,9 +43,17 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     counts, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
     for at in range(0, n, CHUNK):
         own = [digest(joined[a:b], SEED) for a, b in zip(starts[at : min(n, at + CHUNK)].tolist(), stops[at : at + CHUNK].tolist(), strict=True)]
-        bits = np.unpackbits(np.array(own, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+        counts += _bits(np.array(own, "<u8"))
+    return int(_over_half(counts, n))
+
+
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit hashes have each bit."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def _over_half(counts: np.ndarray, n: int) -> np.uint64:
+    return np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0]
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -136,18 +144,27 @@ SAMPLE = 16
 COMMON = 200_000
 #: Longs of parity bits: each shingle that only one of two texts has flips one bit, so differing bits never exceed differing shingles.
 PARITY = 8
-PREFIX = "doc_id long, same binary, n long, parity array<long>, prefix array<long>"
+PREFIX = "doc_id long, same binary, fp long, n long, parity array<long>, prefix array<long>"
 
 
-def shingle_set(text: str, shingle: int) -> np.ndarray:
-    """The different hashes of a text's shingles, as sorted signed longs."""
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """The hashes of a text's shingles, repeats included, as signed longs."""
     words = text.encode().lower().split()
     if not words:
-        return np.array([xxhash.xxh64_intdigest(b"", SEED)], np.uint64).view(np.int64)
+        return np.zeros(0, np.int64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))[: max(1, len(words) - shingle + 1)]
     joined, stops, digest = b" ".join(words), ends[min(shingle, len(words)) - 1 :] - 1, xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)], np.uint64).view(np.int64))
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)], np.uint64).view(np.int64)
+
+
+def _different(hashes: np.ndarray) -> np.ndarray:
+    return np.unique(hashes) if len(hashes) else np.array([xxhash.xxh64_intdigest(b"", SEED)], np.uint64).view(np.int64)
+
+
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """The different hashes of a text's shingles, as sorted signed longs."""
+    return _different(shingle_hashes(text, shingle))
 
 
 def prefix_size(n: int, similarity: float) -> int:
@@ -167,7 +184,7 @@ def frequent(docs: DataFrame, shingle: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """doc_id, a digest that texts of equal words share, number of shingles, parity bits and the prefix of the ordered shingles."""
+    """doc_id, a digest that texts of equal words share, fingerprint, number of shingles, parity bits and the prefix of the ordered shingles."""
     ranked = frequent(docs, shingle)
     by_value = np.argsort(ranked)
     values = ranked[by_value]
@@ -180,15 +197,17 @@ def prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
         return own[np.argsort(rank, kind="stable")[: prefix_size(len(own), similarity)]]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        same, n, parity, prefix = [], [], [], []
+        same, fp, n, parity, prefix = [], [], [], [], []
         for t in texts(batch):
-            own = shingle_set(t, shingle)
+            every = shingle_hashes(t, shingle)
+            fp.append(_over_half(sum((_bits(every[at : at + CHUNK]) for at in range(0, len(every), CHUNK)), np.zeros(64, np.int64)), len(every)))
+            own = _different(every)
             same.append(xxhash.xxh3_128_digest(b" ".join(t.encode().lower().split())))
             n.append(len(own))
             parity.append(np.packbits(np.bincount(own & (64 * PARITY - 1), minlength=64 * PARITY) & 1).view(np.int64))
             prefix.append(ordered(own))
-        columns = [batch.column(0), pa.array(same, pa.binary()), pa.array(n, pa.int64()), pa.array(parity, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "same", "n", "parity", "prefix"])
+        columns = [batch.column(0), pa.array(same, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(parity, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "same", "fp", "n", "parity", "prefix"])
 
     return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), run, PREFIX)
 
@@ -200,14 +219,35 @@ def members(reps: DataFrame) -> DataFrame:
     return written(shared.join(reps.select("doc_id", "n", "parity"), "doc_id"))
 
 
-def _near(similarity: float) -> Column:
-    """Whether rows x and y of one shingle can reach the similarity, by position, size and parity bits."""
+def _alike(similarity: float) -> Column:
+    """Whether rows x and y can reach the similarity, by size and parity bits."""
     whole, differing = F.col("x.n") + F.col("y.n"), F.lit(0)
     for i in range(PARITY):
         differing = differing + F.bit_count(F.col("x.parity")[i].bitwiseXOR(F.col("y.parity")[i]))
+    return (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * similarity - 1e-6) & (differing <= whole * ((1 - similarity) / (1 + similarity)) + 1e-6)
+
+
+def _near(similarity: float) -> Column:
+    """Whether rows x and y of one shingle can reach the similarity, by position, size and parity bits."""
     # If s is the first shingle that the ordered sets share, no more than the shorter rest is shared.
     most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    return (most >= whole * (similarity / (1 + similarity)) - 1e-6) & (differing <= whole * ((1 - similarity) / (1 + similarity)) + 1e-6)
+    return (most >= (F.col("x.n") + F.col("y.n")) * (similarity / (1 + similarity)) - 1e-6) & _alike(similarity)
+
+
+def met_in_balls(reps: DataFrame, similarity: float, radius: int = 2) -> DataFrame:
+    """a, b: texts that can be similar and whose fingerprints a ball of links() joins.
+
+    A fingerprint's texts meet its smallest id, and so do those ids of linked fingerprints.
+    """
+    own = reps.select("doc_id", "fp", "n", "parity")
+    firsts = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    equal = own.join(firsts, "fp").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    linked = links(firsts.select("fp"), radius).join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    pairs = equal.union(linked.select(F.greatest("x", "y"), F.least("x", "y"))).alias("p")
+    both = pairs.join(own.alias("x"), F.col("p.a") == F.col("x.doc_id")).join(own.alias("y"), F.col("p.b") == F.col("y.doc_id"))
+    out = cut(both.where(_alike(similarity)).select("p.a", "p.b").distinct())
+    drop(firsts)
+    return out
 
 
 def stars(rows: DataFrame, similarity: float) -> DataFrame:
@@ -281,21 +321,26 @@ def joined(first: DataFrame, rest: Callable[[DataFrame], DataFrame], docs: DataF
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id: groups of documents linked by a similarity of their shingle sets.
 
-    Exact: texts at the similarity share a shingle of their prefixes, and every link is
-    verified. Texts of equal words are one to begin with. Of each prefix shingle all texts
-    first meet the smallest id; then all its pairs meet whose components still differ. Ids
+    Texts of equal words are one to begin with. Fingerprints of the others meet in balls by the
+    method of links(). A pair at the similarity may lie outside every ball, so an exact filter
+    follows: such a pair shares a shingle of its prefixes. Of each of these all texts first meet
+    the smallest id; then all its pairs meet whose components still differ. Every link is
+    verified, whichever way it was met, so no link is lost and none is added. Ids
     must be given and differ; equal texts may repeat. Of what is stored on the way only the
     table of the result stays.
     """
     full = written(prefixes(docs, shingle, similarity))
-    reps = written(full.groupBy("same").agg(F.min(F.struct("doc_id", "n", "parity", "prefix")).alias("one")).select("same", "one.*"))
+    reps = written(full.groupBy("same").agg(F.min(F.struct("doc_id", "fp", "n", "parity", "prefix")).alias("one")).select("same", "one.*"))
     known = written(full.select("doc_id", "same"))
     drop(full)
+    met = met_in_balls(reps, similarity)
     rows = members(reps)
     first_ids = written(reps.select("same", "doc_id"))
     drop(reps)
     tidy(docs.sparkSession)
-    found = joined(cut(stars(rows, similarity)), lambda roots: between(rows, roots, similarity), docs, shingle, similarity)
+    first = cut(met.union(stars(rows, similarity)).distinct())
+    drop(met)
+    found = joined(first, lambda roots: between(rows, roots, similarity), docs, shingle, similarity)
     drop(rows)
     grouped = first_ids.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("same", F.coalesce("root", "doc_id").alias("component_id"))
     out = written(known.select("doc_id", "same").join(grouped, "same").select("doc_id", "component_id"))

@@ -5,6 +5,8 @@ import xxhash
 from duelframe.llm import common
 from duelframe.llm import simhash as S
 
+from .conftest import words
+
 
 def naive(text):
     text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
@@ -184,3 +186,24 @@ def test_a_hot_shingle_is_dealt_in_pairs_of_blocks(spark):
     roots = spark.createDataFrame([(5, 3)], "node long, root long")
     brute = lambda block: sorted(map(tuple, S.between(rows, roots, 0.2, block).collect()))
     assert brute(1000) == brute(7) == brute(1) and len(brute(7)) == len(set(brute(7))) > 3
+
+
+def test_similar_texts_meet_in_balls(spark, monkeypatch):
+    """Balls of fingerprints propose the pairs that they hold; the exact filter only adds those that they miss."""
+    r = random.Random(8)
+    texts = []
+    for _ in range(12):
+        base = words(r, 400).split()
+        texts += [" ".join(base), " ".join([*base, "more"]), " ".join(["less", *base])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fps, sets = [S.fingerprint(t, 5) for t in texts], [shingled(t) for t in texts]
+    similar = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    held = lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2 and similar(a, b)
+    ids = range(len(texts))
+    balls = classes(ids, held)
+    assert len(set(balls.values())) < len(texts)
+    group = lambda: {x.doc_id: x.component_id for x in S.similar_groups(docs, 5, 0.8).collect()}
+    assert group() == classes(ids, similar)
+    own = S.members
+    monkeypatch.setattr(S, "members", lambda reps: own(reps.where("false")))
+    assert group() == balls
