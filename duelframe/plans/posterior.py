@@ -60,6 +60,8 @@ def _dense(entries: pd.DataFrame) -> tuple[list, np.ndarray]:
 WHOLE = 4000
 #: Columns of a larger inverse that are solved for at once.
 COLUMNS = 32
+#: Tied teams up to which walks are not tried, entries that a step of walks makes at once, and the part of the teams (one in so many) that a column's walks may reach.
+PLAIN, STEP, NEAR = 200, 1_000_000, 4
 
 
 def _parts(row: np.ndarray, column: np.ndarray, n: int) -> np.ndarray:
@@ -77,17 +79,74 @@ def _parts(row: np.ndarray, column: np.ndarray, n: int) -> np.ndarray:
         low = least
 
 
-def _solved_sd(row: np.ndarray, column: np.ndarray, value: np.ndarray, n: int, tol: float = 1e-13) -> np.ndarray:
-    """Marginal deviations by conjugate gradients, some columns at a time: memory grows with entries and columns, time with n squared."""
+def _local_sd(row: np.ndarray, column: np.ndarray, value: np.ndarray, n: int, tol: float = 1e-14) -> tuple[np.ndarray, np.ndarray]:
+    """Marginal deviations by walks around each team, and the teams for which walks did not do.
+
+    With D the diagonal the matrix is D^1/2 (I - M) D^1/2, so a variance is the sum of M's closed walks over D: with
+    v = M^k e it grows by v.v and v.Mv for each k, and what is left lies between v.v / (1 + rho) and v.v / (1 - rho), where
+    rho, the greatest share of a row beside its diagonal, bounds M's norm. Walks go on until that is below
+    tol. Priors that outweigh a team's matches keep them short: time grows with the teams, not their square.
+    """
+    own = row == column
+    diagonal = np.empty(n)
+    diagonal[row[own]] = value[own]
+    row, column, value = row[~own], column[~own], value[~own]
+    order = np.argsort(row, kind="stable")
+    row, column, value = row[order], column[order], value[order]
+    rho = float((np.bincount(row, np.abs(value), n) / diagonal).max(initial=0.0))
+    if rho >= 1:
+        return np.full(n, np.nan), np.arange(n)
+    m = -value / np.sqrt(diagonal[row] * diagonal[column])
+    starts = np.searchsorted(row, np.arange(n + 1))
+    degree = np.diff(starts)
+    total, failed = np.zeros(n), []
+    todo = [(np.arange(a, min(n, a + 4096)) * (n + 1), np.ones(min(n, a + 4096) - a)) for a in range(0, n, 4096)]  # team * n + place, v there
+    while todo:
+        key, v = todo.pop()
+        while len(key):
+            team, place = np.divmod(key, n)
+            if len(key) * NEAR > n * (n_teams := len(np.unique(team))):
+                failed.append(np.unique(team))
+                break
+            count = degree[place]
+            if count.sum() > STEP and n_teams > 1:  # both halves on their own
+                half = np.searchsorted(team, np.unique(team)[n_teams // 2])
+                todo.append((key[half:], v[half:]))
+                key, v = key[:half], v[:half]
+                continue
+            at = np.arange(count.sum()) + np.repeat(starts[place] - np.cumsum(count) + count, count)
+            to = np.repeat(team * n, count) + column[at]
+            step = np.repeat(v, count) * m[at]
+            order = np.argsort(to, kind="stable")
+            to, step = to[order], step[order]
+            first = np.flatnonzero(np.diff(to, prepend=-1))
+            to, step = to[first], np.add.reduceat(step, first) if len(first) else step
+            low = int(team[0])
+            found = np.minimum(np.searchsorted(to, key), max(len(to) - 1, 0))
+            cross = np.where(to[found] == key, v * step[found], 0.0) if len(to) else np.zeros(len(key))
+            grown = np.bincount(team - low, v * v + cross)
+            total[low : low + len(grown)] += grown
+            left = np.bincount(to // n - low, step * step, len(grown))
+            done = left <= tol * (1 - rho) * total[low : low + len(grown)]
+            total[low : low + len(grown)][done] += left[done]
+            on = ~done[to // n - low]
+            key, v = to[on], step[on]
+    out = np.sqrt(total / diagonal)
+    return out, np.concatenate(failed) if failed else np.empty(0, int)
+
+
+def _solved_sd(row: np.ndarray, column: np.ndarray, value: np.ndarray, n: int, wanted: np.ndarray | None = None, tol: float = 1e-13) -> np.ndarray:
+    """Marginal deviations (of wanted) by conjugate gradients, some columns at a time: memory grows with entries and columns, time with n times their number."""
+    wanted = np.arange(n) if wanted is None else wanted
     order = np.argsort(row, kind="stable")
     row, column, value = row[order], column[order], value[order, None]
     starts = np.searchsorted(row, np.arange(n))  # every row has its diagonal
     times = lambda x: np.add.reduceat(value * x[column], starts, axis=0)
     scale = np.zeros((n, 1))
     scale[row[row == column], 0] = value[row == column, 0]
-    out = np.empty(n)
-    for at in range(0, n, COLUMNS):
-        own = np.arange(at, min(n, at + COLUMNS))
+    out = np.empty(len(wanted))
+    for at in range(0, len(wanted), COLUMNS):
+        own = wanted[at : at + COLUMNS]
         x, r = np.zeros((n, len(own))), np.zeros((n, len(own)))
         r[own, np.arange(len(own))] = 1.0
         z = r / scale
@@ -104,7 +163,7 @@ def _solved_sd(row: np.ndarray, column: np.ndarray, value: np.ndarray, n: int, t
                 break
             p = z + new / np.maximum(rho, 1e-300) * p
             rho = new
-        out[own] = np.sqrt(x[own, np.arange(len(own))])
+        out[at : at + COLUMNS] = np.sqrt(x[own, np.arange(len(own))])
     return out
 
 
@@ -122,19 +181,25 @@ def sparse_sd(row: np.ndarray, column: np.ndarray, value: np.ndarray, n: int, wh
     out = np.empty(n)
     for a, b, at, size in zip(starts, np.append(starts[1:], len(row)), first, sizes, strict=True):
         r, c, v = local[row[a:b]], local[column[a:b]], value[a:b]
+        own = member[at : at + size]
+        if size > min(whole, PLAIN):
+            out[own], left = _local_sd(r, c, v, size)
+            if not len(left):
+                continue
         if size <= whole:
             matrix = np.zeros((size, size))
             matrix[r, c] = v
-            out[member[at : at + size]] = marginal_sd(np.linalg.cholesky(matrix))
+            out[own] = marginal_sd(np.linalg.cholesky(matrix))
         else:
-            out[member[at : at + size]] = _solved_sd(r, c, v, size)
+            out[own[left]] = _solved_sd(r, c, v, size, left)
     return out
 
 
 def deviations(entries: DataFrame, event: str) -> DataFrame:
     """event, team, sd: marginal posterior deviations, each event's entries in a task of its own.
 
-    Teams tied by matches are factored together, up to WHOLE of them (their number, squared); of more the
+    A team's walks along its matches are summed until what is left is known to be nothing. Where that goes too far, teams tied
+    by matches are factored together, up to WHOLE of them (their number, squared); of more the
     inverse is solved for some columns at a time.
     """
     ship(entries.sparkSession)
